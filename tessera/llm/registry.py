@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing
+from tessera.llm import chat, language, packing, quality
 from tessera.llm.common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and the fixed conversation -7, folded from their event logs and formatted."""
+    hard = r"\### Assistant: </turn> ok"
+    fixed = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    messages = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    return chat.fold(chat.log_of_messages(messages))
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_language_id": op4_language_id,
+    "op10_chat_formatting": op10_chat_formatting,
 }
 
 ORACLE: dict[str, str] = {}
