@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, language, packing, quality
+from tessera.llm import chat, html, language, lines, packing, privacy, quality
 from tessera.llm.common import table
 
 
@@ -19,11 +19,26 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What line dedup leaves of every document."""
+    return lines.digest(table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    return privacy.find(table(spark, sf_dir, "documents"))
+
+
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page."""
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and the fixed conversation -7, folded from their event logs and formatted."""
     hard = r"\### Assistant: </turn> ok"
@@ -35,8 +50,11 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op7_pii": op7_pii,
+    "op8_html_extraction": op8_html_extraction,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_line_dedup": lines.DIGEST_SQL}
