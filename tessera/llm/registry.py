@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, html, language, lines, packing, privacy, quality
+from tessera.llm import chat, decontaminate, html, language, lines, packing, phrases, privacy, quality
 from tessera.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without its recurring windows."""
+    return phrases.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document."""
     return privacy.find(table(spark, sf_dir, "documents"))
@@ -39,6 +44,11 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold benchmark items, and where."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and the fixed conversation -7, folded from their event logs and formatted."""
     hard = r"\### Assistant: </turn> ok"
@@ -52,8 +62,10 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_html_extraction": op8_html_extraction,
+    "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
