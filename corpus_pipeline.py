@@ -1,16 +1,60 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, packing."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, benchmark decontamination and packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; ``run``
+writes every stage's result as Parquet in the shared folder and reads it again for the
+next. All but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import decontaminate, lines, neardup, packing, quality
+from tessera.llm.common import cut, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep; the trees are fitted on labelled documents of docs."""
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")), keep_columns=True)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs; those of which no line with a word is left go. n_chars follows the text."""
+    found = lines.dedup(docs).where("n_lines > n_removed").drop("n_lines", "n_removed")
+    return found.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns) if "n_chars" in docs.columns else found.select(docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
+    return neardup.dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that are left, packed into sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("near-dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", best_fit_packing),
+]
+
+#: The trees, the registers and the tokenizer have no SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents, each on what the one before wrote."""
-    from tessera.llm.common import cut
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
     return docs

@@ -24,6 +24,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm import bitmap
 from tessera.llm.common import slices, small_batches
 from tessera.llm.words import Words, mix, shingles, words_of
 
@@ -78,31 +79,6 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "anchor bigint")
 
 
-def _bitmap(keys: DataFrame, bits: int) -> np.ndarray:
-    """Bits set at the top ``bits`` of each key. Tasks make a thousand blocks of it, so what comes to the driver has this fixed size."""
-    low = bits - 10
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = (batch.column("anchor").to_numpy().view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
-            for block in np.unique(at >> low).tolist():
-                own = blocks.setdefault(block, np.zeros(1 << low, bool))
-                own[at[at >> low == block] & ((1 << low) - 1)] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(blocks), pa.int32()), pa.array([np.packbits(x).tobytes() for x in blocks.values()], pa.binary())], names=["block", "bits"])
-
-    block = F.shiftrightunsigned("anchor", 54).cast("int")
-    out = np.zeros((1 << 10, 1 << (low - 3)), np.uint8)
-    for row in keys.select("anchor", block.alias("block")).repartition("block").mapInArrow(run, "block int, bits binary").collect():
-        out[row["block"]] = np.frombuffer(row["bits"], np.uint8)
-    return out.reshape(-1)
-
-
-def _member(bitmap: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    at = keys >> np.uint64(64 - bits)
-    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & 1 > 0
-
-
 def _occurrences(docs: DataFrame, recurring, frequent, window: int, anchor: int, often: bool) -> DataFrame:
     """A row for each place of a recurring anchor: its document, its first window, and the hashes of its windows in turn."""
 
@@ -112,7 +88,7 @@ def _occurrences(docs: DataFrame, recurring, frequent, window: int, anchor: int,
                 words = words_of(batch.column("text").to_pylist())
                 start, place, grams = anchored(words, window, anchor)
                 keys = grams[place] if len(place) else np.zeros(0, np.uint64)
-                keep = _member(recurring.value, keys, RECURRING_BITS) & (_member(frequent.value, keys, FREQUENT_BITS) == often)
+                keep = bitmap.member(recurring.value, keys, RECURRING_BITS) & (bitmap.member(frequent.value, keys, FREQUENT_BITS) == often)
                 start, place, keys = start[keep], place[keep], keys[keep]
                 hashes = mix(shingles(words.hashes, window)[start] + np.uint64(window)) if len(start) else keys
                 head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
@@ -159,9 +135,9 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     """d, t and ``marks``, runs (low, mask) of recurring windows, for each document that has any."""
     spark = docs.sparkSession
     own = docs.select(*_document()).where("text IS NOT NULL")
-    counted = _anchors(own, window, anchor).groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").persist()
-    recurring = spark.sparkContext.broadcast(_bitmap(counted, RECURRING_BITS))
-    frequent = spark.sparkContext.broadcast(_bitmap(counted.where(F.col("n") > FREQUENT), FREQUENT_BITS))
+    counted = _anchors(own, window, anchor).groupBy(F.col("anchor").alias("key")).agg(F.count("*").alias("n")).where("n > 1").persist()
+    recurring = spark.sparkContext.broadcast(bitmap.build(counted, RECURRING_BITS))
+    frequent = spark.sparkContext.broadcast(bitmap.build(counted.where(F.col("n") > FREQUENT), FREQUENT_BITS))
     counted.unpersist()
     rare = _occurrences(own, recurring, frequent, window, anchor, False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring_here, "d bigint, t bigint, low int, mask bigint")
     each = _occurrences(own, recurring, frequent, window, anchor, True).select("d", "t", F.col("low"), F.posexplode("hashes").alias("i", "hash")).select("d", "t", (F.col("low") + F.col("i")).alias("low"), "hash")

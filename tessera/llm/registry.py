@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, html, language, lines, packing, phrases, privacy, quality
+from tessera.llm import chat, decontaminate, html, language, lines, neardup, packing, phrases, privacy, quality
 from tessera.llm.common import table
 
 
@@ -29,6 +29,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, by four-word shingles."""
+    return neardup.classes(table(spark, sf_dir, "documents"), shingle=4, least=80).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without its recurring windows."""
     return phrases.digest(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_line_dedup": op3_line_dedup,
     "op4_language_id": op4_language_id,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_pii": op7_pii,
     "op8_html_extraction": op8_html_extraction,
