@@ -100,7 +100,8 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, depth: int | None = None)
     own = docs.drop("n_lines", "n_removed")
     gone = later_copies(docs, min_lines, depth)
     text = F.col("text").cast("string")
-    keyed = own.select(F.struct(*own.columns).alias("row"), *_document(), text.alias("_text"))
+    others = [c for c in own.columns if c != "text"]
+    keyed = own.select(F.struct(*others).alias("row"), *_document(), text.alias("_text"))
     lines = F.split("_text", "\n", -1)
     found = keyed.join(gone, ["d", "t"], "left").withColumn("lines", lines)
     every = F.sequence(F.lit(0), F.size("lines") - 1)
