@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-FLAGSHIP = ""
+from tessera.plans import deck_queries, laminate_queries, mesh_queries  # noqa: F401  they register themselves
+from tessera.plans.base import ORACLE, QUERIES
+
+FLAGSHIP = "part_bbox"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
