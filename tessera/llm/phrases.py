@@ -30,8 +30,8 @@ from tessera.llm.words import Words, mix, shingles, words_of
 
 WINDOW = 35
 ANCHOR = 8
-#: Anchors that occur more often are counted window by window.
-FREQUENT = 2_000
+#: Anchors that occur more often are counted window by window; up to so many places of one anchor, of 28 hashes each, are held together: 22 MB.
+FREQUENT = 100_000
 #: Bits of the bitmaps of recurring and of frequent anchors, as powers of two.
 RECURRING_BITS, FREQUENT_BITS = 27, 23
 
