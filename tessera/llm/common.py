@@ -68,3 +68,21 @@ def same(left: DataFrame, right: DataFrame, *names: str):
     for name in names:
         condition = condition & left[name].eqNullSafe(right[name])
     return condition
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def row_of(df: DataFrame, *without: str):
+    """All columns of df but these, as one struct."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns if c not in without))
+
+
+def ddl(df: DataFrame) -> str:
+    """The columns of df as a schema in DDL."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, small_batches
+from tessera.llm.common import ddl, slices, small_batches, unused
 from tessera.llm.words import shingles, words_of
 
 SHINGLE = 5
@@ -184,15 +184,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: i
     """The rows of docs that hold no benchmark item, with their columns as they are."""
     small_batches(docs.sparkSession)
     names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    text_name = unused(docs, "_text")
     for index in _indexes(benchmark, least, radius):
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, "_text"):
-                    words = words_of(batch.column("_text").to_pylist(), lower=True)
+                for batch in slices(whole, text_name):
+                    words = words_of(batch.column(text_name).to_pylist(), lower=True)
                     kept = [not index.hits(words.hashes[words.first[i] : words.first[i + 1]]) for i in range(batch.num_rows)]
                     yield batch.select(names).filter(pa.array(kept, pa.bool_()))
 
-        docs = docs.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+        docs = docs.select("*", F.col("text").cast("string").alias(text_name)).mapInArrow(run, ddl(docs))
     return docs

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import cut, row_of
 
 MIN_LINES = 2
 _WORD = r"[^\x20\x09-\x0D]"
@@ -100,8 +100,7 @@ def dedup(docs: DataFrame, min_lines: int = MIN_LINES, depth: int | None = None)
     own = docs.drop("n_lines", "n_removed")
     gone = later_copies(docs, min_lines, depth)
     text = F.col("text").cast("string")
-    others = [c for c in own.columns if c != "text"]
-    keyed = own.select(F.struct(*others).alias("row"), *_document(), text.alias("_text"))
+    keyed = own.select(row_of(own, "text").alias("row"), *_document(), text.alias("_text"))
     lines = F.split("_text", "\n", -1)
     found = keyed.join(gone, ["d", "t"], "left").withColumn("lines", lines)
     every = F.sequence(F.lit(0), F.size("lines") - 1)

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
-from tessera.llm.common import cut, slices, small_batches
+from tessera.llm.common import cut, row_of, slices, small_batches
 from tessera.llm.components import components
 from tessera.llm.words import mix, shingle_sets, words_of
 
@@ -261,7 +261,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """The rows of docs that stay: of each component the one with the smallest doc_id, of rows with equal id and text one."""
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("t"))
+    own = docs.select(row_of(docs).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("t"))
     stay = classes(docs, shingle, least).where("kept")
     one = stay.groupBy("component_id").agg(F.min(F.struct("o", "t")).alias("n")).where("component_id IS NOT NULL").select("n.o", "n.t").unionByName(stay.where("component_id IS NULL").select("o", "t").distinct())
     return own.join(one, ["o", "t"], "left_semi").dropDuplicates(["o", "t"]).select("row.*")

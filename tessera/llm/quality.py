@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, small_batches
+from tessera.llm.common import ddl, slices, small_batches, unused
 
 _WORDS = re.compile("[^\x20\x09-\x0d]+").findall
 _SYMBOLS = re.compile("[#*$%&|<>]").findall
@@ -202,19 +202,20 @@ def score(docs: DataFrame, trees: Trees | None, least: float = LEAST_SCORE, keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "_text"):
-                found = [statistics(x) for x in batch.column("_text").to_pylist()]
+            for batch in slices(whole, text_name):
+                found = [statistics(x) for x in batch.column(text_name).to_pylist()]
                 counts = np.asarray([x[0] for x in found], np.int64).reshape(-1, len(BASE))
                 failed = np.asarray([base_failed(int(c[0]), int(c[4])) for c in counts], bool)
                 chance = trees.score(np.asarray([x[1] for x in found], float)) if trees and len(found) else None
                 kept = ~failed if chance is None else ~failed & (chance >= least)
                 if keep_columns:
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept)], names=[*names, "_kept"])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(kept)], names=[*names, kept_name])
                 else:
                     yield pa.RecordBatch.from_arrays([batch.column("_doc"), *(pa.array(c) for c in counts.T), pa.array(failed), pa.array(kept), pa.array(chance, pa.float64()) if chance is not None else pa.nulls(len(kept), pa.float64())], names=["doc_id", *BASE, "base_failed", "kept", "quality_score"])
 
-    names = docs.columns
-    text = F.col("text").cast("string").alias("_text")
+    names, kept_name = docs.columns, unused(docs, "_kept")
+    text_name = unused(docs, "_text") if keep_columns else "_text"
+    text = F.col("text").cast("string").alias(text_name)
     if keep_columns:
-        return docs.select("*", text).mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", _kept boolean").where("_kept").drop("_kept")
+        return docs.select("*", text).mapInArrow(run, f"{ddl(docs)}, {kept_name} boolean").where(kept_name).drop(kept_name)
     return docs.select(F.col("doc_id").cast("bigint").alias("_doc"), text).mapInArrow(run, "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean, quality_score double")
