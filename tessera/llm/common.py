@@ -36,9 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: no executor's loss can undo it, and its values are fixed."""
+    """Write df as Parquet in the shared folder and read it back: no executor's loss can undo it, and its values are fixed.
+
+    The shuffles behind it are done with; a collection of the driver's garbage lets Spark delete their files.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -170,13 +170,13 @@ def _elements(compared: DataFrame, name: str, recurring=None) -> DataFrame:
             keys = mix(values ^ centre[row])
             place = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], size)
             if recurring is None:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column("xt").take(pa.array(row))], names=["key", "xt"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
                 continue
             keep = bitmap.member(recurring.value, keys, BITS)
             row = pa.array(row[keep])
             yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(batch.column(k).take(row) for k in ("xo", "xt", "n", "d")), pa.array(place[keep])], names=["key", "o", "t", "n", "d", "place"])
 
-    return compared.mapInArrow(run, "key bigint, xt bigint" if recurring is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint")
+    return compared.mapInArrow(run, "key bigint" if recurring is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint")
 
 
 def _confirm(pairs: DataFrame, least: int) -> DataFrame:
@@ -213,15 +213,20 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, shingle: int =
     pairs = cut(met.select(F.col("o").alias("xo"), F.col("t").alias("xt"), F.col("c.o").alias("co"), F.col("c.t").alias("ct")).distinct(), "pairs")
     needed = pairs.select(F.col("xo").alias("o"), F.col("xt").alias("t")).unionByName(pairs.select(F.col("co").alias("o"), F.col("ct").alias("t"))).distinct()
 
+    wanted = spark.sparkContext.broadcast(bitmap.build(needed.select(F.xxhash64("o", "t").alias("key")), BITS))
+
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            own = whole.filter(pa.array(bitmap.member(wanted.value, whole.column("key").to_numpy().view(np.uint64), BITS)))
+            for batch in slices(own):
                 found = shingle_sets(words_of(batch.column("text").to_pylist(), lower=True), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("t"), lists, pa.array([registers(x).tobytes() for x in found], pa.binary())], names=["o", "t", "s", "registers"])
 
-    own = _keyed(docs).join(needed, ["o", "t"]).select("o", "t", "text")
-    sets = cut(own.mapInArrow(sets_of, "o bigint, t bigint, s array<bigint>, registers binary").dropDuplicates(["o", "t"]), "sets")
+    sets = _keyed(docs).select("o", "t", "text", F.xxhash64("o", "t").alias("key")).mapInArrow(sets_of, "o bigint, t bigint, s array<bigint>, registers binary")
+    if not sketches.groupBy("o", "t").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        sets = sets.dropDuplicates(["o", "t"])  # rows that are repeated whole
+    sets = cut(sets, "sets")
     compared = cut(_compare(_with_sets(pairs, sets), least), "compared")
     edge = [_node("x").alias("u"), _node("c").alias("v")]
     linked = compared.where("linked").select(edge)
@@ -229,8 +234,8 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, shingle: int =
     open_ = compared.where("NOT linked")
     around = compared.join(open_.select("co", "ct").distinct(), ["co", "ct"], "left_semi")
     far, near = 100 - least, 100 + least
-    elements = _elements(open_, "own").unionByName(_elements(around, "other"))
-    shared = elements.groupBy("key").agg(F.min("xt").alias("low"), F.max("xt").alias("high")).where("low <> high")
+    longer = around.withColumn("own", F.when(F.size("own") > F.size("other"), F.col("own")).otherwise(F.col("other")))  # both begin the same list
+    shared = _elements(longer, "own").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     recurring = spark.sparkContext.broadcast(bitmap.build(shared, BITS))
     x = _elements(open_, "own", recurring).alias("x")
     y = _elements(around, "other", recurring).alias("y")
