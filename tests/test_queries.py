@@ -63,3 +63,17 @@ def test_hulls(spark, sf_dir):
 
     for r in mesh.projections(elements, nodes).collect():
         assert math.isclose(r.area, wrapped(points[r.pid]), rel_tol=1e-9)
+
+
+def test_without_optional_parts(tmp_path):
+    """Everything else works where the optional subpackage isn't installed."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    here = Path(__file__).resolve().parent.parent
+    shutil.copytree(here / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(here / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 50 and not any(k.startswith('op') and k[2].isdigit() for k in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
