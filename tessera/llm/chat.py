@@ -155,3 +155,18 @@ def fold(log: DataFrame, trained: str = "assistant", keep_text: bool = False) ->
     schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint" + ", formatted string" * keep_text
     own = log.select(F.col("conv_id").cast("bigint").alias("conv_id"), "seq", "event", "role", "text")
     return own.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "event", "role", "text").select("conv_id", "event", "role", "text").mapInArrow(run, schema)
+
+
+#: The query over whole messages in DuckDB, with the fixed conversation.
+DIGEST_SQL = r"""
+WITH message AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), part AS (
+  SELECT *, length(regexp_replace(role, '(\\|<turn|</turn|###|>|\n)', '+\1', 'g')) + length(regexp_replace(text, '(\\|<turn|</turn|###)', '+\1', 'g')) + length('<turn >') + 1 + length('</turn>') + 2 AS chars FROM message
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, md5(text))) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, md5(text)) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM part GROUP BY conv_id
+"""

@@ -216,3 +216,22 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every document."""
     return dedup(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+#: The same in DuckDB, for unlike ids.
+DIGEST_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), win AS (
+  SELECT doc_id, s, md5(array_to_string(words[s + 1 : s + 35], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(len(words) - 34)) AS s FROM doc WHERE len(words) >= 35)
+), again AS (
+  SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, s + i AS i FROM (SELECT doc_id, s FROM win WHERE h IN (SELECT h FROM again)), (SELECT unnest(range(35)) AS i)
+), word AS (
+  SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS word FROM doc
+), kept AS (
+  SELECT w.doc_id, count(g.i) AS n_removed, string_agg(w.word, ' ' ORDER BY w.i) FILTER (g.i IS NULL) AS text FROM word w LEFT JOIN gone g ON w.doc_id = g.doc_id AND w.i = g.i GROUP BY w.doc_id
+)
+SELECT d.doc_id, len(d.words)::BIGINT AS n_words, coalesce(k.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM doc d LEFT JOIN kept k USING (doc_id)
+"""

@@ -75,4 +75,8 @@ QUERIES = {
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLE: dict[str, str] = {"op3_line_dedup": lines.DIGEST_SQL}
+ORACLE: dict[str, str] = {
+    "op3_line_dedup": lines.DIGEST_SQL,
+    "op6_substring_dedup": phrases.DIGEST_SQL,
+    "op10_chat_formatting": chat.DIGEST_SQL,
+}
