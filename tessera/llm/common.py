@@ -46,6 +46,34 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Cut points of one operator; those not dropped before are dropped at the end, when its result has been written."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.held = spark, {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop(*self.held.copy())
+
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        found = cut(df, name)
+        self.held[id(found)] = found
+        return found
+
+    def drop(self, *frames) -> None:
+        """Delete the files of frames that nothing will read again."""
+        for frame in frames:
+            found = self.held.pop(frame if isinstance(frame, int) else id(frame), None)
+            if found is not None:
+                folder = found.inputFiles()
+                for at in {x.rpartition("/")[0] for x in folder}:
+                    path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+                    path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Keep batches of long texts small enough for a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut
+from tessera.llm.common import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -29,11 +29,13 @@ def _state(edges: DataFrame) -> tuple:
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v), v the least node of u's component, for every node that isn't that itself. u and v may be of any sortable type."""
-    edges = cut(edges.where("u <> v").select("u", "v").distinct(), "edges")
+    scratch = Scratch(edges.sparkSession)
+    edges = scratch.cut(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = _state(edges)
     while True:
-        edges = cut(_small(_large(edges)), "stars")
-        found = _state(edges)
+        new = scratch.cut(_small(_large(edges)), "stars")
+        scratch.drop(edges)
+        edges, found = new, _state(new)
         if found == state:
             return edges
         state = found

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, row_of
+from tessera.llm.common import Scratch, cut, row_of
 
 MIN_LINES = 2
 _WORD = r"[^\x20\x09-\x0D]"
@@ -50,9 +50,15 @@ def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES, depth: int | None
     from p on are such lines; ``head``, ``tail``, equal for suffixes that share their first
     min_lines. Doubling ends when no rank splits any more, or beyond ``depth`` lines.
     """
-    lines = cut(lines_of(docs), "lines")
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(_suffix_array(docs, min_lines, depth, scratch), "suffixes")
+
+
+def _suffix_array(docs: DataFrame, min_lines: int, depth: int | None, scratch: Scratch) -> DataFrame:
+    lines = scratch.cut(lines_of(docs), "lines")
     repeated = lines.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    at = cut(lines.join(_numbered(repeated, "a", "b"), ["a", "b"]).select(*PLACE, "rank").dropDuplicates(PLACE).withColumn("run", F.lit(1)), "ranks")
+    at = scratch.cut(lines.join(_numbered(repeated, "a", "b"), ["a", "b"]).select(*PLACE, "rank").dropDuplicates(PLACE).withColumn("run", F.lit(1)), "ranks")
+    scratch.drop(lines)
     ids, h, interval = at.select("rank").distinct().count(), 1, None
     while True:
         if 2 * h > min_lines >= h:  # blocks of h lines, two of which cover min_lines
@@ -62,15 +68,17 @@ def suffix_array(docs: DataFrame, min_lines: int = MIN_LINES, depth: int | None
                 head = at.join(later, PLACE, "left").select(*PLACE, F.col("rank").alias("head"), "tail", F.when(F.col("run") == h, (min_lines - h) + F.coalesce("more", F.lit(h - min_lines))).otherwise(F.col("run")).alias("run"))
             else:
                 head = at.select(*PLACE, F.col("rank").alias("head"), F.col("rank").alias("tail"), "run")
-            interval = cut(head, "intervals")
+            interval = scratch.cut(head, "intervals")
         if depth is not None and interval is not None and h >= depth:
             break
         later = at.select("d", "t", (F.col("p") - h).alias("p"), F.col("rank").alias("next"), F.col("run").alias("more"))
         whole = F.col("run") == h
         pairs = at.join(later, PLACE, "left").select(*PLACE, "rank", F.coalesce("next", F.lit(-1)).alias("next"), (F.col("run") + F.when(whole, F.coalesce("more", F.lit(0))).otherwise(0)).alias("run")).withColumnRenamed("rank", "first")
-        numbered = cut(_numbered(pairs.select("first", "next").distinct(), "first", "next"), "numbered")
+        numbered = scratch.cut(_numbered(pairs.select("first", "next").distinct(), "first", "next"), "numbered")
         found = numbered.count()
-        at = cut(pairs.join(numbered, ["first", "next"]).select(*PLACE, "rank", "run"), "ranks")
+        new = scratch.cut(pairs.join(numbered, ["first", "next"]).select(*PLACE, "rank", "run"), "ranks")
+        scratch.drop(at, numbered)
+        at = new
         h *= 2
         if found == ids and interval is not None:
             break
