@@ -57,8 +57,8 @@ def coverage(hits: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 
 def facing(angles: DataFrame, most: float = -0.5) -> DataFrame:
-    """Pairs of parts whose normals point at each other."""
-    return angles.where(F.col("dot") < most)
+    """Pairs of parts whose normals point at each other; a part without a normal passes."""
+    return angles.where(F.coalesce(F.col("dot") < most, F.lit(True)))
 
 
 def visible(boxes: DataFrame, source: int, grow: float = 0.0, view: str = "top") -> DataFrame:

@@ -91,12 +91,12 @@ def part_normals(elements: DataFrame, nodes: DataFrame) -> DataFrame:
     return unit.withColumn("plane", F.when((x >= y) & (x >= z), "YZ").when(y >= z, "ZX").otherwise("XY"))
 
 
-def angles(normals: DataFrame) -> DataFrame:
-    """Every ordered pair of parts of the table with the dot product and the angle of their normals in degrees."""
-    a, b = normals.alias("a"), normals.alias("b")
-    dot = F.col("a.nx") * F.col("b.nx") + F.col("a.ny") * F.col("b.ny") + F.col("a.nz") * F.col("b.nz")
-    pairs = a.join(b, F.col("a.pid") != F.col("b.pid")).select(F.col("a.pid").alias("source"), F.col("b.pid").alias("part"), dot.alias("dot"))
-    return pairs.withColumn("degrees", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dot"))))))
+def angles(pairs: DataFrame, normals: DataFrame) -> DataFrame:
+    """Pairs (source, part) with the dot product and the angle of their normals in degrees; null where a part has none."""
+    side = lambda p, key: normals.select(F.col("pid").alias(key), *(F.col(c).alias(f"{p}{c}") for c in ("nx", "ny", "nz")))
+    both = pairs.join(side("a", "source"), "source", "left").join(side("b", "part"), "part", "left")
+    dot = F.col("anx") * F.col("bnx") + F.col("any") * F.col("bny") + F.col("anz") * F.col("bnz")
+    return both.select("source", "part", dot.alias("dot")).withColumn("degrees", F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("dot"))))))
 
 
 def centroids(elements: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import laminate
+from tessera.operators import laminate, script
 from tessera.plans.base import query, table
 
 _LAYERS = "SELECT l_orderkey AS part_id, l_linenumber % 3 AS layer_set, l_linenumber AS ord, l_quantity AS thickness, l_extendedprice AS bulk, l_extendedprice * l_discount AS g0, l_tax * 100 AS gi, l_discount AS density, l_tax AS beta, l_partkey::VARCHAR AS name FROM lineitem"
@@ -86,3 +86,25 @@ def apply_stack_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") + 10).alias("pid")).distinct()
     known = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.lit(1).alias("known"))
     return config.join(known, "pid", "left").agg(F.count("known").alias("applied"), (F.count("*") - F.count("known")).alias("skipped"))
+
+
+def _stack(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as parts, their lines as layers; every fifth order is off."""
+    o = table(spark, sf_dir, "orders")
+    parts = o.select(F.col("o_orderkey").alias("part_ord"), F.col("o_orderkey").alias("part_id"), (F.col("o_orderkey") % 5 != 0).alias("enabled"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.lit(1.0).alias("dz"), F.lit(0.0).alias("angle"))
+    i = table(spark, sf_dir, "lineitem")
+    kind = F.when(F.col("l_returnflag") == "A", "ELASTIC").when(F.col("l_returnflag") == "N", "ELASTOPLASTIC").otherwise("VISCOELASTIC")
+    layers = i.select(F.col("l_orderkey").alias("part_id"), (F.col("l_linenumber") % 3).alias("layer_set"), F.col("l_linenumber").alias("ord"), F.col("l_partkey").cast("string").alias("name"), F.col("l_quantity").alias("thickness"), kind.alias("type"), F.lit(1.5).alias("density"), F.col("l_extendedprice").alias("modulus"), F.col("l_discount").alias("add1"), F.col("l_tax").alias("add2"), F.lit(2.0).alias("add3"))
+    return parts, layers
+
+
+@query("WITH s AS (SELECT l_orderkey AS part_id, l_linenumber % 3 AS layer_set, sum(l_quantity) AS thickness, string_agg(l_partkey::VARCHAR, '_' ORDER BY l_linenumber, l_partkey::VARCHAR) AS name FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders) AND l_orderkey % 5 <> 0 GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (ORDER BY part_id, layer_set) AS mid FROM s) SELECT part_id, mid, name, printf('*THK%02d,%.3f', mid, thickness) AS line FROM n")
+def stack_thickness_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sets = script.layer_sets(*_stack(spark, sf_dir))
+    return sets.select("part_id", "mid", "name", F.concat(F.lit("*THK"), F.format_string("%02d", "mid"), F.lit(","), F.format_string("%.3f", "thickness")).alias("line"))
+
+
+@query()
+def stack_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole script of all orders' stacks as placed lines; its format is held against a written one in the tests."""
+    return script.script(*_stack(spark, sf_dir), "model.k")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import adjacency, mesh
+from tessera.operators import adjacency, mesh, views
 from tessera.plans.base import MESH_SQL, mesh_elements, mesh_nodes, query
 
 
@@ -75,9 +75,15 @@ def part_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("pid", *(F.round(c, 4).alias(c) for c in ("nx", "ny", "nz", "confidence")), "plane")
 
 
-@query(f"WITH {MESH_SQL}, {_NORMALS} SELECT a.pid AS source, b.pid AS part, round(degrees(acos(greatest(-1.0, least(1.0, a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))), 3) AS degrees FROM normal a JOIN normal b ON a.pid <> b.pid WHERE a.nx*b.nx+a.ny*b.ny+a.nz*b.nz < -0.5")
+@query(
+    f"WITH {MESH_SQL}, {_NORMALS} SELECT p.pid AS source, q.pid AS part, round(degrees(acos(greatest(-1.0, least(1.0, a.nx*b.nx+a.ny*b.ny+a.nz*b.nz)))), 3) AS degrees FROM box p JOIN box q ON p.pid <> q.pid AND greatest(0.0, q.min_z - p.max_z, p.min_z - q.max_z) <= 2.0 "
+    "LEFT JOIN normal a ON a.pid = p.pid LEFT JOIN normal b ON b.pid = q.pid WHERE coalesce(a.nx*b.nx+a.ny*b.ny+a.nz*b.nz < -0.5, true)"
+)
 def facing_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = adjacency.facing(mesh.angles(mesh.part_normals(*_mesh(spark, sf_dir))))
+    """Of parts within a gap, those whose normals point at each other."""
+    elements, nodes = _mesh(spark, sf_dir)
+    near = adjacency.within_gap(mesh.boxes(elements, nodes), "z", 2.0)
+    found = adjacency.facing(mesh.angles(near, mesh.part_normals(elements, nodes)))
     return found.select("source", "part", F.round("degrees", 3).alias("degrees"))
 
 
@@ -149,3 +155,10 @@ def ray_triangle(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = c.groupBy("eid", F.col("pid").alias("part")).agg(*(F.max(F.when(F.col("pos") == i, F.col(k))).alias(f"{p}{k}") for i, p in enumerate("abc") for k in "xyz"))
     rays = _rays(spark, sf_dir).withColumns({"dx": F.lit(0.0), "dy": F.lit(0.0), "dz": F.lit(1.0)})
     return adjacency.ray_triangles(rays, wide).groupBy("source", "part").agg(F.count("*").alias("hits"))
+
+
+@query()
+def perimeter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve points at even steps along every part's hull; the walk is tested on a rectangle."""
+    ring = mesh.projections(*_mesh(spark, sf_dir)).select("pid", "ring")
+    return views.along(ring, "pid", 12).select("pid", "sample", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
