@@ -16,10 +16,15 @@ BLOCK_LINES = 100_000
 
 
 def read_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """file, line_no and line of text decks. line_no grows along the file and says no more: large files are read in parts."""
+    """file, line_no and line of text decks. line_no grows along the file and says no more: large files are read in parts.
+
+    A line's number is where its part of the file begins, in bytes, and its place in the part, which is less than the
+    part's bytes. Parts may be read in any order.
+    """
     text = spark.read.text(paths if isinstance(paths, str) else list(paths))
-    part = F.col("_metadata.file_block_start")
-    return text.select(F.col("_metadata.file_path").alias("file"), (part * 0 + F.monotonically_increasing_id()).alias("line_no"), F.rtrim(F.col("value")).alias("line"))
+    rows = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"), F.rtrim(F.col("value")).alias("line"))
+    first = rows.groupBy("file", "start").agg(F.min("id").alias("first"))  # a row for each part
+    return rows.join(first, ["file", "start"]).select("file", (F.col("start") + F.col("id") - F.col("first")).alias("line_no"), "line")
 
 
 def lines_of_text(spark: SparkSession, content: str, name: str = "text") -> DataFrame:

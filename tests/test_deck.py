@@ -128,8 +128,16 @@ def test_files_and_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(source, "BLOCK_LINES", 7)
     body = "".join(f"{i:8d}{i / 2:16.1f}{0:16.1f}{0:16.1f}\n" for i in range(1, 400))
     (tmp_path / "a.k").write_text("*NODE\n" + body + "*END\n")
-    found = Deck.read(spark, str(tmp_path / "a.k"))["node"]
-    assert found.count() == 399 and found.agg(F.sum("x")).first()[0] == sum(range(1, 400)) / 2
+    (tmp_path / "b.k").write_text("*PART\nlast\n         5\n" + "$ x\n" * 900 + "*NODE\n" + body)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        deck = Deck.read(spark, str(tmp_path / "*.k"))
+        assert deck.lines.select("file", "line_no").distinct().count() == deck.lines.count() == 401 + 1303
+        ordered = [r.nid for r in deck["node"].where("file LIKE '%a.k'").orderBy("line_no").collect()]
+        assert ordered == list(range(1, 400)) and deck["node"].count() == 798
+        assert deck["node"].agg(F.sum("x")).first()[0] == sum(range(1, 400)) and deck["part"].first().title == "last"
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
 def test_export_round_trip(spark, tmp_path):
