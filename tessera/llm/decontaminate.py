@@ -196,3 +196,26 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: i
 
         docs = docs.select("*", F.col("text").cast("string").alias(text_name)).mapInArrow(run, ddl(docs))
     return docs
+
+
+#: The matches in DuckDB, for items and documents of five words or more with unlike ids: all windows of every pair that shares a shingle.
+MATCHES_SQL = r"""
+WITH doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL
+), item AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark WHERE text IS NOT NULL
+), doc_shingle AS (
+  SELECT doc_id, i, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT doc_id, w, unnest(range(len(w) - 4)) AS i FROM doc WHERE len(w) >= 5)
+), item_shingle AS (
+  SELECT item_id, s, count(*) AS n FROM (SELECT item_id, array_to_string(w[i + 1 : i + 5], ' ') AS s FROM (SELECT item_id, w, unnest(range(len(w) - 4)) AS i FROM item WHERE len(w) >= 5)) GROUP BY ALL
+), pair AS (
+  SELECT DISTINCT doc_id, item_id FROM doc_shingle JOIN item_shingle USING (s)
+), win AS (
+  SELECT doc_id, item_id, least(len(d.w), len(i.w)) AS span, len(i.w) - 4 AS whole, unnest(range(len(d.w) - least(len(d.w), len(i.w)) + 1)) AS start_word FROM pair JOIN doc d USING (doc_id) JOIN item i USING (item_id)
+), held AS (
+  SELECT win.doc_id, win.item_id, start_word, span, whole, s, count(*) AS n FROM win JOIN doc_shingle d ON d.doc_id = win.doc_id AND d.i BETWEEN start_word AND start_word + span - 5 GROUP BY ALL
+), likeness AS (
+  SELECT doc_id, item_id, start_word, sum(least(h.n, i.n))::DOUBLE / (any_value(span) - 4 + any_value(whole) - sum(least(h.n, i.n))) AS similarity FROM held h JOIN item_shingle i USING (item_id, s) GROUP BY doc_id, item_id, start_word
+)
+SELECT doc_id, item_id, start_word, similarity FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start_word) AS place FROM likeness) WHERE place = 1 AND similarity >= 0.8
+"""

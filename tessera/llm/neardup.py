@@ -303,3 +303,25 @@ def dedup(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFr
     stay = classes(docs, shingle, least).where("kept")
     one = stay.groupBy("component_id").agg(F.min(F.struct("o", "t")).alias("n")).where("component_id IS NOT NULL").select("n.o", "n.t").unionByName(stay.where("component_id IS NULL").select("o", "t").distinct())
     return own.join(one, ["o", "t"], "left_semi").dropDuplicates(["o", "t"]).select("row.*")
+
+
+#: The components by four-word shingles in DuckDB, for unlike ids and small tables: all links, and all that they reach.
+CLASSES_SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(CASE WHEN len(words) >= 4 THEN words[i + 1 : i + 4] ELSE words END, ' ') AS s
+  FROM (SELECT doc_id, words, unnest(range(greatest(1, len(words) - 3))) AS i FROM doc WHERE len(words) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS same FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * same >= 80 * (x.n + y.n - same)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM doc UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b
+), root AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, r.component_id, d.doc_id = r.component_id AS kept FROM doc d JOIN root r USING (doc_id) LEFT JOIN size s USING (doc_id)
+"""

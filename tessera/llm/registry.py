@@ -77,6 +77,8 @@ QUERIES = {
 
 ORACLE: dict[str, str] = {
     "op3_line_dedup": lines.DIGEST_SQL,
+    "op5_minhash_near_dedup": neardup.CLASSES_SQL,
     "op6_substring_dedup": phrases.DIGEST_SQL,
+    "op9_decontamination": decontaminate.MATCHES_SQL,
     "op10_chat_formatting": chat.DIGEST_SQL,
 }
