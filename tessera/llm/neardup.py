@@ -204,10 +204,11 @@ def _elements(compared: DataFrame, name: str, recurring=None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
                 continue
             keep = bitmap.member(recurring.value, keys, BITS)
+            length = size[row[keep]].astype(np.int64)
             row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(batch.column(k).take(row) for k in ("xo", "xt", "n", "d")), pa.array(place[keep])], names=["key", "o", "t", "n", "d", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(batch.column(k).take(row) for k in ("xo", "xt", "n", "d")), pa.array(place[keep]), pa.array(length)], names=["key", "o", "t", "n", "d", "place", "length"])
 
-    return compared.mapInArrow(run, "key bigint" if recurring is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint")
+    return compared.mapInArrow(run, "key bigint" if recurring is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint, length bigint")
 
 
 def _confirm(pairs: DataFrame, least: int) -> DataFrame:
@@ -271,10 +272,14 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, shingle: int,
     recurring = spark.sparkContext.broadcast(bitmap.build(shared, BITS))
     x = _elements(open_, "own", recurring).alias("x")
     y = _elements(around, "other", recurring).alias("y")
-    need = (near * (F.col("x.d") + F.col("y.d")) - far * (F.col("x.n") + F.col("y.n"))) / (2 * near)
-    most = 1 + F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place")) - 1
-    likely = x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.o") != F.col("y.o")) | (F.col("x.t") != F.col("y.t"))) & (most >= need))
-    again = likely.select(F.col("x.o").alias("xo"), F.col("x.t").alias("xt"), F.col("y.o").alias("co"), F.col("y.t").alias("ct")).distinct()
+    # how many elements the differences must share, and how many of these then lie within both prefixes:
+    # the i-th shared one has all the later ones behind it, so it is in a prefix that leaves t - 1 elements out if i <= need - t + 1
+    need = F.ceil((near * (F.col("x.d") + F.col("y.d")) - far * (F.col("x.n") + F.col("y.n"))) / (2 * near))
+    within = need - F.greatest(F.col("x.d") - F.col("x.length"), F.col("y.d") - F.col("y.length"))
+    behind = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place"))
+    likely = x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.o") != F.col("y.o")) | (F.col("x.t") != F.col("y.t"))) & (behind + F.least(F.col("x.place"), F.col("y.place")) >= need))
+    shares = likely.groupBy(F.col("x.o").alias("xo"), F.col("x.t").alias("xt"), F.col("y.o").alias("co"), F.col("y.t").alias("ct")).agg(F.count("*").alias("n"), F.min(within).alias("within"))
+    again = shares.where("n >= within").select("xo", "xt", "co", "ct")
     found = _confirm(_with_sets(again, sets, "registers"), least).select(edge)
     return linked.unionByName(found)
 
