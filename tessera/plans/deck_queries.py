@@ -100,17 +100,20 @@ def part_ids_union(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LOOKUP = "l_orderkey, l_linenumber, {f}(l_partkey, l_shipdate::VARCHAR || lpad(l_partkey::VARCHAR, 12, '0')) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber"
-_WHEN = F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"))
+
+
+def _when():
+    return F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"))
 
 
 @query("SELECT " + _LOOKUP.format(f="arg_max"))
 def lookup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_partkey", _WHEN).alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_partkey", _when()).alias("l_partkey"))
 
 
 @query("SELECT " + _LOOKUP.format(f="arg_min"))
 def lookup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", _WHEN).alias("l_partkey"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", _when()).alias("l_partkey"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
