@@ -3,8 +3,8 @@
 A window is as many consecutive words of a document as a benchmark item has (a shorter
 document is one window). Window and item are alike by their weighted shingles: five-word
 shingles with their multiplicities, least counts over greatest counts. That is at least 0.8
-only if all but a ninth of the shingles agree, so only windows are fingerprinted whose
-start is within that many words of an item's place relative to a shared shingle.
+only if all but a ninth of the shingles agree, in whatever order, so the windows that are
+fingerprinted are all those that hold that many of the item's shingles.
 Fingerprints are 64-bit SimHashes. Those of the items are indexed by blocks of bits, one
 more block than the radius, so an item within the radius shares at least one block with
 the window; what is within the radius is compared exactly. At a likeness of 0.8 the mean
@@ -13,6 +13,7 @@ distance is 10 bits with a deviation of 3, so the radius of 24 lies five deviati
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -29,6 +30,8 @@ LEAST = 0.8
 RADIUS = 24
 #: Characters of benchmark texts that are sent to the tasks at a time; a larger benchmark takes several passes over the documents.
 BLOCK_CHARS = 16_000_000
+#: Windows that are fingerprinted at a time, or as many as an item has words.
+WINDOWS = 4096
 _BITS = np.arange(64, dtype=np.uint64)
 
 
@@ -61,7 +64,7 @@ class Index:
         self.least, self.radius = least, radius
         words = words_of([t for _, t in items], lower=True)
         self.ids, self.sizes, self.sets, prints = [], [], [], []
-        keys, owner, place = [], [], []
+        keys, owner = [], []
         for i, (item_id, _) in enumerate(items):
             own = words.hashes[words.first[i] : words.first[i + 1]]
             if not len(own):
@@ -69,15 +72,14 @@ class Index:
             parts = _shingled(own)
             keys.append(parts)
             owner.append(np.full(len(parts), len(self.ids)))
-            place.append(np.arange(len(parts)))
             self.ids.append(item_id)
             self.sizes.append(len(own))
             self.sets.append(Counter(parts.tolist()))
             prints.append(simhash(parts))
         self.prints = np.asarray(prints, np.uint64)
-        keys, owner, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owner, place))
+        keys, owner = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (keys, owner))
         order = np.argsort(keys, kind="stable")
-        self.keys, self.owner, self.place = keys[order].astype(np.uint64), owner[order].astype(np.int64), place[order].astype(np.int64)
+        self.keys, self.owner = keys[order].astype(np.uint64), owner[order].astype(np.int64)
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[(self.keys >> np.uint64(42)).astype(np.int64)] = True
         self.shortest = min(self.sizes, default=0)
@@ -112,13 +114,15 @@ class Index:
             if not len(rows):
                 continue
             low, high = (np.searchsorted(self.keys, every[rows], side) for side in ("left", "right"))
-            starts: dict[int, list[int]] = {}
+            shared: dict[int, list[int]] = {}
             for at, a, b in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True):
                 for k in range(a, b):
                     item = int(self.owner[k])
                     if min(SHINGLE, self.sizes[item]) == size:
-                        starts.setdefault(item, []).append(at - int(self.place[k]))
-            for item, places in starts.items():
+                        own = shared.setdefault(item, [])
+                        if not own or own[-1] != at:  # the item may have the shingle more than once
+                            own.append(at)
+            for item, places in shared.items():
                 self._item(item, hashes, every, places, found)
         return sorted((self.ids[i], start, like) for i, (like, start) in found.items())
 
@@ -127,18 +131,27 @@ class Index:
         span = min(n, len(hashes))
         count = span - min(SHINGLE, n) + 1
         most = sum(self.sets[item].values())
-        need = self.least * (count + most) / (1 + self.least)  # shingles that must agree
-        slack = int(max(count, most) - need) + 1
+        need = max(math.ceil(self.least * (count + most) / (1 + self.least) - 1e-9), 1)  # shingles that must agree
         if len(places) < need:  # too few shared shingles in the whole document
             return
-        last = len(hashes) - span
-        starts = sorted({min(max(p + d, 0), last) for p in set(places) for d in range(-slack, slack + 1)})
-        begin = starts[0]
-        signs = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(every[begin : starts[-1] + count]), 0, dtype=np.int32)))
-        at = np.asarray(starts) - begin
-        prints = _fingerprint(signs[at + count] - signs[at])
+        at = np.asarray(places)
+        # starts whose window holds the need shared shingles from the i-th on
+        low, high = np.maximum(at[need - 1 :] - (count - 1), 0), np.minimum(at[: len(at) - need + 1], len(hashes) - span)
+        fits = low <= high
+        low, high = low[fits], high[fits]
+        parted = np.flatnonzero(low[1:] > high[:-1] + 1) + 1
+        step = max(WINDOWS, count)
+        for one in np.split(np.arange(len(low)), parted) if len(low) else ():
+            end = int(high[one[-1]]) + 1
+            for begin in range(int(low[one[0]]), end, step):
+                self._windows(n, count, begin, min(begin + step, end), every, found)
+
+    def _windows(self, n: int, count: int, begin: int, end: int, every: np.ndarray, found: dict) -> None:
+        """Compare the windows that start from begin to before end with the items of n words."""
+        signs = np.concatenate((np.zeros((1, 64), np.int32), np.cumsum(_signs(every[begin : end - 1 + count]), 0, dtype=np.int32)))
+        prints = _fingerprint(signs[count:] - signs[:-count])
         for window, other in self.within(prints, n):
-            start = starts[window]
+            start = begin + window
             like = weighted_jaccard(Counter(every[start : start + count].tolist()), self.sets[other])
             if like >= self.least and (other not in found or (-like, start) < (-found[other][0], found[other][1])):
                 found[other] = (like, start)

@@ -300,3 +300,20 @@ def test_decontaminate(spark, docs):
     assert kept.columns == docs.columns and not {r.doc_id for r in kept.collect()} & (set(hit) - {None})
     assert decontaminate.matches(docs.limit(0), bench).count() == 0 and decontaminate.matches(docs, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(ROWS)
+
+
+def test_decontaminate_parts_in_another_order(spark):
+    item = [f"item{i}" for i in range(60)]
+    around = [f"around{i}" for i in range(200)]
+    texts = [(1, around[:100] + item[30:] + item[:30] + around[100:]), (2, item[30:] + item[:30]), (3, around[:50] + item[:30] + around[50:] + item[30:]), (4, (item[30:] + item[:30] + around) * 40)]
+    frame = spark.createDataFrame([(d, " ".join(w)) for d, w in texts], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    shingled = lambda w: Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    want = set()
+    for d, w in texts:
+        like, start = max((decontaminate.weighted_jaccard(shingled(w[s : s + 60]), shingled(item)), -s) for s in range(len(w) - 59))
+        if like >= 0.8:
+            want.add((d, 1, -start, round(like, 9)))
+    assert {d for d, *_ in want} == {1, 2, 4}
+    assert {(r.doc_id, r.item_id, r.start_word, round(r.similarity, 9)) for r in decontaminate.matches(frame, bench).collect()} == want
+    assert [r.doc_id for r in decontaminate.clean(frame, bench).collect()] == [3]
