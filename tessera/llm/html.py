@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,9 +42,6 @@ IMPLIED_END = {
     "optgroup": ({"option", "optgroup"}, {"select"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
 }
-#: Deeper elements are placed at this depth.
-DEEPEST = 120
-
 
 class Node:
     __slots__ = ("attrs", "children", "tag")
@@ -66,20 +63,29 @@ def tree(markup: str) -> Node:
     """Build the tree of a page or fragment; any input gives one."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of the open elements of each name but the root
 
     def put(node: Node) -> None:
         stack[-1].children.append(node)
-        if len(stack) < DEEPEST:
-            stack.append(node)
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def pop() -> None:
+        places[stack.pop().tag].pop()
+
+    def last(tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these names, 0 without one."""
+        return max((places[x][-1] for x in tags if places.get(x)), default=0)
 
     def close(tags: set[str], within: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                del stack[i:]
-                return close(tags, within)
-            if stack[i].tag in within:
-                return None
-        return None
+        beyond, first = last(within), 0
+        for x in tags:
+            for place in reversed(places.get(x, ())):
+                if place <= beyond:
+                    break
+                first = min(first or place, place)
+        while first and len(stack) > first:
+            pop()
 
     at, size = 0, len(markup)
     while at < size:
@@ -100,15 +106,13 @@ def tree(markup: str) -> Node:
             continue
         tag = found["tag"].lower()
         if found["end"]:
-            if tag in ("br", "p") and not any(x.tag == tag for x in stack):
+            if tag in ("br", "p") and not places.get(tag):
                 stack[-1].children.append(Node(tag))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in ("td", "th", "table") and tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
-                    break
+            place = last((tag,))
+            if place and (tag in ("table", "tr", "td", "th", "tbody", "thead", "tfoot") or place > last(("td", "th", "table"))):
+                while len(stack) > place:
+                    pop()
             continue
         attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(found["attrs"])} if found["attrs"].strip(" /\n\t") else {}
         if tag in ("html", "body") and len(stack) > 0:
@@ -117,14 +121,14 @@ def tree(markup: str) -> Node:
             stack[0].attrs = {**attrs, **stack[0].attrs}
             continue
         if stack[-1].tag == "head" and tag not in ("title", "meta", "link", "style", "script", "base", "noscript", "template"):
-            stack.pop()  # the head ends where content begins
+            pop()  # the head ends where content begins
         if tag in ENDS_PARAGRAPH:
             close({"p"}, {"table", "td", "th", "button", "li", "object"})
         if tag in IMPLIED_END:
             close(*IMPLIED_END[tag])
         if tag in ("td", "th") and stack[-1].tag != "tr":
             put(Node("tr"))
-        if tag == "tr" and not any(x.tag == "table" for x in stack):
+        if tag == "tr" and not places.get("table"):
             put(Node("table"))
         node = Node(tag, attrs)
         if tag in VOID:
@@ -178,7 +182,22 @@ class Page:
         self.gap = self.gap or spaced
 
 
-def render_into(page: Page, node: Node, pre: bool = False) -> None:
+def _finish(render: Generator) -> list[str] | None:
+    """What a render step returns. Steps yield the steps they need, which are held on a list: nesting has no depth it can't reach."""
+    steps, value = [render], None
+    while steps:
+        try:
+            step = steps[-1].send(value)
+        except StopIteration as done:
+            steps.pop()
+            value = done.value
+        else:
+            steps.append(step)
+            value = None
+    return value
+
+
+def render_into(page: Page, node: Node, pre: bool = False) -> Generator:
     for child in node.children:
         if isinstance(child, str):
             page.text(child, pre)
@@ -192,11 +211,11 @@ def render_into(page: Page, node: Node, pre: bool = False) -> None:
             page.block(True)
         elif tag == "table":
             page.block(True)
-            page.write(table_lines(child))
+            page.write((yield table_lines(child)))
             page.block(True)
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(True)
-            page.write(list_lines(child))
+            page.write((yield list_lines(child)))
             page.block(True)
         elif tag == "img" or tag == "input":
             if tag == "input" and child.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url"):
@@ -205,26 +224,26 @@ def render_into(page: Page, node: Node, pre: bool = False) -> None:
             page.block(tag in SPACED)
             if tag == "dd" or tag == "blockquote":
                 inner = Page()
-                render_into(inner, child)
+                yield render_into(inner, child)
                 inner.end()
                 page.write(["  " + x if x else "" for x in inner.lines])
             else:
-                render_into(page, child, pre or tag == "pre" or tag == "textarea")
+                yield render_into(page, child, pre or tag == "pre" or tag == "textarea")
                 if tag == "pre":
                     page.end(keep=True) if any(x.strip() for x in page.line) else page.line.clear()
             page.block(tag in SPACED)
         else:
-            render_into(page, child, pre or tag == "textarea")
+            yield render_into(page, child, pre or tag == "textarea")
 
 
-def lines_of(node: Node) -> list[str]:
+def lines_of(node: Node) -> Generator:
     page = Page()
-    render_into(page, node)
+    yield render_into(page, node)
     page.end()
     return page.lines
 
 
-def list_lines(node: Node) -> list[str]:
+def list_lines(node: Node) -> Generator:
     """Items with their mark, further lines indented below the text; other content as it comes."""
     out: list[str] = []
     start = node.attrs.get("start", "1")
@@ -234,7 +253,7 @@ def list_lines(node: Node) -> list[str]:
             if child.strip():
                 out.append(_SPACE.sub(" ", child).strip())
         elif child.shown():
-            lines = lines_of(child) if child.tag == "li" else lines_of(_wrap(child))
+            lines = yield lines_of(child if child.tag == "li" else _wrap(child))
             if child.tag == "li":
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
@@ -250,7 +269,7 @@ def _wrap(node: Node) -> Node:
     return holder
 
 
-def _rows(node: Node, rows: list[list[list[str]]], before: list[str]) -> None:
+def _rows(node: Node, rows: list[list[list[str]]], before: list[str]) -> Generator:
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
@@ -264,21 +283,21 @@ def _rows(node: Node, rows: list[list[list[str]]], before: list[str]) -> None:
                     if cell.strip():
                         cells.append([_SPACE.sub(" ", cell).strip()])
                 elif cell.shown():
-                    cells.append(lines_of(cell) if cell.tag in ("td", "th") else lines_of(_wrap(cell)))
+                    cells.append((yield lines_of(cell if cell.tag in ("td", "th") else _wrap(cell))))
                     span = cell.attrs.get("colspan", "1")
                     cells += [[]] * (min(int(span), 1000) - 1 if span.isdigit() and span != "0" and len(span) < 5 else 0)
             rows.append(cells)
         elif child.tag in ("thead", "tbody", "tfoot"):
-            _rows(child, rows, before)
+            yield _rows(child, rows, before)
         else:
-            before += lines_of(_wrap(child))
+            before += yield lines_of(_wrap(child))
 
 
-def table_lines(node: Node) -> list[str]:
+def table_lines(node: Node) -> Generator:
     """Rows with their columns aligned, two spaces apart; captions and stray content come first."""
     rows: list[list[list[str]]] = []
     out: list[str] = []
-    _rows(node, rows, out)
+    yield _rows(node, rows, out)
     widths: list[int] = []
     for cells in rows:
         for i, cell in enumerate(cells):
@@ -293,7 +312,7 @@ def table_lines(node: Node) -> list[str]:
 
 def text_of(markup: str | None) -> str:
     """The visible text of a page; empty for null."""
-    return "\n".join(lines_of(tree(markup))).strip("\n") if markup else ""
+    return "\n".join(_finish(lines_of(tree(markup)))).strip("\n") if markup else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:

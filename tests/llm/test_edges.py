@@ -268,6 +268,15 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("depth", [0, 100, 200, 50_000])
+def test_html_is_whole_at_any_depth(depth):
+    inside = "<div hidden>no<div>no</div>no</div>yes<p style='display:none'>no</p><ul><li>a<li>b<ol><li>c</ol></ul><table><tr><th>k<th>value<tr><td>long cell<td>1</table><blockquote>q</blockquote>"
+    want = "yes\n\n- a\n- b\n\n  1. c\n\nk          value\nlong cell  1\n\n  q"
+    assert html.text_of("<font>" * depth + inside) == want
+    assert html.text_of("<div>" * depth + inside + "</div>" * depth + "<p>after") == want + "\n\nafter"
+    assert html.text_of("<p>before<div hidden>" + "<b>" * depth + "<div>no</div><i hidden>no</i>no</div>" + "after") == "before\n\nafter"
+
+
 def test_decontaminate(spark, docs):
     items = [(1, PASSAGE), (2, "one"), (3, None), (4, ""), (5, " ".join(f"base{i}" for i in range(30, 70))), (6, PASSAGE), (7, "second line end"), (8, " ".join(f"pass{i}" for i in range(58)) + " q q")]
     bench = spark.createDataFrame([(*r, 0) for r in items], "item_id bigint, text string, doc_id int")
