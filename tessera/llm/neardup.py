@@ -285,7 +285,7 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, shingle: int,
 
 
 def classes(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, and (o, t), the document as a node, for every row of docs.
+    """doc_id, n_shingles, component_id, kept, (o, t), the document as a node, and (root_o, root_t), its component's root, for every row of docs.
 
     Documents without words are linked with nothing. A null doc_id takes part and is never the
     smallest unless all of its component are null; then component_id is null and kept true. Repeated
@@ -295,18 +295,20 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
         sketches = scratch.cut(sketch(docs, shingle), "sketches")
         worded = sketches.where("n_shingles > 0")
         nodes = scratch.cut(worded.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("node")).select("digest", "node.o", "node.t"), "nodes")
-        roots = components(links(docs, sketches, nodes, shingle, least, scratch)).select(F.col("u.o").alias("no"), F.col("u.t").alias("nt"), F.col("v.o").alias("root"))
-        named = nodes.select("digest", F.col("o").alias("no"), F.col("t").alias("nt")).join(roots, ["no", "nt"], "left").select("digest", F.coalesce("root", "no").alias("root"))
+        roots = components(links(docs, sketches, nodes, shingle, least, scratch)).select(F.col("u.o").alias("no"), F.col("u.t").alias("nt"), F.col("v").alias("root"))
+        named = nodes.select("digest", F.col("o").alias("no"), F.col("t").alias("nt")).join(roots, ["no", "nt"], "left").select("digest", F.coalesce("root.o", "no").alias("root"), F.coalesce("root.t", "nt").alias("root_t"))
         found = sketches.drop("registers").join(named, "digest", "left")
         component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("root") != NO_ID, F.col("root")))
-        return cut(found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "o", "t"), "classes")
+        return cut(found.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "o", "t", F.coalesce("root", "o").alias("root_o"), F.coalesce("root_t", "t").alias("root_t")), "classes")
 
 
 def dedup(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
-    """The rows of docs that stay: of each component the one with the smallest doc_id, of rows with equal id and text one."""
+    """The rows of docs that stay: of each component its root, one with the smallest doc_id, of rows with equal id and text one.
+
+    Documents that are not linked both stay, whether or not their ids are equal or null.
+    """
     own = docs.select(row_of(docs).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("t"))
-    stay = classes(docs, shingle, least).where("kept")
-    one = stay.groupBy("component_id").agg(F.min(F.struct("o", "t")).alias("n")).where("component_id IS NOT NULL").select("n.o", "n.t").unionByName(stay.where("component_id IS NULL").select("o", "t").distinct())
+    one = classes(docs, shingle, least).where("o = root_o AND t = root_t").select("o", "t")
     return own.join(one, ["o", "t"], "left_semi").dropDuplicates(["o", "t"]).select("row.*")
 
 

@@ -215,6 +215,15 @@ def test_neardup_chains(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == plain_components(rows, 4, 80)
 
 
+def test_neardup_keeps_the_root_of_each_component(spark):
+    other = " ".join(f"unlike{i}" for i in range(90))
+    rows = [(1, BASE), (1, other), (2, NEAR), (2, ""), (2, " "), (None, other + " more"), (None, "lone one"), (None, "solo"), (None, PASSAGE), (None, PASSAGE + " y"), (None, PASSAGE + " z"), (3, "lone one two three four five"), (3, "lone one two three four five")]
+    got = Counter((r.doc_id, r.text) for r in neardup.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    passages = [x for x in got.elements() if x[1].startswith(PASSAGE)]
+    assert len(passages) == 1 and passages[0] in rows
+    assert got - Counter(passages) == Counter([(1, BASE), (1, other), (2, ""), (2, " "), (None, "lone one"), (None, "solo"), (3, "lone one two three four five")])
+
+
 def test_phrases(spark, docs):
     rows = ROWS
     own = [words(t) for _, t in rows]
