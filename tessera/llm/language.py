@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from tessera.llm.common import slices, small_batches
 
-#: Most documents that the frequencies are learned from: those whose ids hash lowest.
+#: Most documents of a language that its frequencies are learned from: those whose ids hash lowest.
 SAMPLE_ROWS = 4_000
 #: Most words, and most n-grams of each length, that the model keeps for a language: the most frequent.
 WORDS, NGRAMS = 20_000, 5_000
@@ -103,16 +103,29 @@ def _grams(k: int):
     return F.transform(starts, lambda i: F.substring(F.col("padded"), i, F.lit(k)))
 
 
+def _lowest(ids: DataFrame, rows: int) -> DataFrame:
+    """lang and doc_id of the ``rows`` rows of each language whose ids hash lowest.
+
+    Hashes are counted by their leading bits first, so that few more than ``rows`` of a language have to be sorted.
+    """
+    keyed = ids.withColumn("hash", F.xxhash64("doc_id")).withColumn("lead", F.shiftright("hash", 52))
+    counts = keyed.groupBy("lang", "lead").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("lang").orderBy("lead")) - F.col("n"))
+    bound = before.where(F.col("before") < rows).groupBy("lang").agg(F.max("lead").alias("bound"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id"))
+    return keyed.join(F.broadcast(bound), "lang").where("lead <= bound").withColumn("place", place).where(F.col("place") <= rows).select("lang", "doc_id")
+
+
 def train(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = WORDS, ngrams: int = NGRAMS) -> Model:
-    """Learn from text and lang of documents that are not held out, at most ``rows`` of them.
+    """Learn from text and lang of documents that are not held out, at most ``rows`` of each language, so that none is missed beside a large one.
 
     The model is bounded by ``words`` and ``ngrams`` a language and so can be sent to every task.
     Documents without lang or text teach nothing; without any, every prediction is ``und``.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = usable.select(F.col("doc_id").cast("bigint").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    # the broadcast side holds at most ``rows`` ids
-    sample = usable.withColumn("doc_id", F.col("doc_id").cast("bigint")).join(F.broadcast(ids.distinct()), "doc_id").select(F.col("lang").cast("string").alias("lang"), F.lower(F.col("text").cast("string")).alias("text"))
+    ids = _lowest(usable.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("bigint").alias("doc_id")), rows)
+    # the broadcast side holds at most ``rows`` ids a language
+    sample = usable.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(ids.distinct()), ["lang", "doc_id"]).select("lang", "text")
     word = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_LETTER_RUN), F.lit(0))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")).persist()
     top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
     size = F.char_length("term")

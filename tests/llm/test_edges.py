@@ -167,6 +167,21 @@ def test_language(spark, docs):
     assert language.identify(docs.withColumn("lang", docs.lang.cast("string")).where("false")).count() == 0
 
 
+def test_language_learns_rare_languages(spark):
+    rows = [(i, f"the cat sat on the mat {i}", "en") for i in range(600)] + [(i, "der hund und die katze", "de") for i in range(600, 606)] + [(i, "le chien et le chat", "fr") for i in range(606, 612)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language.train(docs, rows=20)
+    assert model.languages == ["de", "en", "fr"]
+    got = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert got == {d: lang for d, _, lang in rows}
+    usable = docs.where(~language.held_out())
+    want = {}
+    for lang, d in usable.selectExpr("lang", "doc_id").orderBy(language.F.xxhash64("doc_id")).collect():
+        want.setdefault(lang, []).append(d)
+    found = sorted(map(tuple, language._lowest(usable.select("lang", "doc_id"), 20).collect()))
+    assert found == sorted((lang, d) for lang, own in want.items() for d in own[:20])
+
+
 def test_language_held_out(spark, sf_dir):
     own = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language.identify(own).join(own.select("doc_id", "lang"), "doc_id").where("held_out")
