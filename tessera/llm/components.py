@@ -27,9 +27,11 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v), v the least node of u's component, for every node that isn't that itself. u and v may be of any sortable type."""
-    scratch = Scratch(edges.sparkSession)
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(u, v), v the least node of u's component, for every node that isn't that itself. u and v may be of any sortable type.
+
+    The result is a cut point of ``scratch``, and goes with it.
+    """
     edges = scratch.cut(edges.where("u <> v").select("u", "v").distinct(), "edges")
     state = _state(edges)
     while True:

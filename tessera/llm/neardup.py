@@ -3,14 +3,16 @@
 1. Each document becomes its set of word shingles. Each shingle's hash picks one of the
    buckets; a bucket keeps the least of the rest of its hashes, stored as the count of
    leading zeros and a few mantissa bits. Documents with equal sets are one node from here on.
-2. Registers are banded, empty ones filled from others. Nodes that share a band meet there, and each is compared with the
-   band's least node, its centre, on full sets: no pairs are made within a band.
+2. Registers are banded, empty ones filled from others. Nodes that share a band meet there, and each
+   meets only the band's centre: the node whose bands hold the most nodes, in a group of copies one close to what
+   they were copied from. No pairs are made within a band. A pair is a link if it passes the
+   collision-corrected estimate of the Jaccard similarity and then the exact comparison.
 3. What a centre leaves open is settled without comparing its nodes with each other. Let D(x)
    be the symmetric difference of x and the centre. If x isn't linked with the centre, then
    x and y can only be linked if D(x) and D(y) share more than about half of D(y), so by the
-   prefix principle they share one of their first few elements, those outside the centre
-   counting first. Such pairs pass the collision-corrected estimate of the Jaccard
-   similarity and then the exact comparison.
+   prefix principle they share one of their first few elements. The rarest come first, so an edit that
+   thousands of copies share is in a prefix only where nearly the whole difference is so common. Pairs that share
+   enough of both prefixes and aren't connected yet pass the estimate and then the exact comparison.
 4. Links make components.
 
 Two documents at a similarity of 0.8 miss all 51 bands of five with a chance of 2e-9, and any
@@ -34,7 +36,6 @@ from tessera.llm.words import mix, shingle_sets, words_of
 
 SHINGLE, LEAST = 5, 80
 BUCKETS, MANTISSA, BAND = 256, 10, 5
-BITS = 27
 NO_ID = 2**63 - 1
 
 
@@ -123,24 +124,26 @@ def _node(prefix: str = "") -> Column:
     return F.struct(F.col(f"{prefix}o").alias("o"), F.col(f"{prefix}t").alias("t"))
 
 
-def _band_rows(sketches: DataFrame, nodes, recurring=None) -> DataFrame:
-    """Bands of the nodes among the sketches; with a bitmap of recurring keys, those alone and with their nodes."""
+def _band_rows(sketches: DataFrame, nodes, common=None) -> DataFrame:
+    """Bands of the nodes among the sketches; with the levels of common keys, those that recur, with their nodes and the sum of the node's levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            batch = whole.filter(pa.array(bitmap.member(nodes.value, whole.column("node").to_numpy().view(np.uint64), BITS)))
+            batch = whole.filter(pa.array(nodes.value.member(whole.column("node").to_numpy().view(np.uint64))))
             keys = [band_keys(np.frombuffer(x, np.uint16)) for x in batch.column("registers").to_pylist()]
             owner = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-            if recurring is None:
+            if common is None:
                 yield pa.RecordBatch.from_arrays([pa.array(every.view(np.int64))], names=["key"])
                 continue
-            keep = bitmap.member(recurring.value, every, BITS)
-            owner = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(every[keep].view(np.int64)), batch.column("o").take(owner), batch.column("t").take(owner)], names=["key", "o", "t"])
+            keep = common.value.member(every)
+            weight = np.bincount(owner, common.value.level(every), len(keys)).astype(np.int64)
+            owner = owner[keep]
+            rows = pa.array(owner)
+            yield pa.RecordBatch.from_arrays([pa.array(every[keep].view(np.int64)), batch.column("o").take(rows), batch.column("t").take(rows), pa.array(weight[owner])], names=["key", "o", "t", "weight"])
 
     own = sketches.where("n_shingles > 0").select("o", "t", "registers", F.xxhash64("o", "t").alias("node"))
-    return own.mapInArrow(run, "key bigint" if recurring is None else "key bigint, o bigint, t bigint")
+    return own.mapInArrow(run, "key bigint" if common is None else "key bigint, o bigint, t bigint, weight bigint")
 
 
 def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
@@ -149,35 +152,34 @@ def _lists(batch: pa.RecordBatch, name: str) -> Iterator[np.ndarray]:
     return (values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True))
 
 
+def _alike(x: np.ndarray, y: np.ndarray, least: int) -> bool:
+    """Whether the estimate from registers allows a link: not if it is eight deviations short of ``least``."""
+    like, count = estimate(registers(x), registers(y), len(x), len(y))
+    return like + 8 * np.sqrt(0.25 / max(count, 1)) >= least / 100
+
+
 def _compare(pairs: DataFrame, least: int) -> DataFrame:
-    """Exact comparison of each node with its centre, and the prefixes of their difference.
+    """Each node with its centre: whether they are linked, the sizes n of the node, m of the centre and d of the difference, and the difference.
 
-    With d the size of a difference and s the sum of sizes, two sets are linked if
-    (100 - least) s >= (100 + least) d.
+    With s the sum of sizes, two sets are linked if (100 - least) s >= (100 + least) d.
     """
     far, near = 100 - least, 100 + least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
-            own, other = [], []
+            out: list[list] = [[] for _ in range(4)]
+            every = [np.zeros(0, np.uint64)]
             for x, c in zip(_lists(batch, "xs"), _lists(batch, "cs"), strict=True):
-                in_c, in_x = _inside(x, c), _inside(c, x)
-                outside, missing = x[~in_c], c[~in_x]
-                d, n, m = len(outside) + len(missing), len(x), len(c)
-                linked = far * (n + m) >= near * d
-                needed = -(-(near * d + far * (m - n) + 1) // (2 * near))  # shared with any set that isn't linked with the centre
-                difference = np.concatenate((outside, missing)).view(np.int64)
-                other.append(difference[: max(0, d - needed + 1)])
-                needed = max(1, -(-(near * d - far * (n + m)) // (far + near)))
-                own.append(difference[:0] if linked else difference[: max(0, d - needed + 1)])
-                for k, value in enumerate((linked, n, d, m, len(outside))):
+                difference = np.concatenate((x[~_inside(x, c)], c[~_inside(c, x)]))
+                d, n, m = len(difference), len(x), len(c)
+                for k, value in enumerate((_alike(x, c, least) and far * (n + m) >= near * d, n, m, d)):
                     out[k].append(value)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]).astype(np.int32)), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64))) for x in (own, other)]
-            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("xo", "xt", "co", "ct")), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), *lists], names=["xo", "xt", "co", "ct", "linked", "n", "d", "m", "outside", "own", "other"])
+                every.append(difference)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in every]).astype(np.int32)), pa.array(np.concatenate(every).view(np.int64)))
+            kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("xo", "xt", "co", "ct")), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True)), lists], names=["xo", "xt", "co", "ct", "linked", "n", "m", "d", "difference"])
 
-    return pairs.mapInArrow(run, "xo bigint, xt bigint, co bigint, ct bigint, linked boolean, n bigint, d bigint, m bigint, outside bigint, own array<bigint>, other array<bigint>")
+    return pairs.mapInArrow(run, "xo bigint, xt bigint, co bigint, ct bigint, linked boolean, n bigint, m bigint, d bigint, difference array<bigint>")
 
 
 def _inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -187,28 +189,38 @@ def _inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
 
 
-def _elements(compared: DataFrame, name: str, recurring=None) -> DataFrame:
-    """A row for each element of a prefix, keyed with its centre; with a bitmap, only those in it, with sizes and place."""
+def _elements(compared: DataFrame, least: int, common=None, of_open: bool = False) -> DataFrame:
+    """A row for each element of a difference, keyed with its centre.
+
+    With the levels of common keys, only those of the prefix that recur, the rarest first, with sizes, place and the
+    prefix's length. The prefix leaves out one element less than must be shared: with any node that isn't
+    linked with the centre, or of_open, with any node at all for one that isn't.
+    """
+    far, near = 100 - least, 100 + least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(name)
-            offsets = column.offsets.to_numpy()
+            column = batch.column("difference")
+            offsets = column.offsets.to_numpy().astype(np.int64)
             values = column.values.to_numpy()[offsets[0] : offsets[-1]].view(np.uint64)
-            size = np.diff(offsets)
-            row = np.repeat(np.arange(batch.num_rows), size)
+            offsets = offsets - offsets[0]
+            row = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
             centre = mix(batch.column("co").to_numpy().view(np.uint64) + mix(batch.column("ct").to_numpy().view(np.uint64)))
             keys = mix(values ^ centre[row])
-            place = np.arange(len(values)) - np.repeat(offsets[:-1] - offsets[0], size)
-            if recurring is None:
+            if common is None:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
                 continue
-            keep = bitmap.member(recurring.value, keys, BITS)
-            length = size[row[keep]].astype(np.int64)
-            row = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(batch.column(k).take(row) for k in ("xo", "xt", "n", "d")), pa.array(place[keep]), pa.array(length)], names=["key", "o", "t", "n", "d", "place", "length"])
+            n, m, d = (batch.column(k).to_numpy() for k in ("n", "m", "d"))
+            needed = np.maximum(1, -(-(near * d - far * (n + m)) // (far + near))) if of_open else -(-(near * d + far * (m - n) + 1) // (2 * near))
+            length = np.clip(d - needed + 1, 0, d)
+            order = np.lexsort((keys, common.value.level(keys), row))
+            keys = keys[order]
+            place = np.arange(len(keys)) - offsets[:-1][row]
+            keep = (place < length[row]) & common.value.member(keys)
+            rows = pa.array(row[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(batch.column(k).take(rows) for k in ("xo", "xt", "n", "d")), pa.array(place[keep]), pa.array(length[row[keep]])], names=["key", "o", "t", "n", "d", "place", "length"])
 
-    return compared.mapInArrow(run, "key bigint" if recurring is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint, length bigint")
+    return compared.mapInArrow(run, "key bigint" if common is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint, length bigint")
 
 
 def _confirm(pairs: DataFrame, least: int) -> DataFrame:
@@ -217,70 +229,72 @@ def _confirm(pairs: DataFrame, least: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y, a, b in zip(_lists(batch, "xs"), _lists(batch, "cs"), batch.column("xr").to_pylist(), batch.column("cr").to_pylist(), strict=True):
-                like, count = estimate(np.frombuffer(a, np.uint16), np.frombuffer(b, np.uint16), len(x), len(y))
-                if like + 8 * np.sqrt(0.25 / max(count, 1)) < least / 100:  # eight deviations short
-                    keep.append(False)
-                    continue
-                same = int(_inside(x, y).sum())
+            for x, y in zip(_lists(batch, "xs"), _lists(batch, "cs"), strict=True):
+                same = int(_inside(x, y).sum()) if _alike(x, y, least) else 0
                 keep.append(100 * same >= least * (len(x) + len(y) - same))
             yield batch.select(["xo", "xt", "co", "ct"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.mapInArrow(run, "xo bigint, xt bigint, co bigint, ct bigint")
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame, *more: str) -> DataFrame:
-    """Pairs (x, c) with the sets of both, and of ``more`` columns both values."""
-    named = lambda p: [F.col("o").alias(f"{p}o"), F.col("t").alias(f"{p}t"), F.col("s").alias(f"{p}s"), *(F.col(k).alias(f"{p}{k[0]}") for k in more)]
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (x, c) with the sets of both."""
+    named = lambda p: [F.col("o").alias(f"{p}o"), F.col("t").alias(f"{p}t"), F.col("s").alias(f"{p}s")]
     return pairs.join(sets.select(named("x")), ["xo", "xt"]).join(sets.select(named("c")), ["co", "ct"])
 
 
 def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, shingle: int, least: int, scratch: Scratch) -> DataFrame:
-    """Edges (u, v) between linked nodes, nodes being (o, t); enough of them that every linked pair is connected."""
+    """Edges (u, v) between nodes, a node being (o, t), that connect what the links connect."""
     spark = docs.sparkSession
-    chosen = spark.sparkContext.broadcast(bitmap.build(nodes.select(F.xxhash64("o", "t").alias("key")), BITS))
-    recurring = spark.sparkContext.broadcast(bitmap.build(_band_rows(sketches, chosen).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), BITS))
-    members = _band_rows(sketches, chosen, recurring)
-    centres = members.groupBy("key").agg(F.min(_node()).alias("c"), F.count("*").alias("n")).where("n > 1")
-    met = members.join(centres, "key").where(_node() != F.col("c"))
+    chosen = spark.sparkContext.broadcast(bitmap.build(nodes.select(F.xxhash64("o", "t").alias("key"))))
+    counted = scratch.cut(_band_rows(sketches, chosen).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    common = spark.sparkContext.broadcast(bitmap.levels(counted, 2))
+    scratch.drop(counted)
+    members = _band_rows(sketches, chosen, common)
+    centres = members.groupBy("key").agg(F.min(F.struct((-F.col("weight")).alias("w"), "o", "t")).alias("c"), F.count("*").alias("n")).where("n > 1")
+    met = members.join(centres, "key").where((F.col("o") != F.col("c.o")) | (F.col("t") != F.col("c.t")))
     pairs = scratch.cut(met.select(F.col("o").alias("xo"), F.col("t").alias("xt"), F.col("c.o").alias("co"), F.col("c.t").alias("ct")).distinct(), "pairs")
     needed = pairs.select(F.col("xo").alias("o"), F.col("xt").alias("t")).unionByName(pairs.select(F.col("co").alias("o"), F.col("ct").alias("t"))).distinct()
-
-    wanted = spark.sparkContext.broadcast(bitmap.build(needed.select(F.xxhash64("o", "t").alias("key")), BITS))
+    wanted = spark.sparkContext.broadcast(bitmap.build(needed.select(F.xxhash64("o", "t").alias("key"))))
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            own = whole.filter(pa.array(bitmap.member(wanted.value, whole.column("key").to_numpy().view(np.uint64), BITS)))
+            own = whole.filter(pa.array(wanted.value.member(whole.column("key").to_numpy().view(np.uint64))))
             for batch in slices(own):
                 found = shingle_sets(words_of(batch.column("text").to_pylist(), lower=True), shingle)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]).astype(np.int32)), pa.array(np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("t"), lists, pa.array([registers(x).tobytes() for x in found], pa.binary())], names=["o", "t", "s", "registers"])
+                yield pa.RecordBatch.from_arrays([batch.column("o"), batch.column("t"), lists], names=["o", "t", "s"])
 
-    sets = _keyed(docs).select("o", "t", "text", F.xxhash64("o", "t").alias("key")).mapInArrow(sets_of, "o bigint, t bigint, s array<bigint>, registers binary")
+    sets = _keyed(docs).select("o", "t", "text", F.xxhash64("o", "t").alias("key")).mapInArrow(sets_of, "o bigint, t bigint, s array<bigint>")
     if not sketches.groupBy("o", "t").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         sets = sets.dropDuplicates(["o", "t"])  # rows that are repeated whole
     sets = scratch.cut(sets, "sets")
     compared = scratch.cut(_compare(_with_sets(pairs, sets), least), "compared")
+    scratch.drop(pairs)
     edge = [_node("x").alias("u"), _node("c").alias("v")]
-    linked = compared.where("linked").select(edge)
+    linked = components(compared.where("linked").select(edge), scratch)
 
     open_ = compared.where("NOT linked")
-    around = compared.join(open_.select("co", "ct").distinct(), ["co", "ct"], "left_semi")
-    far, near = 100 - least, 100 + least
-    longer = around.withColumn("own", F.when(F.size("own") > F.size("other"), F.col("own")).otherwise(F.col("other")))  # both begin the same list
-    shared = _elements(longer, "own").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    recurring = spark.sparkContext.broadcast(bitmap.build(shared, BITS))
-    x = _elements(open_, "own", recurring).alias("x")
-    y = _elements(around, "other", recurring).alias("y")
+    around = scratch.cut(compared.join(open_.select("co", "ct").distinct(), ["co", "ct"], "left_semi"), "around")
+    scratch.drop(compared)
+    shared = scratch.cut(_elements(around, least).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "elements")
+    common = spark.sparkContext.broadcast(bitmap.levels(shared, 2))
+    scratch.drop(shared)
+    x = _elements(around.where("NOT linked"), least, common, of_open=True).alias("x")
+    y = _elements(around, least, common).alias("y")
     # how many elements the differences must share, and how many of these then lie within both prefixes:
     # the i-th shared one has all the later ones behind it, so it is in a prefix that leaves t - 1 elements out if i <= need - t + 1
+    far, near = 100 - least, 100 + least
     need = F.ceil((near * (F.col("x.d") + F.col("y.d")) - far * (F.col("x.n") + F.col("y.n"))) / (2 * near))
     within = need - F.greatest(F.col("x.d") - F.col("x.length"), F.col("y.d") - F.col("y.length"))
     behind = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place"))
     likely = x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.o") != F.col("y.o")) | (F.col("x.t") != F.col("y.t"))) & (behind + F.least(F.col("x.place"), F.col("y.place")) >= need))
     shares = likely.groupBy(F.col("x.o").alias("xo"), F.col("x.t").alias("xt"), F.col("y.o").alias("co"), F.col("y.t").alias("ct")).agg(F.count("*").alias("n"), F.min(within).alias("within"))
-    again = shares.where("n >= within").select("xo", "xt", "co", "ct")
-    found = _confirm(_with_sets(again, sets, "registers"), least).select(edge)
+    pair = F.struct(F.least(_node("x"), _node("c")).alias("x"), F.greatest(_node("x"), _node("c")).alias("c"))
+    again = shares.where("n >= within").select(pair.alias("pair")).distinct().select(*(F.col(f"pair.{p}.{k}").alias(f"{p}{k}") for p in "xc" for k in "ot"))
+    root = lambda p: linked.select(F.col("u.o").alias(f"{p}o"), F.col("u.t").alias(f"{p}t"), F.col("v").alias(f"{p}root"))
+    apart = again.join(root("x"), ["xo", "xt"], "left").join(root("c"), ["co", "ct"], "left").where(F.coalesce("xroot", _node("x")) != F.coalesce("croot", _node("c")))
+    found = _confirm(_with_sets(apart.select("xo", "xt", "co", "ct"), sets), least).select(edge)
     return linked.unionByName(found)
 
 
@@ -295,7 +309,7 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
         sketches = scratch.cut(sketch(docs, shingle), "sketches")
         worded = sketches.where("n_shingles > 0")
         nodes = scratch.cut(worded.groupBy("digest").agg(F.min(F.struct("o", "t")).alias("node")).select("digest", "node.o", "node.t"), "nodes")
-        roots = components(links(docs, sketches, nodes, shingle, least, scratch)).select(F.col("u.o").alias("no"), F.col("u.t").alias("nt"), F.col("v").alias("root"))
+        roots = components(links(docs, sketches, nodes, shingle, least, scratch), scratch).select(F.col("u.o").alias("no"), F.col("u.t").alias("nt"), F.col("v").alias("root"))
         named = nodes.select("digest", F.col("o").alias("no"), F.col("t").alias("nt")).join(roots, ["no", "nt"], "left").select("digest", F.coalesce("root.o", "no").alias("root"), F.coalesce("root.t", "nt").alias("root_t"))
         found = sketches.drop("registers").join(named, "digest", "left")
         component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("root") != NO_ID, F.col("root")))

@@ -32,8 +32,6 @@ WINDOW = 35
 ANCHOR = 8
 #: Anchors that occur more often are counted window by window; up to so many places of one anchor, of 28 hashes each, are held together: 22 MB.
 FREQUENT = 100_000
-#: Bits of the bitmaps of recurring and of frequent anchors, as powers of two.
-RECURRING_BITS, FREQUENT_BITS = 27, 23
 
 
 def _document() -> list[Column]:
@@ -88,7 +86,7 @@ def _occurrences(docs: DataFrame, recurring, frequent, window: int, anchor: int,
                 words = words_of(batch.column("text").to_pylist())
                 start, place, grams = anchored(words, window, anchor)
                 keys = grams[place] if len(place) else np.zeros(0, np.uint64)
-                keep = bitmap.member(recurring.value, keys, RECURRING_BITS) & (bitmap.member(frequent.value, keys, FREQUENT_BITS) == often)
+                keep = recurring.value.member(keys) & (frequent.value.member(keys) == often)
                 start, place, keys = start[keep], place[keep], keys[keep]
                 hashes = mix(shingles(words.hashes, window)[start] + np.uint64(window)) if len(start) else keys
                 head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
@@ -136,8 +134,8 @@ def recurring_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHO
     spark = docs.sparkSession
     own = docs.select(*_document()).where("text IS NOT NULL")
     counted = _anchors(own, window, anchor).groupBy(F.col("anchor").alias("key")).agg(F.count("*").alias("n")).where("n > 1").persist()
-    recurring = spark.sparkContext.broadcast(bitmap.build(counted, RECURRING_BITS))
-    frequent = spark.sparkContext.broadcast(bitmap.build(counted.where(F.col("n") > FREQUENT), FREQUENT_BITS))
+    recurring = spark.sparkContext.broadcast(bitmap.build(counted))
+    frequent = spark.sparkContext.broadcast(bitmap.build(counted.where(F.col("n") > FREQUENT)))
     counted.unpersist()
     rare = _occurrences(own, recurring, frequent, window, anchor, False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring_here, "d bigint, t bigint, low int, mask bigint")
     each = _occurrences(own, recurring, frequent, window, anchor, True).select("d", "t", F.col("low"), F.posexplode("hashes").alias("i", "hash")).select("d", "t", (F.col("low") + F.col("i")).alias("low"), "hash")
