@@ -110,51 +110,68 @@ def test_packing_plan():
 
 
 def plain_lines(rows, k):
-    """Later copies by all windows of k lines, in document order."""
+    """Later copies by all runs of lines with k words or more, in document order."""
     unique = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0))
     first, gone = {}, {r: set() for r in unique}
     own = {r: [x for x in (r[1] or "").split("\n") if words(x)] for r in unique}
     for r in unique:
-        for i in range(len(own[r]) - k + 1):
-            if first.setdefault(tuple(own[r][i : i + k]), (r, i)) != (r, i):
-                gone[r].update(range(i, i + k))
+        count = [len(words(x)) for x in own[r]]
+        for i in range(len(own[r])):
+            for n in range(1, min(len(own[r]) - i, k + 2) + 1):
+                if sum(count[i : i + n]) >= k and first.setdefault(tuple(own[r][i : i + n]), (r, i)) != (r, i):
+                    gone[r].update(range(i, i + n))
     return own, gone
 
 
-@pytest.mark.parametrize("k", [1, 2, 3])
+def lines_left(r, gone):
+    left, n = [], -1
+    for x in (r[1] or "").split("\n"):
+        n += bool(words(x))
+        if not (words(x) and n in gone[r]):
+            left.append(x)
+    return "\n".join(left)
+
+
+@pytest.mark.parametrize("k", [1, 5, 9])
 def test_lines(spark, docs, k):
     own, gone = plain_lines(ROWS, k)
-    want = Counter()
-    for r in ROWS:
-        left, n = [], -1
-        for x in (r[1] or "").split("\n"):
-            n += bool(words(x))
-            if not (words(x) and n in gone[r]):
-                left.append(x)
-        want[r[0], None if r[1] is None else "\n".join(left), len(own[r]), len(gone[r])] += 1
+    want = Counter((r[0], None if r[1] is None else lines_left(r, gone), len(own[r]), len(gone[r])) for r in ROWS)
     found = lines.dedup(docs, k)
-    assert found.columns == [*(c for c in docs.columns if c != "n_lines"), "n_lines", "n_removed"]
-    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed) for r in found.collect()) == want
+    assert found.columns == [*docs.columns, "_n_lines", "n_removed"]  # docs has its own n_lines
+    assert Counter((r.doc_id, r.text, r._n_lines, r.n_removed) for r in found.collect()) == want
+    assert {r.n_lines for r in found.collect()} == {-1}
     assert lines.dedup(docs.limit(0), k).count() == 0
+    assert lines.dedup(docs.select("doc_id", "text"), k).columns == ["doc_id", "text", "n_lines", "n_removed"]
 
 
-def test_suffix_array_sorts_suffixes(spark):
-    texts = [(1, "a\nb\na\nb\na"), (2, "b\na\nb\nz"), (3, "a\nb\nc\na"), (4, "c\na\nb")]
+@pytest.mark.parametrize("k", [5, 12])
+def test_lines_of_one_word_make_long_runs(spark, k):
+    """Runs that only count over many lines, so every round of doubling is needed; a common line between unlike ones stays."""
+    rng = np.random.default_rng(5)
+    run = [f"r{i}" for i in range(k)]
+    rows = [(1, "\n".join(["a", *run, "b"])), (2, "\n".join(["c", *run, "d", *run[:-1], "e"])), (3, "\n".join(run[1:])), (4, "\n".join(["f", *run[: k // 2], "\t", *run[k // 2 :], *run]))]
+    rows += [(10 + i, "\n".join("x" + str(x) + " y" * (x % 3) for x in rng.integers(0, 4, 30))) for i in range(12)]
+    own, gone = plain_lines(rows, k)
+    got = {r.doc_id: (r.text, r.n_removed) for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), k).collect()}
+    assert got == {r[0]: (lines_left(r, gone), len(gone[r])) for r in rows}
+    assert got[2][1] == k and got[3][1] == 0 and got[4][1] == 2 * k
+
+
+def test_suffix_array_ranks_beginnings(spark):
+    texts = [(1, "a\nb\na\nb\na"), (2, "b\na\nb\nz"), (3, "a\nb\nc\na"), (4, "c\na\nb"), (5, "a\nb\na\nb\nc")]
     df = spark.createDataFrame(texts, "doc_id bigint, text string")
-    count = Counter(x for _, t in texts for x in t.split("\n"))
-    at = {}
-    for d, t in texts:
-        own = t.split("\n")
-        for p in range(len(own)):
-            end = next((q for q in range(p, len(own)) if count[own[q]] == 1), len(own))
-            if count[own[p]] > 1:
-                at[d, p] = tuple(own[p:end])
-    order = {r.a: r.rank for r in lines._numbered(lines.lines_of(df).select("a", "b").distinct(), "a", "b").collect()}
-    name = {x: r.a for x in count for r in [lines.lines_of(spark.createDataFrame([(1, x)], "doc_id bigint, text string")).first()]}
-    rank = {(r.d, r.p): r.rank for r in lines.suffix_array(df).collect()}
-    key = lambda place: [order[name[x]] for x in at[place]]
-    assert rank.keys() == at.keys()
-    assert all((rank[a] < rank[b]) == (key(a) < key(b)) for a in at for b in at)
+    at = {(d, p): t.split("\n")[p:] for d, t in texts for p in range(len(t.split("\n")))}
+    count = lambda run: sum(own[: len(run)] == run for own in at.values())
+    found = {(r.d, r.p): r for r in lines.suffix_array(df).collect()}
+    assert found.keys() == {k for k, own in at.items() if count(own[:1]) > 1}
+    for k, r in found.items():
+        assert r.lines == max(h for h in (1, 2, 4) if len(at[k]) >= h and count(at[k][:h]) > 1)
+    name = {x: r.a for x in "abc" for r in [lines.lines_of(spark.createDataFrame([(1, x)], "doc_id bigint, text string")).first()]}
+    for i, r in found.items():
+        for j, o in found.items():
+            if r.lines == o.lines:
+                one, other = ([name[x] for x in at[k][: r.lines]] for k in (i, j))
+                assert (r.rank < o.rank) == (one < other) and (r.rank == o.rank) == (one == other)
 
 
 def test_language(spark, docs):
@@ -230,6 +247,38 @@ def test_neardup_chains(spark):
     assert Counter((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()) == plain_components(rows, 4, 80)
 
 
+def test_neardup_of_many_copies_that_share_edits(spark):
+    """Hundreds of copies of one text that share their edits, all links by brute force over sets of numbers."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(220)]
+    rows = []
+    for d in range(700):
+        own = list(base)
+        for at in rng.choice(24, int(rng.integers(0, 14)), replace=False):
+            own[9 * at] = f"edit{at}" if rng.random() < 0.8 else f"own{d}"
+        rows.append((d, " ".join(own)))
+    sets = []
+    name = {}
+    for _, text in rows:
+        w = text.split()
+        sets.append(np.asarray(sorted({name.setdefault(tuple(w[i : i + 4]), len(name)) for i in range(len(w) - 3)})))
+    held = np.zeros((len(rows), len(name)), np.float32)
+    for i, own in enumerate(sets):
+        held[i, own] = 1
+    same = held @ held.T
+    size = held.sum(1)
+    linked = 100 * same >= 80 * (size[:, None] + size[None] - same)
+    root = np.arange(len(rows))
+    while True:
+        new = np.where(linked, root[None], len(rows)).min(1)
+        if (new == root).all():
+            break
+        root = new
+    got = {r.doc_id: r.component_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string"), 4).collect()}
+    assert got == dict(enumerate(root.tolist()))
+    assert 10 < len(set(root.tolist())) < 690
+
+
 def test_neardup_keeps_the_root_of_each_component(spark):
     other = " ".join(f"unlike{i}" for i in range(90))
     rows = [(1, BASE), (1, other), (2, NEAR), (2, ""), (2, " "), (None, other + " more"), (None, "lone one"), (None, "solo"), (None, PASSAGE), (None, PASSAGE + " y"), (None, PASSAGE + " z"), (3, "lone one two three four five"), (3, "lone one two three four five")]

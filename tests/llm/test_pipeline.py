@@ -4,7 +4,7 @@ from collections import Counter
 
 import corpus_pipeline
 from tessera.llm import decontaminate, quality
-from tests.llm.test_edges import plain_components, plain_lines, words
+from tests.llm.test_edges import lines_left, plain_components, plain_lines, words
 
 import numpy as np
 
@@ -30,16 +30,8 @@ def test_stages(spark, sf_dir):
             keep.append((r.doc_id, r.text))
     assert Counter(text(found["quality rules"])) == Counter(keep)
 
-    own, gone = plain_lines(keep, 2)
-    left = []
-    for r in keep:
-        if len(gone[r]) < len(own[r]):
-            n, lines = -1, []
-            for x in r[1].split("\n"):
-                n += bool(words(x))
-                if not (words(x) and n in gone[r]):
-                    lines.append(x)
-            left.append((r[0], "\n".join(lines)))
+    own, gone = plain_lines(keep, 5)
+    left = [(r[0], lines_left(r, gone)) for r in keep if len(gone[r]) < len(own[r])]
     assert Counter(text(found["line dedup"])) == Counter(left)
     assert all(r.n_chars == len(r.text) for r in found["line dedup"])
 
