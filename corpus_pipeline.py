@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, lines, neardup, packing, quality
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, table, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later copies of repeated line runs; those of which no line with a word is left go. n_chars follows the text."""
-    found = lines.dedup(docs).where("n_lines > n_removed").drop("n_lines", "n_removed")
-    return found.withColumn("n_chars", F.char_length("text").cast("bigint")).select(docs.columns) if "n_chars" in docs.columns else found.select(docs.columns)
+    n_lines, n_removed = unused(docs, "n_lines"), unused(docs, "n_removed")
+    found = lines.dedup(docs).where(F.col(n_lines) > F.col(n_removed))
+    return (found.withColumn("n_chars", F.char_length("text").cast("bigint")) if "n_chars" in docs.columns else found).select(*(f"`{c}`" for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
