@@ -3,15 +3,16 @@
 A window of ``window`` words recurs if its word sequence starts at two places or more.
 
 1. Anchors: each window is represented by its least eight-word shingle, so equal windows
-   have the same anchor, and there is one for about every fifteen words. Anchors are counted;
-   those that recur go into a bitmap of fixed size (a false member costs a little work and
-   changes nothing), and so do those that recur very often.
-2. Confirmation: windows of recurring anchors are hashed whole and counted, side by side with
-   the others of their anchor. Those of very frequent anchors are counted one by one with
-   partial sums instead, so no group of any size meets in one task.
-3. Location: each shard of documents compiles an Aho-Corasick automaton from its confirmed
-   phrases (joined recurring windows, a symbol for each distinct word) and streams all its
-   documents through it; every word under an occurrence is removed.
+   have the same anchor. Windows in turn with their anchor at one place are a segment, about fifteen of them. Anchors are counted;
+   the windows of those that recur are worth a look (a bitmap says so, where a false member changes nothing).
+2. Confirmation: these windows are hashed and counted, map-side first. Each that occurs twice or more is
+   given to one of the segments that hold it, which makes its text one of the phrases, each of them kept once, without its places.
+3. Location: segments with windows that may recur are reduced to distinct ones and dealt with the phrases by anchor to shards;
+   an anchor of more than ``HELD`` segments is dealt to several shards, each of which gets all its phrases.
+   Each shard compiles its phrases into an Aho-Corasick automaton, a symbol a word, and streams the segments of all documents
+   through it. The automaton's patterns are the phrases' pieces of half a window, one of which lies in any window; where one is
+   found, the phrase is laid against the text, and as far as they agree, for a window at least, the text's windows recur.
+4. What is found in a segment holds at all its places; every word under a recurring window is removed.
 """
 
 from __future__ import annotations
@@ -25,13 +26,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import bitmap
-from tessera.llm.common import slices, small_batches
+from tessera.llm.common import Scratch, cut, slices, small_batches
 from tessera.llm.words import Words, mix, shingles, words_of
 
 WINDOW = 35
 ANCHOR = 8
-#: Anchors that occur more often are counted window by window; up to so many places of one anchor, of 28 hashes each, are held together: 22 MB.
-FREQUENT = 100_000
+#: Segments of an anchor that one shard gets; a task holds about so many with their phrases, and further phrases in turn.
+HELD = 4096
+#: Low bits of a segment's number that are left free for the offset of a window in it; a segment has 63 windows at most.
+_OFFSET = 6
 
 
 def _document() -> list[Column]:
@@ -72,88 +75,67 @@ def _anchors(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             for batch in slices(whole):
                 start, place, grams = anchored(words_of(batch.column("text").to_pylist()), window, anchor)
                 own = place[np.concatenate(([True], place[1:] != place[:-1]))] if len(place) else place
-                yield pa.RecordBatch.from_arrays([pa.array(grams[own].view(np.int64))], names=["anchor"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams[own].view(np.int64))], names=["key"])
 
-    return docs.select("text").mapInArrow(run, "anchor bigint")
+    return docs.select("text").mapInArrow(run, "key bigint")
 
 
-def _occurrences(docs: DataFrame, recurring, frequent, window: int, anchor: int, often: bool) -> DataFrame:
-    """A row for each place of a recurring anchor: its document, its first window, and the hashes of its windows in turn."""
+class _Segments:
+    """The windows of recurring anchors in some texts: their starts and hashes, and the segments they make."""
+
+    def __init__(self, words: Words, recurring: bitmap.Bitmap, window: int, anchor: int) -> None:
+        start, place, grams = anchored(words, window, anchor)
+        keys = grams[place] if len(place) else np.zeros(0, np.uint64)
+        keep = recurring.member(keys)
+        self.start, place, keys = start[keep], place[keep], keys[keep]
+        self.hashes = mix(shingles(words.hashes, window)[self.start] + np.uint64(window)) if len(self.start) else keys
+        self.head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
+        self.size = np.diff(np.append(self.head, len(place)))
+        self.anchor = keys[self.head]
+        # first and last window and their number make up a segment's words
+        last = self.hashes[self.head + self.size - 1]
+        self.number = mix(self.hashes[self.head] + mix(last ^ self.size.astype(np.uint64))) >> np.uint64(_OFFSET) << np.uint64(_OFFSET)
+        self.owner = np.repeat(np.arange(len(self.head)), self.size)
+        self.offset = np.arange(len(place)) - np.repeat(self.head, self.size)
+
+
+def _windows(docs: DataFrame, recurring, window: int, anchor: int) -> DataFrame:
+    """Windows of recurring anchors, those of a batch counted: key, n, and ``holder``, a segment's number with the offset in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                own = _Segments(words_of(batch.column("text").to_pylist()), recurring.value, window, anchor)
+                keys, first, count = np.unique(own.hashes, return_index=True, return_counts=True)
+                holder = own.number[own.owner[first]] | own.offset[first].astype(np.uint64) if len(keys) else keys
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(count), pa.array(holder.view(np.int64))], names=["key", "n", "holder"])
+
+    return docs.select("text").mapInArrow(run, "key bigint, n bigint, holder bigint")
+
+
+def _places(docs: DataFrame, recurring, confirmed, window: int, anchor: int) -> DataFrame:
+    """Segments with a window that may recur: anchor, number, document, first word, and for the first of equal ones in a task the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for whole in batches:
             for batch in slices(whole):
                 words = words_of(batch.column("text").to_pylist())
-                start, place, grams = anchored(words, window, anchor)
-                keys = grams[place] if len(place) else np.zeros(0, np.uint64)
-                keep = recurring.value.member(keys) & (frequent.value.member(keys) == often)
-                start, place, keys = start[keep], place[keep], keys[keep]
-                hashes = mix(shingles(words.hashes, window)[start] + np.uint64(window)) if len(start) else keys
-                head = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.zeros(0, np.int64)
-                doc = np.searchsorted(words.first, start[head], side="right") - 1
-                lists = pa.ListArray.from_arrays(pa.array(np.append(head, len(start)).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[head].view(np.int64)), batch.column("d").take(pa.array(doc)), batch.column("t").take(pa.array(doc)), pa.array((start[head] - words.first[doc]).astype(np.int32)), lists], names=["anchor", "d", "t", "low", "hashes"])
-
-    return docs.mapInArrow(run, "anchor bigint, d bigint, t bigint, low int, hashes array<bigint>")
-
-
-def _recurring_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by anchor: which windows of each row have an equal among the rows of its anchor, as bits."""
-
-    def judge(table: pa.Table) -> pa.RecordBatch:
-        lists = table.column("hashes").combine_chunks()
-        offsets = lists.offsets.to_numpy()
-        offsets = offsets - offsets[0]
-        _, inverse, count = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        size = np.diff(offsets)
-        place = np.arange(offsets[-1]) - np.repeat(offsets[:-1], size)
-        bits = (count[inverse] > 1).astype(np.int64) << place
-        mask = np.add.reduceat(bits, offsets[:-1]) if len(bits) else np.zeros(0, np.int64)
-        out = pa.RecordBatch.from_arrays([*(table.column(k).combine_chunks() for k in ("d", "t", "low")), pa.array(mask)], names=["d", "t", "low", "mask"])
-        return out.filter(pa.array(mask != 0))
-
-    held: list[pa.RecordBatch] = []
-    rows = 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = batch.column("anchor").to_numpy()
-        cut = int(np.searchsorted(keys, keys[-1], side="left"))  # the last anchor may go on in the next batch
-        if rows + cut >= 20_000 and (cut or keys[0] != held[-1].column("anchor")[-1].as_py()):
-            yield judge(pa.Table.from_batches([*held, batch.slice(0, cut)]))
-            held, rows = [], 0
-            batch = batch.slice(cut)
-        held.append(batch)
-        rows += batch.num_rows
-    if held:
-        yield judge(pa.Table.from_batches(held))
-
-
-def recurring_windows(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """d, t and ``marks``, runs (low, mask) of recurring windows, for each document that has any."""
-    spark = docs.sparkSession
-    own = docs.select(*_document()).where("text IS NOT NULL")
-    counted = _anchors(own, window, anchor).groupBy(F.col("anchor").alias("key")).agg(F.count("*").alias("n")).where("n > 1").persist()
-    recurring = spark.sparkContext.broadcast(bitmap.build(counted))
-    frequent = spark.sparkContext.broadcast(bitmap.build(counted.where(F.col("n") > FREQUENT)))
-    counted.unpersist()
-    rare = _occurrences(own, recurring, frequent, window, anchor, False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_recurring_here, "d bigint, t bigint, low int, mask bigint")
-    each = _occurrences(own, recurring, frequent, window, anchor, True).select("d", "t", F.col("low"), F.posexplode("hashes").alias("i", "hash")).select("d", "t", (F.col("low") + F.col("i")).alias("low"), "hash")
-    again = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1")
-    often = each.join(again, "hash").select("d", "t", "low", F.lit(1).cast("bigint").alias("mask"))
-    return rare.unionByName(often).groupBy("d", "t").agg(F.collect_list(F.struct("low", "mask")).alias("marks"))
-
-
-def _spans(marks: list[dict], window: int) -> list[tuple[int, int]]:
-    """Phrases (first word, end) that joined recurring windows make."""
-    starts = sorted({m["low"] + i for m in marks for i in range(m["mask"].bit_length()) if m["mask"] >> i & 1})
-    spans: list[tuple[int, int]] = []
-    for s in starts:
-        if spans and s == spans[-1][1] - window + 1:
-            spans[-1] = (spans[-1][0], s + window)
-        else:
-            spans.append((s, s + window))
-    return spans
+                own = _Segments(words, recurring.value, window, anchor)
+                kept = np.unique(own.owner[confirmed.value.member(own.hashes)])
+                begin = own.start[own.head[kept]]
+                doc = np.searchsorted(words.first, begin, side="right") - 1
+                starts, ends, texts = words.start, words.end, []
+                for number, a, n in zip(own.number[kept].tolist(), begin.tolist(), own.size[kept].tolist(), strict=True):
+                    if number in seen:
+                        texts.append(None)
+                        continue
+                    seen.add(number)
+                    texts.append(b" ".join(words.data[starts[a] : ends[a + n + window - 2]].split()).decode())
+                rows = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([pa.array(own.anchor[kept].view(np.int64)), pa.array(own.number[kept].view(np.int64)), batch.column("d").take(rows), batch.column("t").take(rows), pa.array((begin - words.first[doc]).astype(np.int32)), pa.array(texts, pa.string())], names=["anchor", "segment", "d", "t", "low", "text"])
+
+    return docs.mapInArrow(run, "anchor bigint, segment bigint, d bigint, t bigint, low int, text string")
 
 
 def _symbols(count: int) -> list[str]:
@@ -165,50 +147,163 @@ def _symbols(count: int) -> list[str]:
     return [chr(usable[i // half]) + chr(usable[half + i % half]) for i in range(count)]
 
 
-def locate(texts: list[list[bytes]], spans: list[list[tuple[int, int]]]) -> list[np.ndarray]:
-    """For each text of a shard, which words lie under an occurrence of any of the shard's phrases."""
+def _runs(mask: int) -> Iterator[tuple[int, int]]:
+    """First and last of each run of set bits."""
+    at = 0
+    while mask >> at:
+        at += ((mask >> at) & -(mask >> at)).bit_length() - 1
+        n = (~(mask >> at) & ((mask >> at) + 1)).bit_length() - 1
+        yield at, at + n - 1
+        at += n
+
+
+def _agree(a: str, b: str) -> int:
+    """How many characters two strings of one length begin alike with."""
+    if a == b:
+        return len(a)
+    return next(i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y)
+
+
+def locate(texts: list[list[str]], phrases: list[tuple[list[str], int]], window: int = WINDOW) -> list[int]:
+    """For each text, which of its windows lie in a phrase, as bits by their first word.
+
+    A phrase is a list of words and which windows of it are confirmed, as bits; runs of these are what is looked for.
+    """
     import ahocorasick
 
-    gone = [np.zeros(len(words), bool) for words in texts]
-    if not any(spans):
-        return gone
-    known: dict[bytes, int] = {}
-    coded = [[known.setdefault(w, len(known)) for w in words] for words in texts]
+    if not phrases:
+        return [0] * len(texts)
+    known: dict[str, int] = {}
+    coded = [[known.setdefault(w, len(known)) for w in words] for words in [*texts, *(words for words, _ in phrases)]]
     symbols = _symbols(len(known))
-    width = len(symbols[0]) if symbols else 1
+    width, piece = len(symbols[0]), (window + 1) // 2
     strings = ["".join([symbols[c] for c in codes]) for codes in coded]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-    for string, own in zip(strings, spans, strict=True):
-        for a, b in own:
-            automaton.add_word(string[a * width : b * width])
+    wide, step = window * width, piece * width
+    pieces: dict[str, list[tuple[str, int]]] = {}
+    for string, (_, mask) in zip(strings[len(texts) :], phrases, strict=True):
+        for first, last in _runs(mask):
+            run = string[first * width : last * width + wide]
+            for at in range(0, len(run) - step + 1, step):
+                pieces.setdefault(run[at : at + step], []).append((run, at))
+    automaton = ahocorasick.Automaton()
+    for text, own in pieces.items():
+        automaton.add_word(text, own)
     automaton.make_automaton()
-    for string, out in zip(strings, gone, strict=True):
-        for last, length in automaton.iter(string):
-            out[(last + 1 - length) // width : (last + 1) // width] = True
-    return gone
+    found = []
+    for string in strings[: len(texts)]:
+        bits = 0
+        for last, own in automaton.iter(string) if len(string) >= wide else ():
+            begin = last + 1 - step
+            low, high = max(0, begin + step - wide) // width, min(begin, len(string) - wide) // width
+            around = (1 << (high + 1)) - (1 << low)  # the windows that hold the piece
+            for run, at in own:
+                if bits & around == around:
+                    break
+                back = min(begin, at)
+                left = _agree(string[begin - back : begin][::-1], run[at - back : at][::-1])
+                ahead = min(len(string) - begin, len(run) - at)
+                right = _agree(string[begin : begin + ahead], run[at : at + ahead])
+                if (windows := (left + right - wide) // width + 1) > 0:
+                    bits |= ((1 << windows) - 1) << ((begin - left) // width)
+        found.append(bits)
+    return found
+
+
+def _located(window: int):
+    """Shards, sorted, those to be searched first: a row for each segment searched in which windows recur."""
+
+    def search(rows: list[tuple]) -> pa.RecordBatch:
+        texts = [(number, text.split(" ")) for _, searched, number, text, _ in rows if searched]
+        phrases = [(text.split(" "), mask) for _, _, _, text, mask in rows if mask]
+        bits = locate([words for _, words in texts], phrases, window)
+        out = [(number, b) for (number, _), b in zip(texts, bits, strict=True) if b]
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["segment", "mask"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            columns = [batch.column(k).to_pylist() for k in ("anchor", "salt", "searched", "segment", "text", "mask")]
+            for anchor, salt, *row in zip(*columns, strict=True):
+                if len(held) >= 4 * HELD and (held[-1][0] != (anchor, salt) or not row[0]):
+                    yield search(held)
+                    held = [x for x in held if x[1] and x[0] == (anchor, salt)]  # for the further phrases of their shard
+                    held = [(*x[:4], None) for x in held]
+                held.append(((anchor, salt), *row))
+        if held:
+            yield search(held)
+
+    return run
+
+
+def recurring_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+    """d, t and ``marks``, runs (low, mask) of recurring windows, for each document that has any."""
+    if window - anchor >= 1 << _OFFSET:
+        raise ValueError("a window may have 63 shingles at most")
+    spark = docs.sparkSession
+    own = docs.select(*_document()).where("text IS NOT NULL")
+    counted = scratch.cut(_anchors(own, window, anchor).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
+    recurring = spark.sparkContext.broadcast(bitmap.build(counted))
+    scratch.drop(counted)
+    confirmed = scratch.cut(_windows(own, recurring, window, anchor).groupBy("key").agg(F.sum("n").alias("n"), F.min("holder").alias("holder")).where("n > 1").select("key", "holder"), "confirmed")
+    known = spark.sparkContext.broadcast(bitmap.build(confirmed))
+    places = scratch.cut(_places(own, recurring, known, window, anchor), "places")
+    low = (1 << _OFFSET) - 1
+    number, offset = F.col("holder").bitwiseAND(F.lit(~low)), F.col("holder").bitwiseAND(F.lit(low)).cast("int")
+    phrases = confirmed.groupBy(number.alias("segment")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), offset)).alias("mask"))
+    segments = scratch.cut(places.where("text IS NOT NULL").select("segment", "anchor", "text").dropDuplicates(["segment"]).join(phrases, "segment", "left"), "segments")
+    scratch.drop(confirmed)
+    many = segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("anchor", F.ceil(F.col("n") / HELD).cast("int").alias("shards"))
+    dealt = segments.join(many, "anchor", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("segment"), "shards"))
+    every = F.when(F.col("mask").isNull(), F.array("own")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("shards").cast("bigint") - 1))
+    dealt = dealt.withColumn("salt", F.explode(every)).select("anchor", "salt", (F.col("salt") == F.col("own")).alias("searched"), "segment", "text", "mask")
+    shards = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("searched"))
+    found = scratch.cut(shards.mapInArrow(_located(window), "segment bigint, mask bigint").groupBy("segment").agg(F.bit_or("mask").alias("mask")), "found")
+    return places.select("segment", "d", "t", "low").join(found, "segment").groupBy("d", "t").agg(F.collect_list(F.struct("low", "mask")).alias("marks"))
+
+
+def _removed(words: Words, marks: pa.ListArray, window: int) -> np.ndarray:
+    """Which of the words of all texts lie under the marked windows."""
+    lists = marks.offsets.to_numpy().astype(np.int64)
+    flat = marks.flatten()
+    owner = np.repeat(np.arange(len(marks)), np.diff(lists))
+    low, mask = (flat.field(k).to_numpy() for k in ("low", "mask"))
+    depth = np.zeros(len(words.hashes) + 1, np.int64)
+    for bit in range(1 << _OFFSET):
+        at = (mask >> bit & 1).astype(bool)
+        start = words.first[owner[at]] + low[at] + bit
+        np.add.at(depth, start, 1)
+        np.add.at(depth, start + window, -1)
+    return np.cumsum(depth[:-1]) > 0
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """doc_id, n_words, n_removed, and kept_text (words joined by one space) for every document.
 
-    All copies of a recurring window go, the first too. A null or empty text has no words.
-    Repeated rows are separate documents, so their windows recur. A null doc_id is a document.
-    An empty table gives no rows; extra columns are ignored.
+    All copies of a recurring window go, the first too, so ties don't matter. A null or empty text has no words.
+    Very long texts are taken whole, in segments of some dozen words. Repeated rows are separate documents, so their windows recur. A null doc_id is a document.
+    An empty table gives no rows; extra columns are ignored, whatever they are called. The result is held as a cut point.
     """
     small_batches(docs.sparkSession)
-    marks = recurring_windows(docs, window, anchor)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
-                words = words_of(batch.column("text").to_pylist())
-                texts = [words.strings(i) for i in range(batch.num_rows)]
-                gone = locate(texts, [_spans(m, window) if m else [] for m in batch.column("marks").to_pylist()])
-                left = [b" ".join([w for w, g in zip(t, out.tolist(), strict=True) if not g] if out.any() else t) for t, out in zip(texts, gone, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([int(out.sum()) for out in gone], pa.int64()), pa.array([x.decode() for x in left], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
-
-    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_document()).join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
+                texts = batch.column("text").to_pylist()
+                words = words_of(texts)
+                gone = _removed(words, batch.column("marks"), window)
+                first = words.first.tolist()
+                count, left = [], []
+                for text, a, b in zip(texts, first[:-1], first[1:], strict=True):
+                    own = (text or "").encode().split()
+                    hit = gone[a:b]
+                    count.append(int(hit.sum()))
+                    left.append(b" ".join([own[i] for i in np.flatnonzero(~hit).tolist()] if count[-1] else own).decode())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words.first)), pa.array(count, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
+
+    with Scratch(docs.sparkSession) as scratch:
+        marks = recurring_windows(docs, scratch, window, anchor)
+        joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_document()).join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
+        return cut(joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"), "kept")
 
 
 def digest(docs: DataFrame) -> DataFrame:

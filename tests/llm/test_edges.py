@@ -303,10 +303,38 @@ def test_phrases(spark, docs):
     assert phrases.digest(docs.limit(0)).count() == 0
 
 
-def test_phrases_counts_frequent_anchors_one_by_one(spark, docs, monkeypatch):
-    want = Counter(map(tuple, phrases.digest(docs).collect()))
-    monkeypatch.setattr(phrases, "FREQUENT", 2)
-    assert Counter(map(tuple, phrases.digest(docs).collect())) == want
+def plain_removed(rows, n):
+    own = [words(t) for _, t in rows]
+    count = Counter(tuple(w[i : i + n]) for w in own for i in range(len(w) - n + 1))
+    return [len({j for i in range(len(w) - n + 1) if count[tuple(w[i : i + n])] > 1 for j in range(i, i + n)}) for w in own]
+
+
+def test_phrases_of_a_hot_anchor(spark, monkeypatch):
+    """One common passage between all kinds of others, so that its anchor's segments are dealt to several shards and come in several turns."""
+    rng = np.random.default_rng(6)
+    common = [f"common{i}" for i in range(24)]
+    rows = [(d, " ".join([*(f"a{x}" for x in rng.integers(0, 2, 14)), *common, *(f"b{x}" for x in rng.integers(0, 2, 14)), f"end{d}"])) for d in range(400)]
+    rows += [(400 + d, " ".join(common * 3)) for d in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = dict(zip(range(403), plain_removed(rows, 35), strict=True))
+    assert 0 < sum(v == 0 for v in want.values()) < 300
+    for held in (phrases.HELD, 7):
+        monkeypatch.setattr(phrases, "HELD", held)
+        assert {r.doc_id: r.n_removed for r in phrases.dedup(docs).collect()} == want
+
+
+def test_automaton_finds_every_window_of_a_phrase():
+    rng = np.random.default_rng(7)
+    for _ in range(150):
+        n = int(rng.integers(3, 8))
+        make = lambda size: [f"w{x}" for x in rng.integers(0, 3, size)]
+        own = [make(int(rng.integers(n, 3 * n))) for _ in range(4)]
+        masks = [int(rng.integers(0, 1 << (len(w) - n + 1))) for w in own]
+        texts = [make(int(rng.integers(1, 60))) for _ in range(5)] + [own[0] + make(2)]
+        known = {tuple(w[i : i + n]) for w, m in zip(own, masks, strict=True) for i in range(len(w) - n + 1) if m >> i & 1}
+        want = [sum(1 << i for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in known) for w in texts]
+        assert phrases.locate(texts, list(zip(own, masks, strict=True)), n) == want
+    assert phrases.locate([["a"] * 9], [], 3) == [0]
 
 
 def test_privacy(spark, docs):
