@@ -53,7 +53,6 @@ class _Chunks(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
@@ -72,16 +71,31 @@ class _Chunks(dict):
 
 
 class _Encoder:
-    """Texts to little-endian unsigned 32-bit ids, by the tokenizer, chunk by chunk."""
+    """Texts to little-endian unsigned 32-bit ids, by the tokenizer, chunk by chunk; its added tokens are taken out first, as it does itself."""
 
     def __init__(self, path: str) -> None:
         import re
 
         self.chunks, self.known = re.compile(_CHUNK).findall, _Chunks(path)
+        added = self.known.tokenizer.get_added_tokens_decoder()
+        self.added = {x.content: pack_ids("<I", i) for i, x in added.items()}
+        # tokens that take white space with them, or only stand alone, leave no chunks to be encoded one by one
+        self.whole = any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added.values())
+        self.parts = re.compile(f"({'|'.join(map(re.escape, sorted(self.added, key=len, reverse=True)))})").split if added else None
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.chunks(text)))
+
+    def _ids(self, text: str) -> bytes:
+        if self.whole:
+            ids = self.known.tokenizer.encode(text, add_special_tokens=False).ids
+            return pack_ids(f"<{len(ids)}I", *ids)
+        if self.parts is None or not any(x in text for x in self.added):
+            return self._plain(text)
+        return b"".join(self.added[x] if i % 2 else self._plain(x) for i, x in enumerate(self.parts(text)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, self.chunks(text))) for text in texts]
+        return [self._ids(text) for text in texts]
 
 
 _encoders: dict[str, _Encoder] = {}  # of a Python worker, which Spark uses again for later tasks
@@ -210,9 +224,10 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    A null text is empty, and an empty document is its end id alone. Repeated rows are
-    packed as often as they occur; a null doc_id is kept. An empty table gives no rows.
-    Extra columns are ignored. Pieces are written to the shared folder, so the tokeniser
+    A null text is empty, and an empty document is its end id alone. A very long text is encoded whole and cut into
+    pieces of the capacity, the first one shorter. Repeated rows are
+    packed as often as they occur; pieces of one length are interchangeable, so ties go by partition and place in it. A null doc_id is kept. An empty table gives no rows.
+    Extra columns are ignored, whatever they are called. Pieces are written to the shared folder, so the tokeniser
     runs once. Sequences are gapless from offset 0.
     """
     made = cut(pieces(docs, capacity, vocabulary), "pieces")
