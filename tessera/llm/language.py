@@ -3,14 +3,13 @@
 A known word scores its log frequency in each language. An unseen word backs off: its
 character n-grams of the greatest length are looked up, those that are unknown give way
 to the two shorter ones inside them, down to single characters, and the word scores
-their mean with a penalty for each step down. Documents are scored in Arrow batches;
-the words met are remembered, so a frequent word is looked up once.
+their mean with a penalty for each step down. Documents are scored in Arrow batches: the
+words met are numbered, so a frequent word is looked up once, and the scores of a batch are summed by document in numpy.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +22,6 @@ from tessera.llm.common import slices, small_batches
 
 #: Most documents of a language that its frequencies are learned from: those whose ids hash lowest.
 SAMPLE_ROWS = 4_000
-#: Most words, and most n-grams of each length, that the model keeps for a language: the most frequent.
-WORDS, NGRAMS = 20_000, 5_000
 LONGEST = 4
 #: Log penalty for each step of backoff.
 STEP = -1.0
@@ -32,6 +29,7 @@ UNKNOWN = "und"
 #: Words remembered by a task.
 _REMEMBERED = 300_000
 
+#: Letters and, rarely, other marks that count as parts of words; ``str.isalpha`` is ``\\p{L}`` for every character and parts these off.
 _LETTERS = re.compile(r"[^\W\d_]+").findall
 _LETTER_RUN = r"\p{L}+"
 
@@ -41,17 +39,18 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("bigint").cast("string")) % 5 == 0, F.lit(True))
 
 
+def letter_runs(word: str) -> list[str]:
+    """The runs of letters in a word."""
+    return [word] if word.isalpha() else "".join(c if c.isalpha() else " " for c in word).split()
+
+
 class Model:
     """Log frequencies by language: words, and n-grams by length."""
 
     def __init__(self, languages: list[str], words: dict[str, np.ndarray], ngrams: list[dict[str, np.ndarray]]) -> None:
         self.languages, self.words, self.ngrams = languages, words, ngrams
-        self.seen: dict[str, np.ndarray] = {}
         self.nothing = np.zeros(len(languages))
 
-    def __reduce__(self):
-        return Model, (self.languages, self.words, self.ngrams)
-
     def _gram(self, gram: str) -> list[np.ndarray]:
         found = self.ngrams[len(gram)].get(gram)
         if found is not None:
@@ -61,36 +60,56 @@ class Model:
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a lower-case word in each language, by backoff if it is unseen."""
         found = self.words.get(word)
-        if found is None:
-            found = self.seen.get(word)
         if found is None:
             padded = f" {word} "
             n = min(LONGEST, len(padded))
             grams = [x for i in range(len(padded) - n + 1) for x in self._gram(padded[i : i + n])]
             found = np.mean(grams, axis=0) if grams else self.nothing
-            if len(self.seen) > _REMEMBERED:
-                self.seen = {}
-            self.seen[word] = found
         return found
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its share among all, from the whole text."""
-        words = Counter(_LETTERS((text or "").lower()))
-        if not words:
-            return UNKNOWN, 0.0
-        if not self.languages:
-            return UNKNOWN, 0.0
-        total = np.asarray(list(words.values()), float) @ np.asarray([self.word(w) for w in words])
-        share = np.exp(total - total.max())
-        best = int(share.argmax())  # the first of equals, in the order of the names
-        return self.languages[best], float(share[best] / share.sum())
+
+class _Seen(dict):
+    """Words met by a task: each has a row of scores, one for each language and the number of its letter runs."""
+
+    def __init__(self, model: Model) -> None:
+        super().__init__()
+        self.model, self.rows = model, np.zeros((1 << 12, len(model.languages) + 1))
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        if at == len(self.rows):
+            self.rows = np.concatenate((self.rows, np.zeros_like(self.rows)))
+        for run in letter_runs(word):
+            self.rows[at, :-1] += self.model.word(run)
+            self.rows[at, -1] += 1
+        return at
+
+
+def predict(texts: list[str | None], seen: _Seen) -> tuple[list[str], np.ndarray]:
+    """Language of every whole text and its share among all."""
+    languages = seen.model.languages
+    found = [_LETTERS(x.lower()) if x else [] for x in texts]
+    ids = np.fromiter((seen[w] for own in found for w in own), np.int64)
+    owner = np.repeat(np.arange(len(texts)), [len(own) for own in found])
+    total = np.stack([np.bincount(owner, seen.rows[ids, k], len(texts)) for k in range(len(languages) + 1)], 1) if len(ids) else np.zeros((len(texts), len(languages) + 1))
+    if len(seen) > _REMEMBERED:
+        seen.clear()
+        seen.rows[:] = 0
+    if not languages:
+        return [UNKNOWN] * len(texts), np.zeros(len(texts))
+    known, total = total[:, -1] > 0, total[:, :-1]
+    share = np.exp(total - total.max(1, keepdims=True))
+    best = share.argmax(1)  # the first of equals, in the order of the names
+    score = share[np.arange(len(texts)), best] / share.sum(1)
+    return [languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
 def _log_shares(rows: list, languages: list[str], floor: float = 0.5) -> dict[str, np.ndarray]:
     """Smoothed log frequencies of each term in each language from (term, lang, n) rows."""
     counts: dict[str, np.ndarray] = {}
+    place = {lang: i for i, lang in enumerate(languages)}
     for term, lang, n in rows:
-        counts.setdefault(term, np.zeros(len(languages)))[languages.index(lang)] += n
+        counts.setdefault(term, np.zeros(len(languages)))[place[lang]] += n
     if not counts:
         return {}
     totals = np.sum(list(counts.values()), axis=0) + floor * len(counts)
@@ -116,10 +135,10 @@ def _lowest(ids: DataFrame, rows: int) -> DataFrame:
     return keyed.join(F.broadcast(bound), "lang").where("lead <= bound").withColumn("place", place).where(F.col("place") <= rows).select("lang", "doc_id")
 
 
-def train(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = WORDS, ngrams: int = NGRAMS) -> Model:
+def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learn from text and lang of documents that are not held out, at most ``rows`` of each language, so that none is missed beside a large one.
 
-    The model is bounded by ``words`` and ``ngrams`` a language and so can be sent to every task.
+    The model holds all words and n-grams of that sample, which bounds it, so that it can be sent to every task.
     Documents without lang or text teach nothing; without any, every prediction is ``und``.
     """
     usable = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -127,16 +146,12 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = WORDS, ngrams:
     # the broadcast side holds at most ``rows`` ids a language
     sample = usable.select(F.col("lang").cast("string").alias("lang"), F.col("doc_id").cast("bigint").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text")).join(F.broadcast(ids.distinct()), ["lang", "doc_id"]).select("lang", "text")
     word = sample.select("lang", F.explode(F.regexp_extract_all("text", F.lit(_LETTER_RUN), F.lit(0))).alias("term")).groupBy("lang", "term").agg(F.count("*").alias("n")).persist()
-    top = Window.partitionBy("lang", "size").orderBy(F.desc("n"), "term")
-    size = F.char_length("term")
-    keep = lambda df, most: df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= most).select("term", "lang", "n", "size")
-    best = keep(word.withColumn("size", F.lit(0)), words)
     padded = word.withColumn("padded", F.concat(F.lit(" "), "term", F.lit(" ")))
     grams = padded.select(
         "lang", "n",
         F.explode(F.flatten(F.array(*[_grams(k) for k in range(1, LONGEST + 1)]))).alias("term"),
-    ).groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("size", size)
-    found = best.unionByName(keep(grams.where(size > 0), ngrams)).collect()  # bounded by words and ngrams a language
+    ).groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("size", F.char_length("term"))
+    found = word.withColumn("size", F.lit(0)).unionByName(grams.where("size > 0")).collect()  # the terms of the sample, each once a language
     word.unpersist()
     languages = sorted({r["lang"] for r in found})
     by_size: dict[int, list] = {k: [] for k in range(LONGEST + 1)}
@@ -148,17 +163,19 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS, words: int = WORDS, ngrams:
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """Predict the language of every whole text: doc_id, held_out, lang_pred, score.
 
-    ``und`` with score 0 where the text is null, empty or without letters. Repeated rows are
+    ``und`` with score 0 where the text is null, empty or without letters (characters of category L). Very long texts are
+    scored whole. Of languages that tie, the first by name is taken. Repeated rows are
     predicted alike; an empty table gives no rows; extra columns are ignored. lang, source and
     doc_id play no part in a prediction.
     """
     small_batches(docs.sparkSession)
-    model = model or train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = _Seen(shared.value)
         for whole in batches:
             for batch in slices(whole):
-                found = [model.predict(x) for x in batch.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                found, score = predict(batch.column("text").to_pylist(), seen)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
