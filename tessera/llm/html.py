@@ -269,7 +269,17 @@ def _wrap(node: Node) -> Node:
     return holder
 
 
-def _rows(node: Node, rows: list[list[list[str]]], before: list[str]) -> Generator:
+def _span(cell: Node, name: str, most: int) -> int:
+    """A colspan or rowspan, within the bounds that the HTML standard sets."""
+    value = cell.attrs.get(name, "1").strip()
+    if not re.fullmatch("[0-9]+", value):
+        return 1
+    value = value.lstrip("0")
+    return min(int(value or 0), most) if len(value) < 9 else most
+
+
+def _rows(node: Node, rows: list[list[tuple[list[str], int, int]]], before: list[str]) -> Generator:
+    """Rows of cells (lines, columns, rows); 0 rows are all that follow."""
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
@@ -277,15 +287,14 @@ def _rows(node: Node, rows: list[list[list[str]]], before: list[str]) -> Generat
         elif not child.shown():
             continue
         elif child.tag == "tr":
-            cells: list[list[str]] = []
+            cells: list[tuple[list[str], int, int]] = []
             for cell in child.children:
                 if isinstance(cell, str):
                     if cell.strip():
-                        cells.append([_SPACE.sub(" ", cell).strip()])
+                        cells.append(([_SPACE.sub(" ", cell).strip()], 1, 1))
                 elif cell.shown():
-                    cells.append((yield lines_of(cell if cell.tag in ("td", "th") else _wrap(cell))))
-                    span = cell.attrs.get("colspan", "1")
-                    cells += [[]] * (min(int(span), 1000) - 1 if span.isdigit() and span != "0" and len(span) < 5 else 0)
+                    lines = yield lines_of(cell if cell.tag in ("td", "th") else _wrap(cell))
+                    cells.append((lines, max(_span(cell, "colspan", 1000), 1), _span(cell, "rowspan", 65534)))
             rows.append(cells)
         elif child.tag in ("thead", "tbody", "tfoot"):
             yield _rows(child, rows, before)
@@ -293,20 +302,39 @@ def _rows(node: Node, rows: list[list[list[str]]], before: list[str]) -> Generat
             before += yield lines_of(_wrap(child))
 
 
+def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[dict[int, list[str]]]:
+    """For each row its cells by column; those that reach down from rows above keep their columns free."""
+    placed, taken = [], {}  # column -> the row before which it is free again
+    for y, cells in enumerate(rows):
+        x, own = 0, {}
+        for lines, wide, high in cells:
+            while taken.get(x, 0) > y:
+                x += 1
+            own[x] = lines
+            if high != 1:
+                taken.update(dict.fromkeys(range(x, x + wide), y + high if high else len(rows)))
+            x += wide
+        placed.append(own)
+    return placed
+
+
 def table_lines(node: Node) -> Generator:
-    """Rows with their columns aligned, two spaces apart; captions and stray content come first."""
-    rows: list[list[list[str]]] = []
+    """Rows with their columns aligned, two spaces apart; captions and stray content come first.
+
+    A cell that spans rows stands in the first of them, one that spans columns in the first of them.
+    """
+    rows: list[list[tuple[list[str], int, int]]] = []
     out: list[str] = []
     yield _rows(node, rows, out)
-    widths: list[int] = []
-    for cells in rows:
-        for i, cell in enumerate(cells):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], max(map(len, cell), default=0))
-    for cells in rows:
-        for k in range(max(map(len, cells), default=0)):
-            out.append("  ".join((cell[k] if k < len(cell) else "").ljust(widths[i]) for i, cell in enumerate(cells)).rstrip())
+    placed = _placed(rows)
+    widths: dict[int, int] = {}
+    for cells in placed:
+        for x, lines in cells.items():
+            widths[x] = max(widths.get(x, 0), max(map(len, lines), default=0))
+    columns = sorted(widths)  # those in which a cell begins
+    for cells in placed:
+        for k in range(max(map(len, cells.values()), default=0)):
+            out.append("  ".join((cells[x][k] if k < len(cells.get(x, ())) else "").ljust(widths[x]) for x in columns).rstrip())
     return out
 
 
@@ -319,8 +347,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """page_id, text and n_chars of every page.
 
     Null and empty pages give an empty text; text without markup is kept, its white space
-    folded. Repeated rows are rendered alike; an empty table gives no rows; extra columns
-    are ignored.
+    folded. Very long pages are rendered whole, one at a time, whatever their depth. Repeated rows are rendered alike, and nothing depends on
+    an order of rows, so ties don't matter; an empty table gives no rows; extra columns are ignored, whatever they are called.
     """
     small_batches(pages.sparkSession)
 
