@@ -44,20 +44,25 @@ def render(role: str, text: str) -> str:
 
 
 
-def read_back(formatted: str) -> list[tuple[str, str]]:
-    """Roles and texts of a formatted conversation, or of part of one between messages."""
+def read_back(formatted: str) -> list[tuple[str, int, int]]:
+    """Roles of a formatted conversation, or of part of one between messages, and where their texts, still escaped, begin and end."""
     found, at = [], 0
     while at < len(formatted):
         head = formatted.index(">\n", at)
-        while formatted[at:head].count("\\") and _open_escape(formatted, at, head):
+        while _open_escape(formatted, at, head):
             head = formatted.index(">\n", head + 1)
         # texts cannot hold an unescaped end mark, so the first one ends the turn
         end = formatted.index(END, head + 1)
-        found.append((unescape(formatted[at + len(OPEN) : head]), unescape(formatted[head + 2 : end])))
+        found.append((unescape(formatted[at + len(OPEN) : head]), head + 2, end))
         at = end + len(END)
     return found
 
 
+def loss_mask(formatted: str, trained: str = "assistant") -> list[tuple[int, int]]:
+    """The parts (begin, end) of a formatted conversation that a model is trained on: the texts of one role."""
+    return [(begin, end) for role, begin, end in read_back(formatted) if role == trained]
+
+
 def _open_escape(text: str, start: int, at: int) -> bool:
     """Whether the character at ``at`` is escaped: an odd number of backslashes stands before it."""
     n = at
@@ -87,8 +92,9 @@ def fold(log: DataFrame, trained: str = "assistant", keep_text: bool = False) ->
 
     ``seq`` may be of any sortable type; equal ones are folded in the order of event, role and
     text. Returns conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars,
-    all read back from the rendered output, and formatted itself with keep_text (then a whole
-    conversation is held in memory). Events before any ``open`` and unknown events are skipped;
+    all read back from the rendered output, the loss through its mask; with keep_text formatted itself and
+    ``loss_mask``, the parts (begin, end) of it that count (then a whole conversation is held in memory). Very long conversations and
+    texts are streamed, one message held at a time. Events before any ``open`` and unknown events are skipped;
     null text adds nothing. A null conv_id is a conversation. An empty log gives no rows.
     """
 
@@ -99,6 +105,7 @@ def fold(log: DataFrame, trained: str = "assistant", keep_text: bool = False) ->
             self.role: str | None = None
             self.parts: list[str] = []
             self.formatted: list[str] = []
+            self.mask: list[tuple[int, int]] = []
 
         def event(self, event: str, role: str | None, text: str | None) -> None:
             if event == "open":
@@ -117,24 +124,27 @@ def fold(log: DataFrame, trained: str = "assistant", keep_text: bool = False) ->
             if self.role is None:
                 return
             formatted = render(self.role, "".join(self.parts))
-            self.chars += len(formatted)
+            mask = loss_mask(formatted, trained)
             if keep_text:
                 self.formatted.append(formatted)
-            for role, text in read_back(formatted):
+                self.mask += [(self.chars + begin, self.chars + end) for begin, end in mask]
+            self.chars += len(formatted)
+            for role, begin, end in read_back(formatted):
                 self.turns += 1
-                self.turns_sha.update(f"{role}\n{text}\n".encode())
-                if role == trained:
-                    self.loss_chars += len(text)
-                    self.loss_sha.update(text.encode())
+                self.turns_sha.update(f"{role}\n{unescape(formatted[begin:end])}\n".encode())
+            for begin, end in mask:
+                text = unescape(formatted[begin:end])
+                self.loss_chars += len(text)
+                self.loss_sha.update(text.encode())
             self.role, self.parts = None, []
 
         def row(self) -> tuple:
             self.flush()
             row = (self.conv_id, self.turns, self.turns_sha.hexdigest(), self.loss_chars, self.loss_sha.hexdigest(), self.chars)
-            return (*row, "".join(self.formatted)) if keep_text else row
+            return (*row, "".join(self.formatted), [{"begin": a, "end": b} for a, b in self.mask]) if keep_text else row
 
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", *["formatted"] * keep_text]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string()] * keep_text]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", *["formatted", "loss_mask"] * keep_text]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), *[pa.string(), pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))] * keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, done = None, []
@@ -152,7 +162,7 @@ def fold(log: DataFrame, trained: str = "assistant", keep_text: bool = False) ->
             done.append(now.row())
         yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in done], pa.schema(list(zip(names, kinds, strict=True))))
 
-    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint" + ", formatted string" * keep_text
+    schema = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint" + ", formatted string, loss_mask array<struct<begin: bigint, end: bigint>>" * keep_text
     own = log.select(F.col("conv_id").cast("bigint").alias("conv_id"), "seq", "event", "role", "text")
     return own.repartition("conv_id").sortWithinPartitions("conv_id", "seq", "event", "role", "text").select("conv_id", "event", "role", "text").mapInArrow(run, schema)
 

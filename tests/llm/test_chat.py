@@ -8,7 +8,9 @@ from tessera.llm import chat
 
 @given(st.lists(st.tuples(st.text("a>\\\n#<turn/ "), st.text("a>\\\n#<turn/ ")), max_size=4))
 def test_round_trip(turns):
-    assert chat.read_back("".join(chat.render(*x) for x in turns)) == turns
+    formatted = "".join(chat.render(*x) for x in turns)
+    assert [(role, chat.unescape(formatted[a:b])) for role, a, b in chat.read_back(formatted)] == turns
+    assert [chat.unescape(formatted[a:b]) for a, b in chat.loss_mask(formatted, "a")] == [text for role, text in turns if role == "a"]
 
 
 def brute(rows):
@@ -32,4 +34,7 @@ def test_messages(spark):
 def test_events(spark):
     log = [(1, 0, "delta", None, "lost"), (1, 1, "open", "user", "hel"), (1, 2, "delta", None, "lo"), (1, 3, "open", "assistant", "bad"), (1, 4, "regenerate", None, None), (1, 5, "delta", None, "go"), (1, 6, "delta", None, None), (1, 7, "delta", None, "od"), (1, 8, "open", "user", "x"), (1, 9, "retract", None, None), (1, 10, "open", "user", "y"), (1, 11, "edit", None, "z"), (1, 12, "odd", None, "q")]
     df = spark.createDataFrame(log, "conv_id bigint, seq int, event string, role string, text string")
-    assert chat.read_back(chat.fold(df, keep_text=True).first()["formatted"]) == [("user", "hello"), ("assistant", "good"), ("user", "z")]
+    found = chat.fold(df, keep_text=True).first()
+    formatted = found["formatted"]
+    assert [(role, formatted[a:b]) for role, a, b in chat.read_back(formatted)] == [("user", "hello"), ("assistant", "good"), ("user", "z")]
+    assert [formatted[m["begin"] : m["end"]] for m in found["loss_mask"]] == ["good"] and found["loss_chars"] == 4

@@ -87,6 +87,15 @@ def test_packing(spark, docs):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|endoftext|><|endoftext|>a", "<|endoftext|", " x \n<|endoftext|>\n y", "a<|ENDOFTEXT|>", "word " * 3000 + "<|endoftext|>"])
+def test_packing_encodes_added_tokens_as_the_tokenizer_does(text):
+    from tokenizers import Tokenizer
+
+    path = packing.vocabulary_path()
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(packing.encoder(path).encode([text])[0], "<u4").tolist() == want
+
+
 def test_packing_plan():
     rng = np.random.default_rng(2)
     for capacity in (7, 64, 1024):
@@ -177,13 +186,57 @@ def test_suffix_array_ranks_beginnings(spark):
 def test_language(spark, docs):
     rows = [(i, text, lang) for i in range(200) for text, lang in [(f"the cat sat on the mat {i}", "en") if i % 2 else (f"der hund und die katze {i}", "de")]]
     model = language.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
-    found = {r.doc_id: r for r in language.identify(spark.createDataFrame([(1, "the cats"), (2, "die hunde"), (3, None), (4, "123 !"), (5, "")], "doc_id bigint, text string"), model).collect()}
-    assert [found[i].lang_pred for i in range(1, 6)] == ["en", "de", "und", "und", "und"]
+    texts = [(1, "the cats"), (2, "die hunde"), (3, None), (4, "123 !"), (5, ""), (6, "\u00bd \u00b2"), (7, "die\u00b2hunde \u2462"), (8, "the " * 200_000)]
+    found = {r.doc_id: r for r in language.identify(spark.createDataFrame(texts, "doc_id bigint, text string"), model).collect()}
+    assert [found[i].lang_pred for i in range(1, 9)] == ["en", "de", "und", "und", "und", "und", "de", "en"]
     assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found.values())
     assert language.identify(docs).count() == len(ROWS) and language.identify(docs.limit(0)).count() == 0
     assert language.identify(docs.withColumn("lang", docs.lang.cast("string")).where("false")).count() == 0
 
 
+def test_language_by_a_plain_scorer(spark, sf_dir):
+    """Counts and backoff word by word over whole texts, written out plainly, against the operator."""
+    own = [r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    runs = lambda text: "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    counts = {}  # (length or 0 for words) -> term -> language -> count
+    for r in own:
+        if zlib.crc32(str(r.doc_id).encode()) % 5 and r.lang is not None:
+            for w in runs(r.text):
+                terms = [(0, w), *((k, f" {w} "[i : i + k]) for k in range(1, 5) for i in range(max(len(w) + 3 - k, 1)))]
+                for k, term in terms:
+                    counts.setdefault(k if k == 0 else len(term), {}).setdefault(term, Counter())[r.lang] += 1
+    languages = sorted({lang for terms in counts.values() for c in terms.values() for lang in c})
+    total = {k: {lang: sum(c[lang] for c in terms.values()) + 0.5 * len(terms) for lang in languages} for k, terms in counts.items()}
+    log = lambda k, term, lang: np.log((counts[k][term][lang] + 0.5) / total[k][lang])
+
+    def grams(text):
+        if text in counts.get(len(text), {}):
+            return [(text, 4 - len(text))]
+        return grams(text[:-1]) + grams(text[1:]) if len(text) > 1 else []
+
+    def plain(text):
+        scores = {}
+        for lang in languages:
+            scores[lang] = 0.0
+            for w in runs(text):
+                if w in counts[0]:
+                    scores[lang] += log(0, w, lang)
+                elif found := [g for i in range(max(len(w) - 1, 1)) for g in grams(f" {w} "[i : i + 4])]:
+                    scores[lang] += sum(log(len(g), g, lang) - down for g, down in found) / len(found)
+        best = max(languages, key=lambda lang: (scores[lang], [-ord(c) for c in lang]))
+        return best, 1 / sum(np.exp(v - scores[best]) for v in scores.values())
+
+    own = [r for r in own if len(r.text or "") < 3000][:120]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r.doc_id: r for r in language.identify(docs).collect()}
+    for r in own:
+        if not runs(r.text):
+            assert got[r.doc_id].lang_pred == "und" and got[r.doc_id].score == 0
+        else:
+            lang, score = plain(r.text)
+            assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-6
+
+
 def test_language_learns_rare_languages(spark):
     rows = [(i, f"the cat sat on the mat {i}", "en") for i in range(600)] + [(i, "der hund und die katze", "de") for i in range(600, 606)] + [(i, "le chien et le chat", "fr") for i in range(606, 612)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
@@ -347,15 +400,94 @@ def test_privacy(spark, docs):
     assert privacy.find(docs).count() == len(ROWS) and privacy.find(docs.limit(0)).count() == 0
 
 
+_PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def plain_spans(text):
+    """The base spans by the patterns as they are written."""
+    out = []
+    for kind, pattern in _PATTERNS.items():
+        for m in re.finditer(pattern, text):
+            digits = re.sub("[^0-9]", "", m[0])
+            doubled = sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(digits[::-1]))
+            if kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 16 <= len(digits) <= 19 and doubled % 10 == 0 or kind == "phone" and 8 <= len(digits) <= 15:
+                out.append((kind, *m.span()))
+    return out
+
+
+def test_base_spans_by_a_plain_scanner(spark, sf_dir):
+    rng = np.random.default_rng(8)
+    for _ in range(20_000):
+        text = "".join(rng.choice(list("ab1.@-_ 2%+0(")) for _ in range(int(rng.integers(1, 22))))
+        assert privacy.base_spans(text) == plain_spans(text), text
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in privacy.find(docs).collect():
+        want = plain_spans(texts[r.doc_id])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, _, _ in want) for kind in privacy.KINDS)
+        assert set(filter(None, joined.split(","))) <= set(r.spans.split(","))
+
+
+@pytest.mark.parametrize("text", ["1" * 1_000_000, "a" * 1_000_000, "1." * 500_000, "a@" * 500_000, "+1" + "(" * 1_000_000, "a.b@c" + ".c" * 500_000, "1 " * 500_000, "%" * 1_000_000 + "@"])
+def test_base_spans_of_long_runs(text):
+    import time
+
+    began = time.process_time()
+    privacy.base_spans(text)
+    assert time.process_time() - began < 2
+
+
+def test_field_on_held_out_phrases():
+    """Recall and precision of the spans that the field adds, on names, hosts and numbers it was not trained on."""
+    rng = np.random.default_rng(9)
+    digits = lambda n: "".join(map(str, rng.integers(0, 10, n)))
+    lead, tail = ("please write to", "you can reach me under", "contact is", "tel:", "ring me on"), ("tomorrow", "or come by", "thanks")
+    phrases, quiet = [], []
+    for i in range(60):
+        name, host = rng.choice(["zoe", "li.wei", "bob_77", "office"]), rng.choice(["sample.net", "dept2.school.edu", "x-y.info"])
+        email = (f"{name} [at] {host}", f"{name}(at){host}", f"{name} at {host.replace('.', ' dot ')}")[i % 3]
+        phone = (f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(4)} {digits(6)}", f"0{digits(3)}/{digits(7)}")[i % 3]
+        phrases.append(("email", f"{lead[i % 3]} ", email, f" {tail[i % 3]}"))
+        phrases.append(("phone", f"{lead[3 + i % 2]} ", phone, f" {tail[i % 3]}"))
+        quiet += [f"chapter {digits(1)} of {digits(2)} in 19{digits(2)}", f"about {digits(2)} 000 people at {digits(2)}:30", f"he sat at the {rng.choice(['table', 'desk'])} by {digits(1)}", f"version {digits(1)}.{digits(2)}.{digits(1)} of 20{digits(2)}-0{digits(1)}-1{digits(1)}"]
+    reader = privacy._Reader(privacy.train())
+
+    def added(text):
+        parts = privacy.lines_of(text)
+        tags = reader.decode([w for w, _ in parts])
+        return privacy.added_spans(text, [(at, t) for (_, at), t in zip(parts, tags, strict=True)], privacy.base_spans(text))
+
+    hit = sum((kind, len(a), len(a) + len(b)) in added(a + b + c) for kind, a, b, c in phrases)
+    false = sum(len(added(x)) for x in quiet)
+    assert hit >= 0.9 * len(phrases), hit
+    assert false <= 0.02 * len(quiet), false
+
+
 def test_viterbi_is_best():
     field = privacy.train(steps=30)
     import itertools
 
-    phrase = "tel: 0171 555 now".split()
-    e = field.emissions(phrase)
-    score = lambda tags: sum(e[i, t] for i, t in enumerate(tags)) + sum(field.pairs[a, b] for a, b in itertools.pairwise(tags))
-    best = max(itertools.product(range(5), repeat=4), key=score)
-    assert tuple(field.decode([phrase, ["one"], phrase])[2]) == best
+    phrases = [["one"], "tel: 0171 555 now".split(), "my tel: 0171 555 now".split(), [], "a b".split(), "12 12 12 at".split()]
+    found = field.decode(phrases)
+    for phrase, tags in zip(phrases, found, strict=True):
+        if phrase:
+            e = field.emissions(phrase)
+            score = lambda tags: sum(e[i, t] for i, t in enumerate(tags)) + sum(field.pairs[a, b] for a, b in itertools.pairwise(tags))  # noqa: B023, E731
+            assert tuple(tags) == max(itertools.product(range(5), repeat=len(phrase)), key=score)
+        else:
+            assert len(tags) == 0
+
+
+def test_field_reads_whole_words_and_lines(monkeypatch):
+    assert privacy.shape("a1-" * 40) == "ad-" * 40
+    line = ["x"] * 4000 + "tel: 0171 555 0199 please".split()
+    reader = privacy._Reader(privacy.train(steps=30))
+    whole = reader.decode([line, line[-5:], [], line])
+    monkeypatch.setattr(privacy, "_WORDS", 3)
+    assert all((a == b).all() for a, b in zip(whole, reader.decode([line, line[-5:], [], line]), strict=True))
+    assert (whole[0] == whole[3]).all()
 
 
 def test_html(spark):
@@ -369,6 +501,67 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("rows", "want"),
+    [
+        ("<tr><td rowspan=2>A<td>b<tr><td>c", "A  b\n   c"),
+        ("<tr><td>x<td rowspan=3>mid<td>y<tr><td>xx<td>yy<tr><td>xxx<td>yyy<tr><td>p<td>q<td>r", "x    mid  y\nxx        yy\nxxx       yyy\np    q    r"),
+        ("<tr><td rowspan=0>A<td colspan=2 rowspan=2>bc<td>d<tr><td>e<tr><td>f<td>g<td>h", "A  bc     d\n          e\n   f   g  h"),
+        ("<tr><td colspan=2>wide<td>z<tr><td>1<td>2<td>3", "wide     z\n1     2  3"),
+        ("<tr><td rowspan=99999999999>A<td>b<tr><td rowspan=-1>c<tr>", "A  b\n   c"),
+    ],
+)
+def test_html_spans(rows, want):
+    assert html.text_of(f"<table>{rows}</table>") == want
+
+
+def test_html_by_a_plain_reader(spark, sf_dir):
+    """The visible words of whole pages in their order, by the parser of the standard library."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.open, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            own = dict(attrs)
+            hidden = tag in html.HIDDEN or "hidden" in own or bool(html._HIDING.search(own.get("style") or "")) or (tag == "dialog" and "open" not in own)
+            if tag in html.IMPLIED_END:
+                ends, within = html.IMPLIED_END[tag]
+                for i in range(len(self.open) - 1, -1, -1):
+                    if self.open[i][0] in within:
+                        break
+                    if self.open[i][0] in ends:
+                        del self.open[i:]
+                        break
+            if tag in html.ENDS_PARAGRAPH and any(t == "p" for t, _ in self.open):
+                while self.open.pop()[0] != "p":
+                    pass
+            if tag not in html.VOID:
+                self.open.append((tag, hidden))
+
+        def handle_endtag(self, tag):
+            if any(t == tag for t, _ in self.open):
+                while self.open.pop()[0] != tag:
+                    pass
+
+        def handle_data(self, data):
+            if not any(hidden for _, hidden in self.open):
+                self.words += data.split()
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    raw = {r.page_id: r.html or "" for r in pages.collect()}
+    marks = re.compile(r"^(?:-|\d+\.)$")
+    same = 0
+    for r in html.extract(pages).collect():
+        reader = Reader()
+        reader.feed(raw[r.page_id])
+        reader.close()
+        same += Counter(w for w in r.text.split() if not marks.match(w)) == Counter(w for w in reader.words if not marks.match(w))
+    assert same == len(raw) > 0
+
+
 @pytest.mark.parametrize("depth", [0, 100, 200, 50_000])
 def test_html_is_whole_at_any_depth(depth):
     inside = "<div hidden>no<div>no</div>no</div>yes<p style='display:none'>no</p><ul><li>a<li>b<ol><li>c</ol></ul><table><tr><th>k<th>value<tr><td>long cell<td>1</table><blockquote>q</blockquote>"
