@@ -1,12 +1,14 @@
 """The pipeline stage by stage against plain versions of its stages on the smallest documents."""
 
+import zlib
 from collections import Counter
 
-import corpus_pipeline
-from tessera.llm import decontaminate, quality
-from tests.llm.test_edges import lines_left, plain_components, plain_lines, words
-
 import numpy as np
+import pytest
+
+import corpus_pipeline
+from tessera.llm import decontaminate, packing, quality
+from tests.llm.test_edges import BASE, NEAR, PASSAGE, ROWS, lines_left, plain_components, plain_lines, words
 
 
 def test_stages(spark, sf_dir):
@@ -53,9 +55,47 @@ def test_stages(spark, sf_dir):
             clean.append((d, t))
     assert Counter(text(found["decontamination"])) == Counter(clean)
 
-    packed = Counter((r.doc_id, r.piece) for r in found["packing"])
-    assert {d for d, _ in packed} == {d for d, _ in clean} and max(packed.values()) == 1
-    assert sum(k == 0 for _, k in packed) == len(clean)
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.vocabulary_path())
+    want = Counter()
+    for d, t in clean:
+        ids = np.asarray([*tokenizer.encode(t, add_special_tokens=False).ids, 2], "<u4")
+        start, k, length = 0, 0, len(ids) % 1024 or 1024
+        while start < len(ids):
+            want[d, k, start, length, zlib.crc32(ids[start : start + length].tobytes())] += 1
+            start, k, length = start + length, k + 1, 1024
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in found["packing"]) == want
+    ends = {}
+    for r in sorted(found["packing"], key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends.get(r.sequence_id, 0)
+        ends[r.sequence_id] = r.offset + r.length
+    assert max(ends.values()) <= 1024 and len(ends) <= 1 + 1.03 * sum(n[3] for n in want.elements()) / 1024
+
+
+CLASHES = "doc_id bigint, text string, lang string, source string, n_chars bigint, n_lines int, n_removed string, kept boolean, _kept int, _text string, d int, t string, p int, o string, row int, key string, rank int, part int, length int, component_id string"
+
+
+@pytest.mark.parametrize("rows", [ROWS, [], [(None, None), (None, None), (1, "")]])
+def test_stages_on_edge_rows_with_clashing_columns(spark, tmp_path, rows):
+    """Nulls, empty and very long texts, repeated rows, ties, empty tables: no stage fails, and other columns come back as they were."""
+    spark.createDataFrame([(1, 1), (9, 0)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, PASSAGE), (None, None), (2, "")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    more = ("en", "s", 5, -1, "r", False, 2, "T", 3, "u", 4, "v", 5, "w", 6, 7, 8, "c")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = spark.createDataFrame([(d, t, *more) for d, t in rows], CLASHES)
+        out = stage(spark, docs, str(tmp_path))
+        found = out.collect()
+        if name == "packing":
+            assert Counter(r.doc_id for r in found if r.piece == 0) == Counter(d for d, _ in rows)
+            continue
+        assert out.columns == docs.columns
+        assert all(tuple(r)[2:4] == more[:2] and tuple(r)[5:] == more[3:] for r in found)
+        assert {r.doc_id for r in found} <= {d for d, _ in rows}
+        if name == "near-dedup" and rows is ROWS:
+            assert sum(r.text in (BASE, NEAR) for r in found) == 1
+        if name == "decontamination" and rows is ROWS:
+            assert {d for d, _ in rows} - {r.doc_id for r in found} == {11, 12}
 
 
 def test_run(spark, sf_dir):
