@@ -35,15 +35,23 @@ def shared_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir().get()
 
 
+def _written(df: DataFrame, name: str) -> str:
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
+
+
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: no executor's loss can undo it, and its values are fixed.
 
-    The shuffles behind it are done with; a collection of the driver's garbage lets Spark delete their files.
+    The shuffles behind it are done with. Spark deletes the files of those that the driver no longer holds, so df is let go of
+    here, before the driver's garbage is collected.
     """
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, schema = df.sparkSession, df.schema
+    path = _written(df, name)
+    del df
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 class Scratch:
@@ -59,7 +67,10 @@ class Scratch:
         self.drop(*self.held.copy())
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
-        found = cut(df, name)
+        schema, path = df.schema, _written(df, name)
+        del df
+        self.spark.sparkContext._jvm.System.gc()
+        found = self.spark.read.schema(schema).parquet(path)
         self.held[id(found)] = found
         return found
 

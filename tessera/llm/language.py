@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 from tessera.llm.common import slices, small_batches
 
 #: Most documents of a language that its frequencies are learned from: those whose ids hash lowest.
-SAMPLE_ROWS = 4_000
+SAMPLE_ROWS = 1_000
 LONGEST = 4
 #: Log penalty for each step of backoff.
 STEP = -1.0
@@ -45,27 +45,26 @@ def letter_runs(word: str) -> list[str]:
 
 
 class Model:
-    """Log frequencies by language: words, and n-grams by length."""
+    """Log frequencies by language: a row of ``scores`` for every word and every n-gram, found by their numbers."""
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], ngrams: list[dict[str, np.ndarray]]) -> None:
-        self.languages, self.words, self.ngrams = languages, words, ngrams
-        self.nothing = np.zeros(len(languages))
+    def __init__(self, languages: list[str], words: dict[str, int], ngrams: dict[str, int], scores: np.ndarray) -> None:
+        self.languages, self.words, self.ngrams, self.scores = languages, words, ngrams, scores
 
     def _gram(self, gram: str) -> list[np.ndarray]:
-        found = self.ngrams[len(gram)].get(gram)
+        found = self.ngrams.get(gram)
         if found is not None:
-            return [found + STEP * (LONGEST - len(gram))]
+            return [self.scores[found] + STEP * (LONGEST - len(gram))]
         return self._gram(gram[:-1]) + self._gram(gram[1:]) if len(gram) > 1 else []
 
     def word(self, word: str) -> np.ndarray:
         """Log frequency of a lower-case word in each language, by backoff if it is unseen."""
         found = self.words.get(word)
-        if found is None:
-            padded = f" {word} "
-            n = min(LONGEST, len(padded))
-            grams = [x for i in range(len(padded) - n + 1) for x in self._gram(padded[i : i + n])]
-            found = np.mean(grams, axis=0) if grams else self.nothing
-        return found
+        if found is not None:
+            return self.scores[found]
+        padded = f" {word} "
+        n = min(LONGEST, len(padded))
+        grams = [x for i in range(len(padded) - n + 1) for x in self._gram(padded[i : i + n])]
+        return np.mean(grams, axis=0) if grams else np.zeros(len(self.languages))
 
 
 class _Seen(dict):
@@ -104,16 +103,12 @@ def predict(texts: list[str | None], seen: _Seen) -> tuple[list[str], np.ndarray
     return [languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist(), strict=True)], np.where(known, score, 0.0)
 
 
-def _log_shares(rows: list, languages: list[str], floor: float = 0.5) -> dict[str, np.ndarray]:
-    """Smoothed log frequencies of each term in each language from (term, lang, n) rows."""
-    counts: dict[str, np.ndarray] = {}
-    place = {lang: i for i, lang in enumerate(languages)}
-    for term, lang, n in rows:
-        counts.setdefault(term, np.zeros(len(languages)))[place[lang]] += n
-    if not counts:
-        return {}
-    totals = np.sum(list(counts.values()), axis=0) + floor * len(counts)
-    return {term: np.log((c + floor) / totals) for term, c in counts.items()}
+def _log_shares(terms: np.ndarray, langs: np.ndarray, counts: np.ndarray, languages: list[str], floor: float = 0.5) -> tuple[list[str], np.ndarray]:
+    """Distinct terms, and their smoothed log frequencies in each language."""
+    names, at = np.unique(terms, return_inverse=True)
+    held = np.full((len(names), len(languages)), floor)
+    np.add.at(held, (at, np.searchsorted(languages, langs)), counts)
+    return names.tolist(), np.log(held / held.sum(0))
 
 
 def _grams(k: int):
@@ -151,13 +146,20 @@ def train(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         "lang", "n",
         F.explode(F.flatten(F.array(*[_grams(k) for k in range(1, LONGEST + 1)]))).alias("term"),
     ).groupBy("lang", "term").agg(F.sum("n").alias("n")).withColumn("size", F.char_length("term"))
-    found = word.withColumn("size", F.lit(0)).unionByName(grams.where("size > 0")).collect()  # the terms of the sample, each once a language
+    # the terms of the sample, each once a language
+    found = word.withColumn("size", F.lit(0)).unionByName(grams.where("size > 0")).select("size", "term", "lang", "n").toArrow()
     word.unpersist()
-    languages = sorted({r["lang"] for r in found})
-    by_size: dict[int, list] = {k: [] for k in range(LONGEST + 1)}
-    for r in sorted(found):
-        by_size[r["size"]].append((r["term"], r["lang"], r["n"]))
-    return Model(languages, _log_shares(by_size[0], languages), [{}] + [_log_shares(by_size[k], languages) for k in range(1, LONGEST + 1)])
+    size, term, lang, n = (found.column(k).to_numpy() for k in ("size", "term", "lang", "n"))
+    languages = sorted(set(lang.tolist()))
+    numbers: list[dict[str, int]] = [{}, {}]
+    scores = [np.zeros((0, len(languages)))]
+    for k in range(LONGEST + 1):
+        own = size == k
+        names, values = _log_shares(term[own].astype(str), lang[own].astype(str), n[own], languages) if own.any() else ([], scores[0])
+        begin = sum(map(len, scores))
+        numbers[min(k, 1)].update(zip(names, range(begin, begin + len(names)), strict=True))
+        scores.append(values)
+    return Model(languages, *numbers, np.concatenate(scores))
 
 
 def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ A window of ``window`` words recurs if its word sequence starts at two places or
 1. Anchors: each window is represented by its least eight-word shingle, so equal windows
    have the same anchor. Windows in turn with their anchor at one place are a segment, about fifteen of them. Anchors are counted;
    the windows of those that recur are worth a look (a bitmap says so, where a false member changes nothing).
-2. Confirmation: these windows are hashed and counted, map-side first. Each that occurs twice or more is
+2. Confirmation: these windows are hashed and counted, each twice at most of a batch of texts. Each that occurs twice or more is
    given to one of the segments that hold it, which makes its text one of the phrases, each of them kept once, without its places.
 3. Location: segments with windows that may recur are reduced to distinct ones and dealt with the phrases by anchor to shards;
    an anchor of more than ``HELD`` segments is dealt to several shards, each of which gets all its phrases.
@@ -17,6 +17,7 @@ A window of ``window`` words recurs if its word sequence starts at two places or
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from tessera.llm.words import Words, mix, shingles, words_of
 WINDOW = 35
 ANCHOR = 8
 #: Segments of an anchor that one shard gets; a task holds about so many with their phrases, and further phrases in turn.
-HELD = 4096
+HELD = 1024
 #: Low bits of a segment's number that are left free for the offset of a window in it; a segment has 63 windows at most.
 _OFFSET = 6
 
@@ -100,17 +101,18 @@ class _Segments:
 
 
 def _windows(docs: DataFrame, recurring, window: int, anchor: int) -> DataFrame:
-    """Windows of recurring anchors, those of a batch counted: key, n, and ``holder``, a segment's number with the offset in it."""
+    """Windows of recurring anchors, each twice at most of a batch: ``key``, and ``holder``, a segment's number with the offset in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole):
                 own = _Segments(words_of(batch.column("text").to_pylist()), recurring.value, window, anchor)
-                keys, first, count = np.unique(own.hashes, return_index=True, return_counts=True)
-                holder = own.number[own.owner[first]] | own.offset[first].astype(np.uint64) if len(keys) else keys
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(count), pa.array(holder.view(np.int64))], names=["key", "n", "holder"])
+                _, first, count = np.unique(own.hashes, return_index=True, return_counts=True)
+                rows = np.repeat(first, np.minimum(count, 2))
+                holder = own.number[own.owner[rows]] | own.offset[rows].astype(np.uint64) if len(rows) else own.number
+                yield pa.RecordBatch.from_arrays([pa.array(own.hashes[rows].view(np.int64)), pa.array(holder.view(np.int64))], names=["key", "holder"])
 
-    return docs.select("text").mapInArrow(run, "key bigint, n bigint, holder bigint")
+    return docs.select("text").mapInArrow(run, "key bigint, holder bigint")
 
 
 def _places(docs: DataFrame, recurring, confirmed, window: int, anchor: int) -> DataFrame:
@@ -139,12 +141,13 @@ def _places(docs: DataFrame, recurring, confirmed, window: int, anchor: int) ->
 
 
 def _symbols(count: int) -> list[str]:
-    """A symbol for each of ``count`` words: one character, or two of different ranges where there are too many."""
-    usable = [*range(1, 0xD800), *range(0xE000, 0x110000)]
-    if count <= len(usable):
-        return [chr(c) for c in usable[:count]]
-    half = len(usable) // 2
-    return [chr(usable[i // half]) + chr(usable[half + i % half]) for i in range(count)]
+    """A symbol of two characters for each of ``count`` words; first and second ones differ, so no match begins within a symbol.
+
+    Of about as many first ones as second ones: the automaton's nodes have few branches, which it looks through in turn.
+    """
+    half = math.isqrt(max(count, 1) - 1) + 1
+    usable = [chr(c if c < 0xD800 else c + 0x800) for c in range(1, 2 * half + 1)]  # no surrogates
+    return [usable[i // half] + usable[half + i % half] for i in range(count)]
 
 
 def _runs(mask: int) -> Iterator[tuple[int, int]]:
@@ -176,7 +179,7 @@ def locate(texts: list[list[str]], phrases: list[tuple[list[str], int]], window:
     known: dict[str, int] = {}
     coded = [[known.setdefault(w, len(known)) for w in words] for words in [*texts, *(words for words, _ in phrases)]]
     symbols = _symbols(len(known))
-    width, piece = len(symbols[0]), (window + 1) // 2
+    width, piece = 2, (window + 1) // 2
     strings = ["".join([symbols[c] for c in codes]) for codes in coded]
     wide, step = window * width, piece * width
     pieces: dict[str, list[tuple[str, int]]] = {}
@@ -200,9 +203,9 @@ def locate(texts: list[list[str]], phrases: list[tuple[list[str], int]], window:
                 if bits & around == around:
                     break
                 back = min(begin, at)
-                left = _agree(string[begin - back : begin][::-1], run[at - back : at][::-1])
+                left = _agree(string[begin - back : begin][::-1], run[at - back : at][::-1]) // width * width
                 ahead = min(len(string) - begin, len(run) - at)
-                right = _agree(string[begin : begin + ahead], run[at : at + ahead])
+                right = _agree(string[begin : begin + ahead], run[at : at + ahead]) // width * width
                 if (windows := (left + right - wide) // width + 1) > 0:
                     bits |= ((1 << windows) - 1) << ((begin - left) // width)
         found.append(bits)
@@ -224,7 +227,7 @@ def _located(window: int):
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("anchor", "salt", "searched", "segment", "text", "mask")]
             for anchor, salt, *row in zip(*columns, strict=True):
-                if len(held) >= 4 * HELD and (held[-1][0] != (anchor, salt) or not row[0]):
+                if len(held) >= HELD and (held[-1][0] != (anchor, salt) or not row[0]):
                     yield search(held)
                     held = [x for x in held if x[1] and x[0] == (anchor, salt)]  # for the further phrases of their shard
                     held = [(*x[:4], None) for x in held]
@@ -244,7 +247,7 @@ def recurring_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     counted = scratch.cut(_anchors(own, window, anchor).groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "anchors")
     recurring = spark.sparkContext.broadcast(bitmap.build(counted))
     scratch.drop(counted)
-    confirmed = scratch.cut(_windows(own, recurring, window, anchor).groupBy("key").agg(F.sum("n").alias("n"), F.min("holder").alias("holder")).where("n > 1").select("key", "holder"), "confirmed")
+    confirmed = scratch.cut(_windows(own, recurring, window, anchor).groupBy("key").agg(F.count("*").alias("n"), F.min("holder").alias("holder")).where("n > 1").select("key", "holder"), "confirmed")
     known = spark.sparkContext.broadcast(bitmap.build(confirmed))
     places = scratch.cut(_places(own, recurring, known, window, anchor), "places")
     low = (1 << _OFFSET) - 1
@@ -258,6 +261,7 @@ def recurring_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     dealt = dealt.withColumn("salt", F.explode(every)).select("anchor", "salt", (F.col("salt") == F.col("own")).alias("searched"), "segment", "text", "mask")
     shards = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", F.desc("searched"))
     found = scratch.cut(shards.mapInArrow(_located(window), "segment bigint, mask bigint").groupBy("segment").agg(F.bit_or("mask").alias("mask")), "found")
+    scratch.drop(segments)
     return places.select("segment", "d", "t", "low").join(found, "segment").groupBy("d", "t").agg(F.collect_list(F.struct("low", "mask")).alias("marks"))
 
 
