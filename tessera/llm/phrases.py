@@ -177,13 +177,15 @@ def locate(texts: list[list[str]], phrases: list[tuple[list[str], int]], window:
     if not phrases:
         return [0] * len(texts)
     known: dict[str, int] = {}
-    coded = [[known.setdefault(w, len(known)) for w in words] for words in [*texts, *(words for words, _ in phrases)]]
+    lists = {id(words): words for words in [*texts, *(words for words, _ in phrases)]}  # a text that is a phrase as well is coded once
+    coded = {k: [known.setdefault(w, len(known)) for w in words] for k, words in lists.items()}
     symbols = _symbols(len(known))
     width, piece = 2, (window + 1) // 2
-    strings = ["".join([symbols[c] for c in codes]) for codes in coded]
+    strings = {k: "".join([symbols[c] for c in codes]) for k, codes in coded.items()}
     wide, step = window * width, piece * width
     pieces: dict[str, list[tuple[str, int]]] = {}
-    for string, (_, mask) in zip(strings[len(texts) :], phrases, strict=True):
+    for words, mask in phrases:
+        string = strings[id(words)]
         for first, last in _runs(mask):
             run = string[first * width : last * width + wide]
             for at in range(0, len(run) - step + 1, step):
@@ -193,8 +195,8 @@ def locate(texts: list[list[str]], phrases: list[tuple[list[str], int]], window:
         automaton.add_word(text, own)
     automaton.make_automaton()
     found = []
-    for string in strings[: len(texts)]:
-        bits = 0
+    for words in texts:
+        string, bits = strings[id(words)], 0
         for last, own in automaton.iter(string) if len(string) >= wide else ():
             begin = last + 1 - step
             low, high = max(0, begin + step - wide) // width, min(begin, len(string) - wide) // width
@@ -216,8 +218,9 @@ def _located(window: int):
     """Shards, sorted, those to be searched first: a row for each segment searched in which windows recur."""
 
     def search(rows: list[tuple]) -> pa.RecordBatch:
-        texts = [(number, text.split(" ")) for _, searched, number, text, _ in rows if searched]
-        phrases = [(text.split(" "), mask) for _, _, _, text, mask in rows if mask]
+        own = [(searched, number, text.split(" "), mask) for _, searched, number, text, mask in rows]
+        texts = [(number, words) for searched, number, words, _ in own if searched]
+        phrases = [(words, mask) for _, _, words, mask in own if mask]
         bits = locate([words for _, words in texts], phrases, window)
         out = [(number, b) for (number, _), b in zip(texts, bits, strict=True) if b]
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["segment", "mask"])
@@ -285,7 +288,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
 
     All copies of a recurring window go, the first too, so ties don't matter. A null or empty text has no words.
     Very long texts are taken whole, in segments of some dozen words. Repeated rows are separate documents, so their windows recur. A null doc_id is a document.
-    An empty table gives no rows; extra columns are ignored, whatever they are called. The result is held as a cut point.
+    An empty table gives no rows; extra columns are ignored, whatever they are called.
     """
     small_batches(docs.sparkSession)
 
@@ -305,9 +308,9 @@ def dedup(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(words.first)), pa.array(count, pa.int64()), pa.array(left, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_text"])
 
     with Scratch(docs.sparkSession) as scratch:
-        marks = recurring_windows(docs, scratch, window, anchor)
-        joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_document()).join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
-        return cut(joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"), "kept")
+        marks = cut(recurring_windows(docs, scratch, window, anchor), "marks")
+    joined = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), *_document()).join(marks, ["d", "t"], "left").select("doc_id", "text", "marks")
+    return joined.mapInArrow(run, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string")
 
 
 def digest(docs: DataFrame) -> DataFrame:
