@@ -18,7 +18,13 @@ class Unsupported(ValueError):
     """An expression uses something that isn't allowed."""
 
 
-_BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Mod: lambda a, b: a % F.nullif(b, F.lit(0)), ast.Pow: lambda a, b: F.pow(a, b), ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b))}
+def _remainder(a: Column, b: Column) -> Column:
+    """The remainder with the divisor's sign."""
+    rest = a % b
+    return F.when((rest != 0) & ((rest < 0) != (b < 0)), rest + b).otherwise(rest)
+
+
+_BINARY = {ast.Add: lambda a, b: a + b, ast.Sub: lambda a, b: a - b, ast.Mult: lambda a, b: a * b, ast.Div: F.try_divide, ast.Mod: lambda a, b: _remainder(a, F.nullif(b, F.lit(0))), ast.Pow: lambda a, b: F.pow(a, b), ast.FloorDiv: lambda a, b: F.floor(F.try_divide(a, b))}
 _COMPARE = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b, ast.Eq: lambda a, b: a == b, ast.NotEq: lambda a, b: a != b}
 _CALLS = {
     "abs": (1, 1, lambda a: F.abs(a)), "min": (2, 9, lambda *a: F.least(*a)), "max": (2, 9, lambda *a: F.greatest(*a)), "int": (1, 1, lambda a: F.when(a >= 0, F.floor(a)).otherwise(F.ceil(a)).cast("bigint")),
@@ -59,18 +65,20 @@ def expression(text: str, names: dict[str, Column]) -> Column:
         raise Unsupported(str(error)) from error
 
 
-def batch_edit(rows: DataFrame, field: str, mode: str, value, where: Column | None = None) -> DataFrame:
+def batch_edit(rows: DataFrame, field: str, mode: str, value, where: Column | None = None, order: list[str] | None = None) -> DataFrame:
     """rows with ``old`` and ``new``: mode set, add, multiply, or an expression over v (the field) and every other column.
 
-    Integer fields are truncated. Rows outside ``where``, and those whose new value is null, keep theirs.
+    With an order, an expression may also use ``i``, a row's place in it from 0. Integer fields are truncated. Rows outside ``where``, and those whose new value is null, keep theirs.
     """
-    v = F.col(field)
-    new = {"set": lambda: F.lit(value), "add": lambda: v + F.lit(value), "multiply": lambda: v * F.lit(value), "expression": lambda: expression(value, {"v": v, **{c: F.col(c) for c in rows.columns if c != field}})}[mode]()
+    v, names = F.col(field), {c: F.col(c) for c in rows.columns if c != field}
+    if order:
+        rows, names["i"] = numbered(rows, order, "_i"), F.col("_i") - 1
+    new = {"set": lambda: F.lit(value), "add": lambda: v + F.lit(value), "multiply": lambda: v * F.lit(value), "expression": lambda: expression(value, {**names, "v": v})}[mode]()
     kind = dict(rows.dtypes)[field]
     if kind in ("int", "bigint", "smallint", "tinyint"):
         new = F.when(new >= 0, F.floor(new)).otherwise(F.ceil(new))
     new = F.coalesce(new.cast(kind), v)
-    return rows.withColumn("old", v).withColumn("new", F.when(where, new).otherwise(v) if where is not None else new)
+    return rows.withColumn("old", v).withColumn("new", F.when(where, new).otherwise(v) if where is not None else new).drop("_i")
 
 
 def changed(edited: DataFrame) -> DataFrame:
@@ -83,6 +91,11 @@ def replay(log: DataFrame, keys: list[str]) -> DataFrame:
     return last.where("last.op <> 'delete'").select(*keys, "last.value")
 
 
+def modified(log: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: how many different records a log changes."""
+    return log.select(*keys).distinct().agg(F.count("*").alias("modified"))
+
+
 def set_element(array: Column, index: int, value) -> Column:
     """An array with one element replaced, filled with 0 up to it."""
     filled = F.concat(array, F.array_repeat(F.lit(0), F.greatest(F.lit(index + 1) - F.size(array), F.lit(0))))

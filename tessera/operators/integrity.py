@@ -16,10 +16,11 @@ def _issues(rows: DataFrame, severity: str, category: str, item: str, field: Col
     return rows.select(F.lit(severity).alias("severity"), F.lit(category).alias("category"), F.col(item).cast("bigint").alias("item_id"), field.alias("field"), F.lit(ref_category).alias("ref_category"), ref.cast("bigint").alias("ref_id"), message.alias("message"))
 
 
-def missing_reference(rows: DataFrame, category: str, item: str, field: str, targets: DataFrame, target: str, ref_category: str) -> DataFrame:
-    """Rows whose field is set, not 0, and in no target row."""
+def missing_reference(rows: DataFrame, category: str, item: str, field: str, targets: DataFrame, target: str, ref_category: str, zero_is_none: bool = True) -> DataFrame:
+    """Rows whose field is set and in no target row. A 0 stands for none, as in a part's section and material, or with
+    zero_is_none off for the id 0, as in an element's part."""
     known = targets.select(F.col(target).alias("_known")).distinct()
-    lost = rows.where((F.col(field) != 0) & F.col(field).isNotNull()).join(known, F.col(field) == F.col("_known"), "left_anti")
+    lost = rows.where(F.col(field).isNotNull() & ((F.col(field) != 0) | (not zero_is_none))).join(known, F.col(field) == F.col("_known"), "left_anti")
     return _issues(lost, "ERROR", category, item, F.lit(field), ref_category, F.col(field), F.concat(F.lit(f"{ref_category} "), F.col(field).cast("string"), F.lit(" does not exist")))
 
 
@@ -45,6 +46,15 @@ def odd_coordinates(nodes: DataFrame, most: float = 1e10) -> DataFrame:
     )
 
 
+def check_deck(elements: DataFrame, nodes: DataFrame, parts: DataFrame, sections: DataFrame, materials: DataFrame) -> DataFrame:
+    """All issues of a deck: parts and nodes that elements of shells and solids name, sections and materials that parts name, ids that repeat, odd coordinates."""
+    own = elements.where(F.col("type").isin("shell", "solid"))
+    return check_all(
+        missing_reference(own, "element", "eid", "pid", parts, "pid", "part", zero_is_none=False), missing_nodes(own, nodes), missing_reference(parts, "part", "pid", "secid", sections, "secid", "section"),
+        missing_reference(parts, "part", "pid", "mid", materials, "mid", "material"), duplicates(nodes, "node", ["nid"], ["x", "y", "z"]), duplicates(own, "element", ["eid"], ["pid"]), duplicates(parts, "part", ["pid"], ["secid", "mid"]), odd_coordinates(nodes),
+    )
+
+
 def check_all(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

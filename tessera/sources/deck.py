@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.fields import double_field, int_field, text_field
-from tessera.sources.cards import CONTACT_TYPES, KINDS, MATERIAL_TYPES, UNKNOWN_MATERIAL_CARDS, Kind, fields
+from tessera.sources.cards import CONTACT_TYPES, KINDS, MATERIAL_TYPES, TEN_IDS, UNKNOWN_MATERIAL_CARDS, Kind, fields
 
 #: Lines that one window of the section carry takes; longer files are carried block by block.
 BLOCK_LINES = 100_000
@@ -45,21 +45,27 @@ def is_blank(line: Column) -> Column:
     return F.trim(line) == ""
 
 
-def sections(lines: DataFrame) -> DataFrame:
-    """Data lines with the upper-cased keyword of their section and ``section``, the number of the keyword's line.
+def carried(lines: DataFrame, head: Column) -> DataFrame:
+    """Lines with ``own``: the last ``head``, a struct that begins with a line number, that isn't null up to each line of its file.
 
-    A keyword holds until the next one. It is carried in two steps, so that a file of any size is
-    windowed in blocks of lines: the last keyword of each block goes to the following blocks, then
-    each block carries its own. Comments, blank lines and lines before any keyword are left out.
+    It is carried in two steps, so that a file of any size is windowed in blocks of lines: the last head
+    of each block goes to the following blocks, then each block carries its own. The lines' own heads stay as ``head``.
     """
-    head = F.when(is_keyword(F.col("line")), F.struct(F.col("line_no").alias("section"), F.upper(F.trim("line")).alias("keyword")))
     marked = lines.withColumn("head", head).withColumn("block", F.floor(F.col("line_no") / BLOCK_LINES))
     blocks = marked.groupBy("file", "block").agg(F.max("head").alias("last"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("file", "block", F.max("last").over(earlier).alias("carried"))
+    before = blocks.select("file", "block", F.max("last").over(earlier).alias("carried"))
     within = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    found = marked.join(carried, ["file", "block"]).withColumn("own", F.coalesce(F.last("head", ignorenulls=True).over(within), F.col("carried")))
-    data = found.where(F.col("own").isNotNull() & F.col("head").isNull() & ~is_comment(F.col("line")) & ~is_blank(F.col("line")))
+    return marked.join(before, ["file", "block"]).withColumn("own", F.coalesce(F.last("head", ignorenulls=True).over(within), F.col("carried"))).drop("block", "carried")
+
+
+def sections(lines: DataFrame) -> DataFrame:
+    """Data lines with the upper-cased keyword of their section and ``section``, the number of the keyword's line.
+
+    A keyword holds until the next one. Comments, blank lines and lines before any keyword are left out.
+    """
+    head = F.when(is_keyword(F.col("line")), F.struct(F.col("line_no").alias("section"), F.upper(F.trim("line")).alias("keyword")))
+    data = carried(lines, head).where(F.col("own").isNotNull() & F.col("head").isNull() & ~is_comment(F.col("line")) & ~is_blank(F.col("line")))
     return data.select("file", "line_no", "line", "own.section", "own.keyword")
 
 
@@ -221,12 +227,31 @@ class Deck:
         return records(self.data, kind)
 
     def counts(self) -> DataFrame:
-        """Records of every kind."""
-        found = None
-        for kind in KINDS:
-            one = self[kind].agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
-            found = one if found is None else found.unionByName(one)
-        return found
+        """Records of every kind, from one pass over the deck."""
+        kind, names = F.lit(None).cast("string"), list(KINDS)
+        for name in reversed(names):
+            kind = F.when(F.col("keyword").rlike(KINDS[name].keyword), name).otherwise(kind)
+        own = self.data.withColumn("kind", kind).where("kind IS NOT NULL")
+        each = F.col("kind").isin([n for n in names if KINDS[n].mode == "each"])
+        # of the others a section holds one record at most, if it has enough lines and ids
+        titled = F.when(F.col("kind").isin([n for n in names if KINDS[n].titled == "always"]), 1)
+        titled = titled.when(F.col("kind").isin([n for n in names if KINDS[n].titled == "suffix"]) & F.col("keyword").rlike("_(TITLE|ID)(_MPP)?$"), 1).otherwise(0)
+        card = F.row_number().over(Window.partitionBy("file", "section").orderBy("line_no")) - 1 - titled
+        placed = own.where(~each).withColumn("card", card)
+        an_id = lambda places: F.greatest(*(int_field(F.col("line"), a, w) for _, _, a, w in fields(places)))
+        headless = F.col("kind").isin([n for n in names if KINDS[n].mode == "list" and not KINDS[n].cards[0]])
+        first = F.max(F.when(F.col("card") == 0, int_field(F.col("line"), 0, 10)))
+        ids = F.max(F.when(F.col("card") >= F.when(headless, 0).otherwise(1), an_id(TEN_IDS)))
+        whole = placed.groupBy("kind", "file", "section").agg(F.max("card").alias("last"), first.alias("first"), ids.alias("ids"))
+        least = F.lit(0)
+        for name in names:
+            if KINDS[name].mode == "first":
+                least = F.when(F.col("kind") == name, len(KINDS[name].cards) - 1).otherwise(least)
+        listed = F.col("kind").startswith("set_") | F.col("kind").isin("extra_nodes", "database_history")
+        fine = (F.col("last") >= least) & (~listed | (F.col("ids") > 0)) & (~(F.col("kind").startswith("set_") | (F.col("kind") == "curve")) | (F.col("first") > 0))
+        found = own.where(each).groupBy("kind").agg(F.count("*").alias("n")).unionByName(whole.where(fine).groupBy("kind").agg(F.count("*").alias("n")))
+        every = self.data.sparkSession.createDataFrame([(n,) for n in names], "kind string")
+        return every.join(F.broadcast(found), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
     def register(self, prefix: str = "deck_") -> None:
         """A temporary view for every kind."""
@@ -240,3 +265,36 @@ class Deck:
         pairs = own.withColumn("i", F.row_number().over(order) - 1).withColumn("next", F.lead("line").over(order)).where("i % 2 = 0 AND next IS NOT NULL")
         pid = F.regexp_extract("next", r"^\s*(\d+)", 1).try_cast("int")
         return pairs.select(pid.alias("pid"), F.trim("line").alias("name"), "line_no").where("pid > 0 AND pid < 1000000").groupBy("pid").agg(F.max_by("name", "line_no").alias("name"))
+
+    def part_ids(self) -> DataFrame:
+        """Distinct pids, 0 < pid < 1,000,000, from three places: *PART cards, the first line of each *ELEMENT_SOLID section, and *SET_PART lists."""
+        order = Window.partitionBy("file", "section").orderBy("line_no")
+        own = self.data.where(F.col("keyword").rlike(r"^\*(PART|ELEMENT_SOLID|SET_PART)"))
+        placed = own.withColumn("i", F.row_number().over(order) - 1).withColumn("next", F.lead("line").over(order))
+        number = lambda line, pattern: F.regexp_extract(line, pattern, 1).try_cast("bigint")
+        part = placed.where(F.col("keyword").rlike(r"^\*PART(_TITLE)?\s*$") & (F.col("i") % 2 == 0) & F.col("next").isNotNull()).select(number("next", r"^\s*(\d+)").alias("pid"))
+        solid = placed.where(F.col("keyword").startswith("*ELEMENT_SOLID") & (F.col("i") == 0)).select(number("line", r"^\s*\d+\s*,?\s*(\d+)").alias("pid"))
+        head = F.when(F.col("keyword").endswith("_TITLE"), 2).otherwise(1)
+        sets = placed.where(F.col("keyword").startswith("*SET_PART") & (F.col("i") >= head)).select(F.explode(F.regexp_extract_all("line", F.lit(r"(\d+)"), F.lit(1))).alias("pid")).select(F.col("pid").try_cast("bigint").alias("pid"))
+        return part.union(solid).union(sets).where("pid > 0 AND pid < 1000000").distinct()
+
+    def part_ids_quick(self) -> DataFrame:
+        """Distinct pids, 0 < pid < 1,000,000: the first value of the line after each *PART keyword, if it is a number."""
+        own = self.data.where(F.col("keyword").startswith("*PART"))
+        first = own.groupBy("file", "section").agg(F.min_by("line", "line_no").alias("line"))
+        pid = F.get(F.split(F.trim("line"), r"[,\s]+"), 0).try_cast("bigint")
+        return first.select(pid.alias("pid")).where("pid > 0 AND pid < 1000000").distinct()
+
+    def part_ids_found(self) -> DataFrame:
+        """pids of the first scan that finds any: part names, then the three places, then the quick one."""
+        scans = [self.part_names().select(F.col("pid").cast("bigint").alias("pid")), self.part_ids(), self.part_ids_quick()]
+        return next((x for x in scans if not x.isEmpty()), scans[-1])
+
+
+def text_cells(data: DataFrame, kind: str) -> DataFrame:
+    """Lines of one kind's sections as ``cells``, an array of trimmed texts, one for each field of the first card: file, line_no, section, cells.
+
+    A cell beyond the line's end is blank. Single cells are ``F.get("cells", j)``.
+    """
+    own = data.where(F.col("keyword").rlike(KINDS[kind].keyword))
+    return own.select("file", "line_no", "section", F.array(*(text_field(F.col("line"), a, w) for _, _, a, w in fields(KINDS[kind].cards[0]))).alias("cells"))
