@@ -103,3 +103,10 @@ def explain_none(candidates: DataFrame, hits: DataFrame, kept: DataFrame) -> Dat
     one = F.broadcast(n[0]).join(F.broadcast(n[1])).join(F.broadcast(n[2]))  # three single rows
     reason = F.when(F.col("candidates") == 0, "no candidates").when(F.col("hits") == 0, "no hits").when(F.col("kept") == 0, "below threshold")
     return one.withColumn("reason", reason)
+
+
+def total_coverage(hits: DataFrame, rays: DataFrame) -> DataFrame:
+    """source, part, hits and ``coverage``: the share of all the source's rays that hit the part."""
+    total = rays.groupBy("source").agg(F.count("*").alias("total"))
+    found = hits.groupBy("source", "part").agg(F.count("*").alias("hits")).join(total, "source")
+    return found.select("source", "part", "hits", (F.col("hits") / F.greatest("total", F.lit(1))).alias("coverage"))

@@ -90,3 +90,59 @@ def split_names(layers: DataFrame, sep: str = "_") -> DataFrame:
     """Merged names parted again, the thickness divided evenly; ``part_no`` counts from 0."""
     names = F.split("name", sep)
     return layers.withColumn("thickness", F.col("thickness") / F.size(names)).withColumn("_names", names).select(*[c for c in layers.columns if c not in ("name",)], F.posexplode("_names").alias("part_no", "name"))
+
+
+def material_types(queries: DataFrame, library: DataFrame) -> DataFrame:
+    """query and type: of the library's row of that name; for names that begin with PSA or OCA VISCOELASTIC; else of the first row, by ord, whose name the query begins with; else VISCOELASTIC."""
+    known = library.select("ord", "name", "type")
+    exact = queries.join(known.select(F.col("name").alias("query"), F.col("type").alias("exact")), "query", "left")
+    begins = queries.distinct().select("query", F.explode(F.transform(F.sequence(F.lit(0), F.char_length("query")), lambda n: F.substring(F.col("query"), F.lit(1), n))).alias("name"))
+    prefix = begins.join(known, "name").groupBy("query").agg(F.min_by("type", "ord").alias("prefix"))
+    adhesive = F.when(F.upper("query").rlike("^(PSA|OCA)"), "VISCOELASTIC")
+    return exact.join(prefix, "query", "left").select("query", F.coalesce("exact", adhesive, "prefix", F.lit("VISCOELASTIC")).alias("type"))
+
+
+def apply_stack(config: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a stack that belong to known parts (pid), and how many different parts of it are ``applied`` and ``skipped``."""
+    known = parts.select("pid").distinct().withColumn("known", F.lit(1))
+    counted = config.select("pid").distinct().join(known, "pid", "left").agg(F.count("known").alias("applied"), (F.count("*") - F.count("known")).alias("skipped"))
+    return config.join(known.drop("known"), "pid", "left_semi"), counted
+
+
+def renumbered(layers: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Layers with ``row``, their place in their part from 0, and ``layer_set`` one more where it is null."""
+    row = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
+    return layers.withColumn("row", row).withColumn("layer_set", F.coalesce("layer_set", F.col("row") + 1))
+
+
+def add_layers(layers: DataFrame, key: str, order: str, new: DataFrame) -> DataFrame:
+    """Layers with those of ``new`` (key, material, thickness) after the last of their part, each a set of its own."""
+    last = layers.groupBy(key).agg(F.max(order).alias("_last"), F.max("layer_set").alias("_set"))
+    n = F.row_number().over(Window.partitionBy(key).orderBy("material", "thickness"))
+    placed = new.withColumn("_n", n).join(last, key, "left").withColumn(order, F.coalesce("_last", F.lit(-1)) + F.col("_n")).withColumn("layer_set", F.coalesce("_set", F.lit(0)) + F.col("_n"))
+    return layers.unionByName(placed.drop("_n", "_last", "_set"), allowMissingColumns=True)
+
+
+def remove_layers(layers: DataFrame, key: str, order: str, chosen: DataFrame | None = None) -> DataFrame:
+    """Layers without the chosen ones (key and order columns), or without the last of each part."""
+    if chosen is not None:
+        return layers.join(chosen.select(key, order), [key, order], "left_anti")
+    last = layers.groupBy(key).agg(F.max(order).alias("_last"))
+    return layers.join(last, key).where(F.col(order) < F.col("_last")).drop("_last")
+
+
+def copy_stack(layers: DataFrame, key: str, source: int, targets: DataFrame) -> DataFrame:
+    """Layers in which each target part has the source part's whole stack instead of its own."""
+    stack = layers.where(F.col(key) == source).drop(key)
+    rows = stack.crossJoin(F.broadcast(targets.select(key).distinct()))  # a stack is one part's few layers
+    return layers.join(targets.select(key), key, "left_anti").unionByName(rows.select(layers.columns))
+
+
+def add_parts(parts: DataFrame, new: DataFrame) -> DataFrame:
+    """Parts (pid, name, enabled) with the new ones (pid, name) that are not there yet, enabled."""
+    fresh = new.join(parts.select("pid"), "pid", "left_anti").dropDuplicates(["pid"]).withColumn("enabled", F.lit(True))
+    return parts.unionByName(fresh.select("pid", "name", "enabled"))
+
+
+def enable_all(parts: DataFrame, on: bool = True) -> DataFrame:
+    return parts.withColumn("enabled", F.lit(on))

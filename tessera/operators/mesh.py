@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Corners of the six faces of a hexahedron.
+# Corners of the six faces of a hexahedron. Faces are found by their sorted corners, so the order of faces and of
+# corners round a face is free; here the two ends come first and then the sides in turn.
 HEX_FACES = ((0, 1, 2, 3), (4, 5, 6, 7), (0, 1, 5, 4), (1, 2, 6, 5), (2, 3, 7, 6), (3, 0, 4, 7))
 PLANES = {"YZ": ("x", ("y", "z")), "ZX": ("y", ("z", "x")), "XY": ("z", ("x", "y"))}
 
@@ -168,3 +169,26 @@ def evenly(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
     numbered = rows.withColumn("place", F.row_number().over(at) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
     wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (k - 1)))
     return numbered.where((F.col("n") <= k) | F.array_contains(wanted, F.col("place").cast("bigint"))).drop("n")
+
+
+def distinct_nodes(elements: DataFrame) -> DataFrame:
+    """pid and nid: every node of a part once."""
+    return element_nodes(elements).where("nid <> 0").select("pid", "nid").distinct()
+
+
+def face_centres(elements: DataFrame, nodes: DataFrame) -> DataFrame:
+    """eid, pid, the mean cx, cy, cz of an element's first four corners, and its unit normal, along z where it is degenerate."""
+    four = corners(elements.select("eid", "pid", F.slice("nodes", 1, 4).alias("nodes")), nodes)
+    centre = four.groupBy("eid", "pid").agg(*(F.avg(c).alias(f"c{c}") for c in "xyz"))
+    found = centre.join(element_normals(elements, nodes).drop("pid"), "eid", "left")
+    return found.select("eid", "pid", "cx", "cy", "cz", F.coalesce("nx", F.lit(0.0)).alias("nx"), F.coalesce("ny", F.lit(0.0)).alias("ny"), F.coalesce("nz", F.lit(1.0)).alias("nz"))
+
+
+def ray_grid(boxes: DataFrame, axis: str, count: int, positive: bool = True) -> DataFrame:
+    """source, ray_id, x, y, z: ``count`` by ``count`` evenly spaced points on the far or near side of each part's box along the axis."""
+    u, v = [c for c in "xyz" if c != axis]
+    at = lambda c, i: F.col(f"min_{c}") + (F.col(f"max_{c}") - F.col(f"min_{c}")) * (F.col(i) / (count - 1) if count > 1 else F.lit(0.5))
+    steps = F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
+    grid = boxes.withColumn("i", steps).withColumn("j", steps)
+    place = {u: at(u, "i"), v: at(v, "j"), axis: F.col(f"{'max' if positive else 'min'}_{axis}")}
+    return grid.select(F.col("pid").alias("source"), (F.col("i") * count + F.col("j")).alias("ray_id"), *(place[c].alias(c) for c in "xyz"))

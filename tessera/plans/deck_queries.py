@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tessera.functions import fields
-from tessera.operators import edit, export, integrity
+from tessera.operators import edit, export, integrity, script, select
 from tessera.plans.base import mesh_elements, mesh_nodes, part_deck, query, table
-from tessera.sources.deck import Deck, cell, records, sections
+from tessera.plans.decoder_queries import written
+from tessera.sources import library
+from tessera.sources.deck import Deck, cell, records, sections, text_cells
 
 
 @query("SELECT p_partkey::INT AS pid, p_size::INT AS secid, floor(p_retailprice)::INT AS mid, p_name AS title FROM part")
@@ -84,8 +85,7 @@ def deck_material_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CASE WHEN event_type IN ('error') THEN 'fault' ELSE 'normal' END AS grp, event_type AS category, count(*) AS n FROM events GROUP BY ROLLUP (grp, category)")
 def deck_category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    group = F.when(F.col("event_type") == "error", "fault").otherwise("normal").alias("grp")
-    return table(spark, sf_dir, "events").select(group, F.col("event_type").alias("category")).rollup("grp", "category").agg(F.count("*").alias("n"))
+    return select.category_counts(table(spark, sf_dir, "events"), F.when(F.col("event_type") == "error", "fault").otherwise("normal"), F.col("event_type"))
 
 
 @query("SELECT p_partkey::INT AS pid, trim(p_name) AS name FROM part WHERE p_partkey > 0 AND p_partkey < 1000000")
@@ -96,42 +96,43 @@ def deck_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS pid FROM part UNION SELECT l_partkey FROM lineitem UNION SELECT l_suppkey FROM lineitem")
 def part_ids_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = table(spark, sf_dir, "lineitem")
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid")).union(i.select("l_partkey")).union(i.select("l_suppkey")).distinct()
+    return select.union_ids("pid", table(spark, sf_dir, "part").select("p_partkey"), i.select("l_partkey"), i.select("l_suppkey"))
 
 
 _LOOKUP = "l_orderkey, l_linenumber, {f}(l_partkey, l_shipdate::VARCHAR || lpad(l_partkey::VARCHAR, 12, '0')) AS l_partkey FROM lineitem GROUP BY l_orderkey, l_linenumber"
 
 
-def _when():
-    return F.concat(F.date_format("l_shipdate", "yyyy-MM-dd HH:mm:ss"), F.lpad(F.col("l_partkey").cast("string"), 12, "0"))
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
 @query("SELECT " + _LOOKUP.format(f="arg_max"))
 def lookup_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max_by("l_partkey", _when()).alias("l_partkey"))
+    return select.last_wins(_placed(spark, sf_dir), ["l_orderkey", "l_linenumber"], [F.col("l_shipdate"), F.col("l_partkey")]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT " + _LOOKUP.format(f="arg_min"))
 def lookup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min_by("l_partkey", _when()).alias("l_partkey"))
+    return select.first_wins(_placed(spark, sf_dir), ["l_orderkey", "l_linenumber"], [F.col("l_shipdate"), F.col("l_partkey")]).select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def filter_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_custkey", "o_totalprice")
+    return select.of_type(table(spark, sf_dir, "orders"), "o_orderstatus", "F").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'gear') OR contains(p_partkey::VARCHAR, '77')")
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'gear') OR contains(lower(p_name), '77') OR contains(p_partkey::VARCHAR, '77')")
 def filter_name_or_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").where(F.lower("p_name").contains("gear") | F.col("p_partkey").cast("string").contains("77")).select("p_partkey", "p_name")
+    """Parts that a search for a name and one for a number find."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return select.name_or_id(p, "p_partkey", "p_name", "Gear").union(select.name_or_id(p, "p_partkey", "p_name", "77")).distinct()
 
 
 @query("SELECT r_regionkey, r_name FROM region WHERE contains(lower(r_name), 'a') AND (contains(lower(r_name), 'nation_1') OR r_regionkey IN (SELECT n_regionkey FROM nation WHERE contains(lower(n_name), 'nation_1')))")
 def tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A group is visible if it or one of its items holds the text."""
     region, nation = table(spark, sf_dir, "region").where("contains(lower(r_name), 'a')"), table(spark, sf_dir, "nation")
-    match = nation.where(F.lower("n_name").contains("nation_1")).select(F.col("n_regionkey").alias("r_regionkey")).distinct().withColumn("below", F.lit(True))
-    return region.join(match, "r_regionkey", "left").where(F.lower("r_name").contains("nation_1") | F.col("below")).select("r_regionkey", "r_name")
+    return select.visible_groups(region, "r_regionkey", "r_name", nation, "n_regionkey", "n_name", "Nation_1").select("r_regionkey", "r_name")
 
 
 @query("SELECT p_partkey, p_size * CASE p_size % 4 WHEN 0 THEN 1000.0 WHEN 1 THEN 1.0 WHEN 2 THEN 0.001 ELSE 0.000001 END::DOUBLE AS mpa FROM part")
@@ -149,9 +150,9 @@ def coordinate_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.odd_coordinates(e, 0.3).select("severity", "item_id", "field")
 
 
-@query("SELECT doc_id AS item_id, doc_id AS ref_id FROM documents WHERE doc_id <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id AS item_id, doc_id AS ref_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_part_ref(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return integrity.missing_reference(table(spark, sf_dir, "documents").select("doc_id"), "element", "doc_id", "doc_id", table(spark, sf_dir, "labels"), "doc_id", "part").select("item_id", "ref_id")
+    return integrity.missing_reference(table(spark, sf_dir, "documents").select("doc_id"), "element", "doc_id", "doc_id", table(spark, sf_dir, "labels"), "doc_id", "part", zero_is_none=False).select("item_id", "ref_id")
 
 
 @query("SELECT e.vec_id AS item_id, 'node' || (pos + 1) AS field, e.vec_id + pos AS ref_id FROM embeddings e, range(8) r(pos) WHERE e.vec_id + pos <> 0 AND e.vec_id + pos NOT IN (SELECT vec_id FROM embeddings)")
@@ -186,16 +187,38 @@ def integrity_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return integrity.report(integrity.check_all(lost, integrity.odd_coordinates(e, 0.3), again))
 
 
-@query("SELECT CAST(floor(event_id / 1000) * 1000 AS BIGINT) AS bucket, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM events GROUP BY 1")
+_BUCKETS = """
+WITH least AS (SELECT CAST(floor(event_id / 100) * 100 AS BIGINT) AS b, count(*) AS n, min(event_id) AS low, max(event_id) AS high FROM events GROUP BY 1),
+held AS (SELECT *, CASE WHEN sum(n) OVER () > 100000 THEN 100000 WHEN sum(n) OVER () > 10000 THEN 10000 ELSE 1000 END AS top,
+  sum(n) OVER (PARTITION BY floor(b / 100000)) AS n5, sum(n) OVER (PARTITION BY floor(b / 10000)) AS n4, sum(n) OVER (PARTITION BY floor(b / 1000)) AS n3 FROM least),
+wide AS (SELECT *, CASE WHEN top >= 100000 AND n5 <= 100 THEN 100000 WHEN top >= 10000 AND n4 <= 100 THEN 10000 WHEN n3 <= 100 THEN 1000 ELSE 100 END AS width FROM held)
+SELECT CAST(floor(b / width) * width AS BIGINT) AS bucket, width, sum(n)::BIGINT AS n, min(low) AS low, max(high) AS high FROM wide GROUP BY 1, 2
+"""
+
+
+@query(_BUCKETS)
 def range_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy((F.floor(F.col("event_id") / 1000) * 1000).alias("bucket")).agg(F.count("*").alias("n"), F.min("event_id").alias("low"), F.max("event_id").alias("high"))
+    return select.id_buckets(table(spark, sf_dir, "events"), "event_id")
+
+
+_PARTS = "SELECT l_partkey AS pid, p_name AS name, count(*) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_partkey <> 0 GROUP BY ALL"
+
+
+def _part_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.col("p_name").alias("name"))
+    return select.part_list(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pid")), p)
+
 
+@query(_PARTS)
+def part_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part that has elements, with its name and how many."""
+    return _part_list(spark, sf_dir)
 
-@query("SELECT l_partkey AS pid, p_name AS name, count(*) AS n FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE l_partkey <> 0 GROUP BY ALL ORDER BY pid LIMIT 10")
+
+@query(f"SELECT *, (SELECT greatest(count(*) - 10, 0) FROM ({_PARTS})) AS more FROM ({_PARTS}) ORDER BY pid LIMIT 10")
 def elements_per_part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first ten parts with their names and counts of elements: a top-k report."""
-    counted = table(spark, sf_dir, "lineitem").where("l_partkey <> 0").groupBy(F.col("l_partkey").alias("pid")).agg(F.count("*").alias("n")).orderBy("pid").limit(10)
-    return counted.join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.col("p_name").alias("name")), "pid", "left").select("pid", "name", "n")
+    """The first ten parts with their names and counts of elements, and how many parts there are besides: a top-k report."""
+    return select.first_rows(_part_list(spark, sf_dir), ["pid"], 10)
 
 
 @query("SELECT coalesce(max(p_partkey), 0) + 1 AS next_id FROM part")
@@ -245,10 +268,15 @@ def export_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Deck(lines)["part"].select("pid", "secid", "title")
 
 
-@query("SELECT p_partkey, p_name, p_size FROM part ORDER BY p_partkey LIMIT 100")
+@query("SELECT p_partkey, p_name, p_size, (SELECT greatest(count(*) - 100, 0) FROM part) AS more FROM part ORDER BY p_partkey LIMIT 100")
 def preview_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first hundred rows of a selection: a preview."""
-    return table(spark, sf_dir, "part").orderBy("p_partkey").limit(100).select("p_partkey", "p_name", "p_size")
+    """The first hundred rows of a selection and how many more there are: a preview."""
+    return select.first_rows(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), ["p_partkey"], 100)
+
+
+@query("SELECT '... ' || (count(*) - 100) || ' more' AS line FROM part HAVING count(*) > 100")
+def preview_more_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.more_line(table(spark, sf_dir, "part"), 100)
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
@@ -256,9 +284,124 @@ def json_project_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("SELECT l_partkey AS msid, l_suppkey AS ssid, min(l_orderkey * 100 + l_linenumber) AS first_line FROM lineitem WHERE l_returnflag = 'R' GROUP BY ALL")
+@query("SELECT p_partkey::VARCHAR || '.k' AS k_file, p_name AS material_source, p_partkey::INT AS part_id, p_size % 2 = 0 AS enabled, p_retailprice AS thickness, p_size::INT AS layer_set FROM part")
+def project_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projects written as JSON and opened again: one for each part, with one part of one layer."""
+    p = table(spark, sf_dir, "part")
+    layer = F.struct(F.col("p_name").alias("material"), F.col("p_retailprice").alias("thickness"), F.col("p_size").cast("int").alias("layer_set"))
+    part = F.struct(F.col("p_partkey").cast("int").alias("part_id"), F.col("p_name").alias("name"), (F.col("p_size") % 2 == 0).alias("enabled"), F.array(layer).alias("layers"))
+    saved = library.project_json(p.select(F.concat(F.col("p_partkey").cast("string"), F.lit(".k")).alias("k_file"), F.col("p_name").alias("material_source"), F.lit("out").alias("output_name"), F.array(part).alias("parts")))
+    opened = library.opened(saved)
+    each = opened.select("k_file", "material_source", F.explode("parts").alias("p")).select("k_file", "material_source", "p.part_id", "p.enabled", F.explode("p.layers").alias("l"))
+    return each.select("k_file", "material_source", "part_id", "enabled", "l.thickness", "l.layer_set")
+
+
+@query(
+    "WITH c AS (SELECT l_partkey AS ssid, l_suppkey AS msid, l_orderkey * 100 + l_linenumber AS line_no, CASE WHEN l_returnflag = 'R' THEN 'TIED_NODES_TO_SURFACE' ELSE 'AUTOMATIC_GENERAL' END AS type FROM lineitem) "
+    "SELECT ssid, msid, type, min(line_no) AS line_no FROM c WHERE type LIKE 'TIED%' GROUP BY ALL UNION ALL SELECT ssid, msid, type, line_no FROM c WHERE type NOT LIKE 'TIED%'"
+)
 def tied_contact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of tied contacts between the same two sides the first."""
-    i = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_partkey").alias("msid"), F.col("l_suppkey").alias("ssid"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("first_line"))
-    first = Window.partitionBy("msid", "ssid").orderBy("first_line")
-    return i.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    i = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ssid"), F.col("l_suppkey").alias("msid"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("line_no"), F.when(F.col("l_returnflag") == "R", "TIED_NODES_TO_SURFACE").otherwise("AUTOMATIC_GENERAL").alias("type"))
+    return select.first_of_tied(i, "line_no")
+
+
+_TIED = "SELECT c_custkey::VARCHAR || '.k' AS k_file, 0 AS i, '*Inputfile' AS line FROM customer UNION ALL SELECT c_custkey::VARCHAR || '.k', 1, c_custkey::VARCHAR || '.k' FROM customer"
+
+
+@query(_TIED + "".join(f" UNION ALL SELECT c_custkey::VARCHAR || '.k', {i + 2}, '{x}' FROM customer" for i, x in enumerate(("*Mode", "REMOVE_DUPLICATE_TIED_CONTACTS,1", "**RemoveDuplicateTiedContacts", "remove_duplicate_tied_contacts,True", "**EndRemoveDuplicateTiedContacts", "*End"))))
+def tied_script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return script.tied_script(table(spark, sf_dir, "customer").select(F.concat(F.col("c_custkey").cast("string"), F.lit(".k")).alias("k_file")))
+
+
+@query("SELECT l_orderkey AS eid, l_partkey AS pid, coalesce(nullif(p_name, ''), 'Part ' || l_partkey) AS name FROM lineitem LEFT JOIN part ON l_partkey = p_partkey AND p_size < 25")
+def named_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where("p_size < 25").select(F.col("p_partkey").alias("pid"), F.col("p_name").alias("name"))
+    return select.named_elements(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("eid"), F.col("l_partkey").alias("pid")), p).select("eid", "pid", "name")
+
+
+@query("SELECT l_orderkey AS eid, l_partkey AS pid FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size % 3 = 0)")
+def visible_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("pid"))
+    return select.of_parts(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("eid"), F.col("l_partkey").alias("pid")), p).select("eid", "pid")
+
+
+@query("SELECT l_orderkey AS eid, l_partkey AS pid FROM lineitem WHERE l_partkey = 7")
+def elements_of_part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.of_part(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("eid"), F.col("l_partkey").alias("pid")), 7)
+
+
+@query("SELECT pid, (row_number() OVER (ORDER BY pid) - 1) % 15 AS color FROM (SELECT DISTINCT l_partkey AS pid FROM lineitem)")
+def color_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.color_index(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pid")))
+
+
+@query("SELECT p_partkey AS pid, [p_partkey::DOUBLE, p_size::DOUBLE, p_retailprice, coalesce(p_size::DOUBLE, 0), 0.0] AS row FROM part")
+def part_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids, numbers and an array padded with 0 as one row of doubles."""
+    p = table(spark, sf_dir, "part").withColumn("own", F.array("p_size"))
+    found = select.matrix(p, ["p_partkey", "p_size", "p_retailprice"], "own", 2)
+    return found.select(F.get("row", 0).cast("bigint").alias("pid"), "row")
+
+
+@query("SELECT p_partkey AS item, '*PART' || chr(10) || p_name || chr(10) || printf('%10d%10d%10d%10d%10d%10d%10d%10d', p_partkey, p_size, 0, 0, 0, 0, 0, 0) AS text FROM part")
+def clipboard_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.clipboard(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("pid"), F.col("p_size").alias("secid"), F.col("p_name").alias("title")), "part")
+
+
+@query("SELECT count(DISTINCT (user_id, event_type)) AS modified FROM events")
+def modified_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit.modified(table(spark, sf_dir, "events"), ["user_id", "event_type"])
+
+
+@query("WITH p AS (SELECT p_partkey, p_retailprice AS old, row_number() OVER (ORDER BY p_partkey) - 1 AS i FROM part), e AS (SELECT *, -old - i * 2 AS a FROM p) SELECT p_partkey, old, a - 7 * floor(a / 7) AS new FROM e WHERE a - 7 * floor(a / 7) <> old")
+def batch_edit_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expression over the row's place, with the remainder of a negative number."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    return edit.changed(edit.batch_edit(p, "p_retailprice", "expression", "(-v - i * 2) % 7", order=["p_partkey"])).select("p_partkey", "old", "new")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> Deck:
+    """A part, a solid and a set of parts for each customer."""
+    n = lambda e, w: F.lpad(F.expr(e).cast("string"), w, " ")
+    body = [F.lit("*PART"), F.lit("a title"), F.concat(n("c_custkey", 10), n("1", 10)), F.lit("*ELEMENT_SOLID"), F.lit("$ eid pid"), F.concat(n("c_custkey", 8), n("c_custkey + 500000", 8), n("1", 8)), F.concat(n("c_custkey", 8), n("999999", 8)), F.lit("*SET_PART_LIST"), n("c_custkey + 900000", 10), F.concat(n("c_custkey + 10", 10), n("2000000", 10))]
+    return Deck(written(spark, sf_dir, [("deck", body)]))
+
+
+@query("SELECT c_custkey AS pid FROM customer WHERE c_custkey > 0 UNION SELECT c_custkey + 500000 FROM customer UNION SELECT c_custkey + 10 FROM customer")
+def deck_part_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scanned(spark, sf_dir).part_ids()
+
+
+@query("SELECT c_custkey AS pid FROM customer WHERE c_custkey > 0")
+def deck_part_id_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first scan that finds parts decides; here it is the one for names."""
+    return _scanned(spark, sf_dir).part_ids_found()
+
+
+@query("SELECT c_custkey AS pid FROM customer WHERE c_custkey > 0")
+def deck_part_id_quick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = [F.lit("*PART_INERTIA"), F.concat(F.lit(" "), F.col("c_custkey").cast("string"), F.lit(", 3")), F.lit("77777")]
+    return Deck(written(spark, sf_dir, [("deck", body)])).part_ids_quick()
+
+
+@query("SELECT c_custkey AS pid, 'secid ' || c_custkey AS second FROM customer")
+def deck_text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw cells of part cards as texts."""
+    body = [F.lit("*PART"), F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, " "), F.rpad(F.concat(F.lit("secid "), F.col("c_custkey").cast("string")), 10, " "))]
+    found = text_cells(sections(written(spark, sf_dir, [("deck", body)])), "part")
+    return found.select(F.get("cells", 0).cast("bigint").alias("pid"), F.get("cells", 1).alias("second"))
+
+
+@query("SELECT 'control_energy' AS kind, c_custkey::INT AS hgen, NULL::DOUBLE AS qh FROM customer UNION ALL SELECT 'control_hourglass', NULL, c_custkey::DOUBLE FROM customer")
+def deck_category_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Controls of all kinds in one table."""
+    key = F.lpad(F.col("c_custkey").cast("string"), 10, " ")
+    deck = Deck(written(spark, sf_dir, [("e", [F.lit("*CONTROL_ENERGY"), key]), ("h", [F.lit("*CONTROL_HOURGLASS"), F.concat(F.lpad(F.lit("1"), 10, " "), key)])]))
+    return select.view(deck, "controls").select("kind", "hgen", "qh")
+
+
+@query("SELECT user_id::BIGINT AS user_id, count(*) AS num_points, max(CASE WHEN event_id = first THEN value END) AS first_o, 0.0::DOUBLE AS beyond FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS first FROM events) GROUP BY user_id")
+def curve_point_access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("bigint").alias("user_id")).agg(F.array_sort(F.collect_list(F.struct(F.col("event_id").cast("double").alias("a"), F.col("value").alias("o")))).alias("points"))
+    return e.select("user_id", F.size("points").cast("bigint").alias("num_points"), select.point_at(F.col("points"), 0)["o"].alias("first_o"), select.point_at(F.col("points"), F.size("points"))["o"].alias("beyond"))

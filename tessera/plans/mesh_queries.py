@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import adjacency, mesh, views
+from tessera.operators import adjacency, mesh, select, views
 from tessera.plans.base import MESH_SQL, mesh_elements, mesh_nodes, query
 
 
@@ -162,3 +162,43 @@ def perimeter_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve points at even steps along every part's hull; the walk is tested on a rectangle."""
     ring = mesh.projections(*_mesh(spark, sf_dir)).select("pid", "ring")
     return views.along(ring, "pid", 12).select("pid", "sample", F.round("u", 6).alias("u"), F.round("v", 6).alias("v"))
+
+
+@query(f"WITH {MESH_SQL} SELECT DISTINCT pid, nid FROM corner WHERE nid <> 0")
+def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of every part once."""
+    return mesh.distinct_nodes(mesh_elements(spark, sf_dir))
+
+
+@query(f"WITH {MESH_SQL} SELECT c.eid, c.pid, pos, nid, x, y, z, 'Part ' || c.pid AS name FROM placed c")
+def element_corners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every element with its part's name and its corners' coordinates."""
+    none = spark.createDataFrame([], "pid bigint, name string")
+    found = select.element_corners(mesh_elements(spark, sf_dir), none, mesh_nodes(spark, sf_dir))
+    return found.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query("SELECT vec_id AS eid, vec_id + 0 AS n1, vec_id + 7 AS n8, 0 AS n9 FROM embeddings WHERE vec_id + 7 IN (SELECT vec_id FROM embeddings)")
+def element_flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.flat_nodes(mesh_elements(spark, sf_dir), 9).select("eid", "n1", "n8", F.col("n9").cast("bigint").alias("n9"))
+
+
+@query(f"WITH {MESH_SQL} SELECT eid, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM placed WHERE pos < 4 GROUP BY eid")
+def face_centres(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mesh.face_centres(*_mesh(spark, sf_dir))
+    return found.select("eid", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "cz")))
+
+
+@query(f"WITH {MESH_SQL} SELECT pid AS source, i * 5 + j AS ray_id, round(min_x + (max_x - min_x) * i / 4, 6) AS x, round(min_y + (max_y - min_y) * j / 4, 6) AS y, max_z AS z FROM box, range(5) a(i), range(5) b(j)")
+def ray_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five by five rays from the upper side of every part's box."""
+    found = mesh.ray_grid(mesh.boxes(*_mesh(spark, sf_dir)), "z", 5)
+    return found.select("source", F.col("ray_id").cast("bigint").alias("ray_id"), F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "z")
+
+
+@query(f"WITH {MESH_SQL}, {_HITS}, total AS (SELECT source, count(*) AS total FROM ray GROUP BY source) SELECT source, part, count(*) AS hits, round(count(*) / any_value(total), 6) AS coverage FROM hit JOIN total USING (source) GROUP BY source, part")
+def total_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of all of a part's rays that hit another one."""
+    rays = _rays(spark, sf_dir)
+    hits = adjacency.ray_box_hits(rays, mesh.boxes(*_mesh(spark, sf_dir)))
+    return adjacency.total_coverage(hits, rays).select("source", "part", "hits", F.round("coverage", 6).alias("coverage"))
