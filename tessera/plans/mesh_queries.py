@@ -136,9 +136,13 @@ def depth_shading(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjacency.shades(c).select("pid", F.round("shade", 4).alias("shade"))
 
 
-@query()
+# An edge of the hull has no point to its right.
+_HULL = "pts AS (SELECT DISTINCT pid, x AS u, y AS v FROM placed), edge AS (SELECT a.pid, a.u AS au, a.v AS av, b.u AS bu, b.v AS bv FROM pts a JOIN pts b ON a.pid = b.pid AND (a.u <> b.u OR a.v <> b.v) WHERE NOT EXISTS (SELECT 1 FROM pts c WHERE c.pid = a.pid AND (b.u - a.u) * (c.v - a.v) - (b.v - a.v) * (c.u - a.u) < 0))"
+
+
+@query(f"WITH {MESH_SQL}, {_HULL} SELECT pid, round(sum(au * bv - av * bu) / 2, 6) AS area, round(sum(sqrt((bu - au) ** 2 + (bv - av) ** 2)), 6) AS perimeter FROM edge GROUP BY pid")
 def hull_area(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Area and perimeter of every part's hull in the XY plane; tested against a plain hull."""
+    """Area and perimeter of every part's hull in the XY plane."""
     return mesh.projections(*_mesh(spark, sf_dir)).select("pid", F.round("area", 6).alias("area"), F.round("perimeter", 6).alias("perimeter"))
 
 
