@@ -1,27 +1,72 @@
 """Which parts lie next to which: gaps between boxes, rays against boxes, coverage, view order.
 
-Range conditions are turned into equal cells along an axis, so that the joins are by key.
+Range conditions are turned into equal cells, so that the joins are by key. Cells are as wide as things are on average;
+what is larger is put into cells of two, four, ... times that width, a level for each, so that nothing takes more than a few cells.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def _cells(low: Column, high: Column, width: float) -> Column:
-    return F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
+#: Cells of its level that a thing may be long.
+_LONG = 4
+
+
+def _scale(rows: DataFrame, *sizes: Column) -> tuple[float, int]:
+    """Width of the finest cells, the mean of all sizes, and the level of the largest; two numbers of one row."""
+    found = rows.agg(F.avg(F.greatest(*sizes, F.lit(0.0))), F.max(F.greatest(*sizes, F.lit(0.0)))).first()
+    width = max(found[0] or 0.0, 1e-9)
+    return width, max(math.ceil(math.log2(max((found[1] or 0.0) / (_LONG * width), 1))), 0)
+
+
+def _level(size: Column, width: float) -> Column:
+    return F.when(size > _LONG * width, F.ceil(F.log2(size / (_LONG * width)))).otherwise(0).cast("int")
+
+
+def _cell(at: Column, width: float, level: Column) -> Column:
+    return F.floor(at / (width * F.pow(F.lit(2.0), level)))
+
+
+def _along(low: Column, high: Column, width: float, level: Column) -> Column:
+    return F.explode(F.sequence(_cell(low, width, level), _cell(high, width, level)))
 
 
-def within_gap(boxes: DataFrame, axis: str, most: float, cell: float | None = None) -> DataFrame:
-    """Ordered pairs (source, part, gap) of parts whose boxes are no further apart along the axis than ``most``."""
-    cell = cell or max(most, 1e-3) * 4
-    low, high = f"min_{axis}", f"max_{axis}"
-    a = boxes.select(F.col("pid").alias("source"), F.col(low).alias("a0"), F.col(high).alias("a1"), _cells(F.col(low) - most, F.col(high) + most, cell).alias("cell"))
-    b = boxes.select(F.col("pid").alias("part"), F.col(low).alias("b0"), F.col(high).alias("b1"), _cells(F.col(low), F.col(high), cell).alias("cell"))
+def within_gap(boxes: DataFrame, axis: str, most: float) -> DataFrame:
+    """Ordered pairs (source, part, gap) of parts whose boxes are no further apart along the axis than ``most``.
+
+    A pair meets in the cells of the larger one's level, and counts in the first that both have.
+    """
+    low, high = F.col(f"min_{axis}"), F.col(f"max_{axis}")
+    width, top = _scale(boxes, high - low + 2 * most)
+
+    def placed(key: str, p: str, wider: float) -> DataFrame:
+        own = boxes.select(F.col("pid").alias(key), low.alias(f"{p}0"), high.alias(f"{p}1"), (low - wider).alias(f"{p}l"), (high + wider).alias(f"{p}h"))
+        own = own.withColumn(f"{p}v", F.least(_level(F.col(f"{p}h") - F.col(f"{p}l"), width), F.lit(top))).withColumn("level", F.explode(F.sequence(F.col(f"{p}v"), F.lit(top))))
+        return own.withColumn("cell", _along(F.col(f"{p}l"), F.col(f"{p}h"), width, F.col("level")))
+
+    met = placed("source", "a", most).join(placed("part", "b", 0.0), ["level", "cell"]).where((F.col("source") != F.col("part")) & (F.col("level") == F.greatest("av", "bv")))
+    once = met.where(F.col("cell") == _cell(F.greatest("al", "bl"), width, F.col("level")))
     gap = F.greatest(F.lit(0.0), F.col("b0") - F.col("a1"), F.col("a0") - F.col("b1"))
-    return a.join(b, "cell").where("source <> part").select("source", "part", gap.alias("gap")).where(F.col("gap") <= most).distinct()
+    return once.select("source", "part", gap.alias("gap")).where(F.col("gap") <= most)
+
+
+def _in_cells(things: DataFrame, low_u: Column, high_u: Column, low_v: Column, high_v: Column) -> tuple[DataFrame, float, int]:
+    """Things with level, cu and cv, the cells of two axes that they reach into; the width and the last level."""
+    size = F.greatest(high_u - low_u, high_v - low_v)
+    width, top = _scale(things, high_u - low_u, high_v - low_v)
+    own = things.withColumn("level", _level(size, width))
+    return own.withColumn("cu", _along(low_u, high_u, width, F.col("level"))).withColumn("cv", _along(low_v, high_v, width, F.col("level"))), width, top
+
+
+def _points(points: DataFrame, u: str, v: str, width: float, top: int) -> DataFrame:
+    """Points in their cell of every level."""
+    own = points.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top))))
+    return own.withColumn("cu", _cell(F.col(u), width, F.col("level"))).withColumn("cv", _cell(F.col(v), width, F.col("level")))
 
 
 def search_range(boxes: DataFrame, axis: str) -> DataFrame:
@@ -30,15 +75,15 @@ def search_range(boxes: DataFrame, axis: str) -> DataFrame:
     return boxes.select("pid", F.when(size > 0, F.greatest(F.lit(0.1), size * 0.1)).otherwise(0.1).alias("least"), F.when(size > 0, size * 5).otherwise(100.0).alias("most"))
 
 
-def ray_box_hits(rays: DataFrame, boxes: DataFrame, axis: str = "z", cell: float = 0.25) -> DataFrame:
+def ray_box_hits(rays: DataFrame, boxes: DataFrame, axis: str = "z") -> DataFrame:
     """Hits (source, ray_id, part, t) of rays along the axis, both ways, on the boxes of other parts.
 
     rays: source, ray_id, x, y, z. t is how far the near side is, 0 from within a box.
     """
     u, v = [c for c in "xyz" if c != axis]
-    r = rays.withColumn("cell", F.floor(F.col(u) / cell))
-    b = boxes.withColumnRenamed("pid", "part").withColumn("cell", _cells(F.col(f"min_{u}"), F.col(f"max_{u}"), cell))
-    met = r.join(b, "cell").where((F.col("source") != F.col("part")) & F.col(u).between(F.col(f"min_{u}"), F.col(f"max_{u}")) & F.col(v).between(F.col(f"min_{v}"), F.col(f"max_{v}")))
+    b, width, top = _in_cells(boxes.withColumnRenamed("pid", "part"), F.col(f"min_{u}"), F.col(f"max_{u}"), F.col(f"min_{v}"), F.col(f"max_{v}"))
+    r = _points(rays, u, v, width, top)
+    met = r.join(b, ["level", "cu", "cv"]).where((F.col("source") != F.col("part")) & F.col(u).between(F.col(f"min_{u}"), F.col(f"max_{u}")) & F.col(v).between(F.col(f"min_{v}"), F.col(f"max_{v}")))
     t = F.greatest(F.lit(0.0), F.col(f"min_{axis}") - F.col(axis), F.col(axis) - F.col(f"max_{axis}"))
     return met.select("source", "ray_id", "part", t.alias("t"))
 
@@ -77,14 +122,14 @@ def shades(depths: DataFrame, depth: str = "depth") -> DataFrame:
     return depths.join(F.broadcast(ends)).withColumn("shade", F.when(span < 1e-6, 1.0).otherwise(0.7 + 0.3 * (F.col(depth) - F.col("low")) / span)).drop("low", "high")
 
 
-def ray_triangles(rays: DataFrame, triangles: DataFrame, cell: float = 0.25) -> DataFrame:
+def ray_triangles(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """Nearest hit (source, ray_id, part, t) of rays (source, ray_id, x, y, z, dx, dy, dz) on triangles of other parts.
 
-    triangles: part, and corners ax..cz. Rays run along z (dx = dy = 0), so both sides meet in cells along x.
+    triangles: part, and corners ax..cz. Rays run along z (dx = dy = 0), so both sides meet in cells of x and y.
     """
-    low, high = F.least("ax", "bx", "cx"), F.greatest("ax", "bx", "cx")
-    t = triangles.withColumn("cell", _cells(low, high, cell))
-    met = rays.withColumn("cell", F.floor(F.col("x") / cell)).join(t, "cell").where("source <> part")
+    end = lambda pick, k: pick(*(f"{p}{k}" for p in "abc"))
+    t, width, top = _in_cells(triangles, end(F.least, "x"), end(F.greatest, "x"), end(F.least, "y"), end(F.greatest, "y"))
+    met = _points(rays, "x", "y", width, top).join(t, ["level", "cu", "cv"]).where("source <> part")
     c = {k: F.col(k) for k in met.columns}
     e1, e2 = [[c[f"{p}{k}"] - c[f"a{k}"] for k in "xyz"] for p in "bc"]
     d, o = [c[f"d{k}"] for k in "xyz"], [c[k] - c[f"a{k}"] for k in "xyz"]
