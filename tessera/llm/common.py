@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -50,10 +51,16 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     spark, schema = df.sparkSession, df.schema
     path = _written(df, name)
     del df
-    spark.sparkContext._jvm.System.gc()
+    _freed(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def _freed(spark: SparkSession) -> None:
+    """Collect the driver's garbage: Python's first, which holds Spark's frames in cycles, then the JVM's, which holds shuffles."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Scratch:
     """Cut points of one operator; those not dropped before are dropped at the end, when its result has been written."""
 
@@ -69,7 +76,7 @@ class Scratch:
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         schema, path = df.schema, _written(df, name)
         del df
-        self.spark.sparkContext._jvm.System.gc()
+        _freed(self.spark)
         found = self.spark.read.schema(schema).parquet(path)
         self.held[id(found)] = found
         return found

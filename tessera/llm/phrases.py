@@ -258,7 +258,8 @@ def recurring_windows(docs: DataFrame, scratch: Scratch, window: int = WINDOW, a
     phrases = confirmed.groupBy(number.alias("segment")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), offset)).alias("mask"))
     segments = scratch.cut(places.where("text IS NOT NULL").select("segment", "anchor", "text").dropDuplicates(["segment"]).join(phrases, "segment", "left"), "segments")
     scratch.drop(confirmed)
-    many = segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("anchor", F.ceil(F.col("n") / HELD).cast("int").alias("shards"))
+    # written first, so that Spark knows its size when it chooses how to join: usually it is small, and the segments stay where they are
+    many = scratch.cut(segments.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > HELD).select("anchor", F.ceil(F.col("n") / HELD).cast("int").alias("shards")), "many")
     dealt = segments.join(many, "anchor", "left").withColumn("shards", F.coalesce("shards", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("segment"), "shards"))
     every = F.when(F.col("mask").isNull(), F.array("own")).otherwise(F.sequence(F.lit(0).cast("bigint"), F.col("shards").cast("bigint") - 1))
     dealt = dealt.withColumn("salt", F.explode(every)).select("anchor", "salt", (F.col("salt") == F.col("own")).alias("searched"), "segment", "text", "mask")
