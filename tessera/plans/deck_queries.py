@@ -336,12 +336,12 @@ def color_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select.color_index(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("pid")))
 
 
-@query("SELECT p_partkey AS pid, [p_partkey::DOUBLE, p_size::DOUBLE, p_retailprice, coalesce(p_size::DOUBLE, 0), 0.0] AS row FROM part")
+@query("SELECT p_partkey AS pid, p_size::DOUBLE AS c1, p_retailprice AS c2, p_size::DOUBLE AS c3, 0.0::DOUBLE AS c4 FROM part")
 def part_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids, numbers and an array padded with 0 as one row of doubles."""
     p = table(spark, sf_dir, "part").withColumn("own", F.array("p_size"))
     found = select.matrix(p, ["p_partkey", "p_size", "p_retailprice"], "own", 2)
-    return found.select(F.get("row", 0).cast("bigint").alias("pid"), "row")
+    return found.select(F.get("row", 0).cast("bigint").alias("pid"), *(F.get("row", i).alias(f"c{i}") for i in range(1, 5)))
 
 
 @query("SELECT p_partkey AS item, '*PART' || chr(10) || p_name || chr(10) || printf('%10d%10d%10d%10d%10d%10d%10d%10d', p_partkey, p_size, 0, 0, 0, 0, 0, 0) AS text FROM part")
@@ -393,12 +393,12 @@ def deck_text_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.get("cells", 0).cast("bigint").alias("pid"), F.get("cells", 1).alias("second"))
 
 
-@query("SELECT 'control_energy' AS kind, c_custkey::INT AS hgen, NULL::DOUBLE AS qh FROM customer UNION ALL SELECT 'control_hourglass', NULL, c_custkey::DOUBLE FROM customer")
+@query("SELECT 'control_energy' AS kind, c_custkey::INT AS hgen, -1.0::DOUBLE AS qh FROM customer UNION ALL SELECT 'control_hourglass', -1, c_custkey::DOUBLE FROM customer")
 def deck_category_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Controls of all kinds in one table."""
     key = F.lpad(F.col("c_custkey").cast("string"), 10, " ")
     deck = Deck(written(spark, sf_dir, [("e", [F.lit("*CONTROL_ENERGY"), key]), ("h", [F.lit("*CONTROL_HOURGLASS"), F.concat(F.lpad(F.lit("1"), 10, " "), key)])]))
-    return select.view(deck, "controls").select("kind", "hgen", "qh")
+    return select.view(deck, "controls").select("kind", F.coalesce("hgen", F.lit(-1)).alias("hgen"), F.coalesce("qh", F.lit(-1.0)).alias("qh"))
 
 
 @query("SELECT user_id::BIGINT AS user_id, count(*) AS num_points, max(CASE WHEN event_id = first THEN value END) AS first_o, 0.0::DOUBLE AS beyond FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS first FROM events) GROUP BY user_id")
