@@ -54,12 +54,9 @@ def _card(kind: str, card: int) -> Column:
 
 def written(spark: SparkSession, sf_dir: str, bodies: list[tuple[str, list[Column]]]) -> DataFrame:
     """A deck of one file for each (name, lines), in which every customer has a section of these lines."""
-    rows = table(spark, sf_dir, "customer").select("c_custkey")
-    found = None
-    for name, lines in bodies:
-        one = rows.select(F.lit(name).alias("file"), "c_custkey", F.posexplode(F.array(*lines)).alias("i", "line")).select("file", (F.col("c_custkey").cast("bigint") * ROOM + F.col("i")).alias("line_no"), "line")
-        found = one if found is None else found.unionByName(one)
-    return found
+    rows = [F.struct(F.lit(name).alias("file"), F.lit(i).alias("i"), line.alias("line")) for name, lines in bodies for i, line in enumerate(lines)]
+    found = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*rows)).alias("r"))
+    return found.select("r.file", (F.col("c_custkey").cast("bigint") * ROOM + F.col("r.i")).alias("line_no"), "r.line")
 
 
 def _title(kind: str, keyword: str) -> list[Column]:
@@ -67,11 +64,16 @@ def _title(kind: str, keyword: str) -> list[Column]:
     return [F.concat(F.lit(" Title "), F.col("c_custkey").cast("string"))] if titled else []
 
 
-def _long(found: DataFrame, numbers: dict[str, Column], texts: dict[str, Column]) -> DataFrame:
-    """kind, id, field, number and text, a row for each field."""
+def _fields(numbers: dict[str, Column], texts: dict[str, Column]) -> Column:
+    """An array of (field, number, text)."""
     rows = [F.struct(F.lit(k).alias("field"), v.cast("double").alias("number"), F.lit(None).cast("string").alias("text")) for k, v in numbers.items()]
     rows += [F.struct(F.lit(k).alias("field"), F.lit(None).cast("double").alias("number"), v.cast("string").alias("text")) for k, v in texts.items()]
-    return found.select(F.col("file").alias("kind"), F.floor(F.col("line_no") / ROOM).alias("id"), F.explode(F.array(*rows)).alias("r")).select("kind", "id", "r.field", "r.number", "r.text")
+    return F.array(*rows)
+
+
+def _long(found: DataFrame, rows: Column) -> DataFrame:
+    """kind, id, field, number and text, a row for each field."""
+    return found.select(F.col("file").alias("kind"), F.floor(F.col("line_no") / ROOM).alias("id"), F.explode(rows).alias("r")).select("kind", "id", "r.field", "r.number", "r.text")
 
 
 def _decoded(name: str):
@@ -89,7 +91,7 @@ def _decoded(name: str):
                 numbers = {field: F.col(field) for _, field, *_ in _values(kind)}
                 if kind == "control_bulk_viscosity":
                     numbers["type"] = F.col("type")
-            one = _long(rows, numbers, texts)
+            one = _long(rows, _fields(numbers, texts))
             found = one if found is None else found.unionByName(one)
         return found
 
@@ -131,7 +133,7 @@ def deck_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = deck[kind].where(F.col("file") == f"{kind} {keyword}")
         texts = {"ids": F.array_join("ids", ",")} | ({"type": F.col("type")} if type_ else {}) | ({"title": F.col("title")} if _title(kind, keyword) else {})
         numbers = {"n": F.size("ids")} | ({fields(KINDS[kind].cards[0])[0][0]: F.col(fields(KINDS[kind].cards[0])[0][0])} if KINDS[kind].cards[0] else {})
-        one = _long(rows, numbers, texts)
+        one = _long(rows, _fields(numbers, texts))
         found = one if found is None else found.unionByName(one)
     return found
 
@@ -190,13 +192,12 @@ def deck_material_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Materials of every type, with the fields that the type has and the raw cells of its last card; two cards more than count."""
     line = lambda i: F.concat(*(F.lpad(F.expr(_material_cell(i, j)).cast("string"), 10, " ") for j in range(8)))
     deck = Deck(written(spark, sf_dir, [(keyword, [F.lit(keyword), *_title("material", keyword), *map(line, range(_material_cards(kind) + 2))]) for keyword, (kind, _) in MATERIALS.items()]))
-    rows, found = deck["material"], None
+    rows = F.lit(None)
     for keyword, (kind, own) in MATERIALS.items():
         last = _material_cards(kind) - 1
         numbers = {"mid": F.col("mid"), "ro": F.col("ro"), "e": F.col("e"), "cards_parsed": F.col("cards_parsed"), "last": cell(F.col("cards"), last, 7), "beyond": cell(F.col("cards"), last + 1, 0), **{k: F.col(k) for k in own}}
-        one = _long(rows.where(F.col("file") == keyword), numbers, {"type": F.col("type")})
-        found = one if found is None else found.unionByName(one)
-    return found
+        rows = F.when(F.col("file") == keyword, _fields(numbers, {"type": F.col("type")})).otherwise(rows)
+    return _long(deck["material"], rows)
 
 
 def _material_sql() -> str:

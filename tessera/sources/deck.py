@@ -227,31 +227,30 @@ class Deck:
         return records(self.data, kind)
 
     def counts(self) -> DataFrame:
-        """Records of every kind, from one pass over the deck."""
-        kind, names = F.lit(None).cast("string"), list(KINDS)
+        """Records of every kind. Lines are counted by keyword or section first, and only these are matched with the kinds."""
+        names, kind, least = list(KINDS), F.lit(None).cast("string"), F.lit(0)
         for name in reversed(names):
             kind = F.when(F.col("keyword").rlike(KINDS[name].keyword), name).otherwise(kind)
-        own = self.data.withColumn("kind", kind).where("kind IS NOT NULL")
-        each = F.col("kind").isin([n for n in names if KINDS[n].mode == "each"])
+            if KINDS[name].mode == "first":
+                least = F.when(F.col("kind") == name, len(KINDS[name].cards) - 1).otherwise(least)
+        any_of = lambda chosen: F.col("keyword").rlike("|".join(f"(?:{KINDS[n].keyword})" for n in names if chosen(KINDS[n])))
+        each = any_of(lambda k: k.mode == "each")
+        lines = self.data.where(each).groupBy("keyword").agg(F.count("*").alias("n")).withColumn("kind", kind)
+        found = lines.where(F.col("kind").isin([n for n in names if KINDS[n].mode == "each"])).groupBy("kind").agg(F.sum("n").alias("n"))
         # of the others a section holds one record at most, if it has enough lines and ids
-        titled = F.when(F.col("kind").isin([n for n in names if KINDS[n].titled == "always"]), 1)
-        titled = titled.when(F.col("kind").isin([n for n in names if KINDS[n].titled == "suffix"]) & F.col("keyword").rlike("_(TITLE|ID)(_MPP)?$"), 1).otherwise(0)
+        titled = F.when(any_of(lambda k: k.titled == "always"), 1).when(F.col("keyword").rlike("_(TITLE|ID)(_MPP)?$") & any_of(lambda k: k.titled == "suffix"), 1).otherwise(0)
         card = F.row_number().over(Window.partitionBy("file", "section").orderBy("line_no")) - 1 - titled
-        placed = own.where(~each).withColumn("card", card)
-        an_id = lambda places: F.greatest(*(int_field(F.col("line"), a, w) for _, _, a, w in fields(places)))
-        headless = F.col("kind").isin([n for n in names if KINDS[n].mode == "list" and not KINDS[n].cards[0]])
+        placed = self.data.where(any_of(lambda k: k.mode != "each")).withColumn("card", card)
+        an_id = F.greatest(*(int_field(F.col("line"), a, w) for _, _, a, w in fields(TEN_IDS)))
         first = F.max(F.when(F.col("card") == 0, int_field(F.col("line"), 0, 10)))
-        ids = F.max(F.when(F.col("card") >= F.when(headless, 0).otherwise(1), an_id(TEN_IDS)))
-        whole = placed.groupBy("kind", "file", "section").agg(F.max("card").alias("last"), first.alias("first"), ids.alias("ids"))
-        least = F.lit(0)
-        for name in names:
-            if KINDS[name].mode == "first":
-                least = F.when(F.col("kind") == name, len(KINDS[name].cards) - 1).otherwise(least)
-        listed = F.col("kind").startswith("set_") | F.col("kind").isin("extra_nodes", "database_history")
-        fine = (F.col("last") >= least) & (~listed | (F.col("ids") > 0)) & (~(F.col("kind").startswith("set_") | (F.col("kind") == "curve")) | (F.col("first") > 0))
-        found = own.where(each).groupBy("kind").agg(F.count("*").alias("n")).unionByName(whole.where(fine).groupBy("kind").agg(F.count("*").alias("n")))
+        ids = F.max(F.when(F.col("card") >= F.when(any_of(lambda k: k.mode == "list" and not k.cards[0]), 0).otherwise(1), an_id))
+        whole = placed.groupBy("file", "section", "keyword").agg(F.max("card").alias("last"), first.alias("first"), ids.alias("ids")).withColumn("kind", kind)
+        sets = F.col("kind").startswith("set_")
+        fine = (F.col("last") >= least) & (~(sets | F.col("kind").isin("extra_nodes", "database_history")) | (F.col("ids") > 0)) & (~(sets | (F.col("kind") == "curve")) | (F.col("first") > 0))
+        listed = F.col("kind").isin([n for n in names if KINDS[n].mode != "each"])
+        found = found.unionByName(whole.where(listed & fine).groupBy("kind").agg(F.count("*").alias("n")))
         every = self.data.sparkSession.createDataFrame([(n,) for n in names], "kind string")
-        return every.join(F.broadcast(found), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
+        return every.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
     def register(self, prefix: str = "deck_") -> None:
         """A temporary view for every kind."""
