@@ -11,8 +11,8 @@
    be the symmetric difference of x and the centre. If x isn't linked with the centre, then
    x and y can only be linked if D(x) and D(y) share more than about half of D(y), so by the
    prefix principle they share one of their first few elements. The rarest come first, so an edit that
-   thousands of copies share is in a prefix only where nearly the whole difference is so common. Pairs that share
-   enough of both prefixes and aren't connected yet pass the estimate and then the exact comparison.
+   thousands of copies share is in a prefix only where nearly the whole difference is so common, and a shared element
+   counts only if enough of both differences comes after it. Pairs that aren't connected yet pass the estimate and then the exact comparison.
 4. Links make components.
 
 Two documents at a similarity of 0.8 miss all 51 bands of five with a chance of 2e-9, and any
@@ -192,8 +192,7 @@ def _inside(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _elements(compared: DataFrame, least: int, common=None, of_open: bool = False) -> DataFrame:
     """A row for each element of a difference, keyed with its centre.
 
-    With the levels of common keys, only those of the prefix that recur, the rarest first, with sizes, place and the
-    prefix's length. The prefix leaves out one element less than must be shared: with any node that isn't
+    With the levels of common keys, only those of the prefix that recur, the rarest first, with sizes and place. The prefix leaves out one element less than must be shared: with any node that isn't
     linked with the centre, or of_open, with any node at all for one that isn't.
     """
     far, near = 100 - least, 100 + least
@@ -212,15 +211,16 @@ def _elements(compared: DataFrame, least: int, common=None, of_open: bool = Fals
                 continue
             n, m, d = (batch.column(k).to_numpy() for k in ("n", "m", "d"))
             needed = np.maximum(1, -(-(near * d - far * (n + m)) // (far + near))) if of_open else -(-(near * d + far * (m - n) + 1) // (2 * near))
+            needed = np.maximum(needed, d - n * far // least)  # linked sets differ by far / least of either's size at most
             length = np.clip(d - needed + 1, 0, d)
             order = np.lexsort((keys, common.value.level(keys), row))
             keys = keys[order]
             place = np.arange(len(keys)) - offsets[:-1][row]
             keep = (place < length[row]) & common.value.member(keys)
             rows = pa.array(row[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(batch.column(k).take(rows) for k in ("xo", "xt", "n", "d")), pa.array(place[keep]), pa.array(length[row[keep]])], names=["key", "o", "t", "n", "d", "place", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[keep].view(np.int64)), *(batch.column(k).take(rows) for k in ("xo", "xt", "n", "d")), pa.array(place[keep])], names=["key", "o", "t", "n", "d", "place"])
 
-    return compared.mapInArrow(run, "key bigint" if common is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint, length bigint")
+    return compared.mapInArrow(run, "key bigint" if common is None else "key bigint, o bigint, t bigint, n bigint, d bigint, place bigint")
 
 
 def _confirm(pairs: DataFrame, least: int) -> DataFrame:
@@ -282,16 +282,14 @@ def links(docs: DataFrame, sketches: DataFrame, nodes: DataFrame, shingle: int,
     scratch.drop(shared)
     x = _elements(around.where("NOT linked"), least, common, of_open=True).alias("x")
     y = _elements(around, least, common).alias("y")
-    # how many elements the differences must share, and how many of these then lie within both prefixes:
-    # the i-th shared one has all the later ones behind it, so it is in a prefix that leaves t - 1 elements out if i <= need - t + 1
+    # how many elements the differences must share; all of them lie at the first shared one's places or behind
     far, near = 100 - least, 100 + least
     need = F.ceil((near * (F.col("x.d") + F.col("y.d")) - far * (F.col("x.n") + F.col("y.n"))) / (2 * near))
-    within = need - F.greatest(F.col("x.d") - F.col("x.length"), F.col("y.d") - F.col("y.length"))
     behind = F.least(F.col("x.d") - F.col("x.place"), F.col("y.d") - F.col("y.place"))
-    likely = x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.o") != F.col("y.o")) | (F.col("x.t") != F.col("y.t"))) & (behind + F.least(F.col("x.place"), F.col("y.place")) >= need))
-    shares = likely.groupBy(F.col("x.o").alias("xo"), F.col("x.t").alias("xt"), F.col("y.o").alias("co"), F.col("y.t").alias("ct")).agg(F.count("*").alias("n"), F.min(within).alias("within"))
-    pair = F.struct(F.least(_node("x"), _node("c")).alias("x"), F.greatest(_node("x"), _node("c")).alias("c"))
-    again = shares.where("n >= within").select(pair.alias("pair")).distinct().select(*(F.col(f"pair.{p}.{k}").alias(f"{p}{k}") for p in "xc" for k in "ot"))
+    likely = x.join(y, (F.col("x.key") == F.col("y.key")) & ((F.col("x.o") != F.col("y.o")) | (F.col("x.t") != F.col("y.t"))) & (behind >= need))
+    one, other = F.struct("x.o", "x.t"), F.struct("y.o", "y.t")
+    pair = F.struct(F.least(one, other).alias("x"), F.greatest(one, other).alias("c"))
+    again = likely.select(pair.alias("pair")).distinct().select(*(F.col(f"pair.{p}.{k}").alias(f"{p}{k}") for p in "xc" for k in "ot"))
     root = lambda p: linked.select(F.col("u.o").alias(f"{p}o"), F.col("u.t").alias(f"{p}t"), F.col("v").alias(f"{p}root"))
     apart = again.join(root("x"), ["xo", "xt"], "left").join(root("c"), ["co", "ct"], "left").where(F.coalesce("xroot", _node("x")) != F.coalesce("croot", _node("c")))
     found = _confirm(_with_sets(apart.select("xo", "xt", "co", "ct"), sets), least).select(edge)
