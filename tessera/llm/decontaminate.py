@@ -171,8 +171,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
     """doc_id, item_id, start_word and similarity of every document and benchmark item that it holds.
 
     One row for each pair, with the most alike window, the first of equals. Null and empty
-    documents and items match nothing. Repeated rows each give theirs, as do items with the
-    same text. Empty tables give no rows; extra columns are ignored. A-Z count as a-z.
+    documents and items match nothing. Very long documents are searched whole, some thousand windows at a time. Repeated rows each
+    give theirs, as do items with the same text. Empty tables give no rows; extra columns are ignored, whatever they are called. A-Z count as a-z.
     """
     small_batches(docs.sparkSession)
     found = None
@@ -194,7 +194,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs that hold no benchmark item, with their columns as they are."""
+    """The rows of docs that hold no benchmark item, with their columns as they are, whatever they are called.
+
+    Null and empty texts hold none and stay; an empty benchmark or table changes nothing; repeated rows stay or go together.
+    """
     small_batches(docs.sparkSession)
     names = docs.columns
     text_name = unused(docs, "_text")

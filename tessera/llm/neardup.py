@@ -301,7 +301,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
 
     Documents without words are linked with nothing. A null doc_id takes part and is never the
     smallest unless all of its component are null; then component_id is null and kept true. Repeated
-    rows are equal documents. An empty table gives no rows; extra columns are ignored.
+    rows are equal documents. Very long texts are taken whole, their sets held by one task each. Ties go to the least (id, text hash).
+    An empty table gives no rows; extra columns are ignored, whatever they are called.
     """
     with Scratch(docs.sparkSession) as scratch:
         sketches = scratch.cut(sketch(docs, shingle), "sketches")
@@ -317,7 +318,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> Data
 def dedup(docs: DataFrame, shingle: int = SHINGLE, least: int = LEAST) -> DataFrame:
     """The rows of docs that stay: of each component its root, one with the smallest doc_id, of rows with equal id and text one.
 
-    Documents that are not linked both stay, whether or not their ids are equal or null.
+    Documents that are not linked both stay, whether or not their ids are equal or null. Null and empty texts stay. Columns come
+    back as they are, whatever they are called; an empty table stays empty.
     """
     own = docs.select(row_of(docs).alias("row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_ID)).alias("o"), F.xxhash64(F.col("doc_id").isNull(), F.col("text").cast("string")).alias("t"))
     one = classes(docs, shingle, least).where("o = root_o AND t = root_t").select("o", "t")

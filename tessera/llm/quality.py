@@ -196,7 +196,8 @@ def score(docs: DataFrame, trees: Trees | None, least: float = LEAST_SCORE, keep
     Returns doc_id, the five base counts, base_failed, kept and quality_score (null without
     trees, and then only the base rules decide). With keep_columns, the columns of docs come
     first instead and only ``kept`` is added. Null and empty texts have no words and fail.
-    Repeated rows are judged alike; an empty table gives no rows; extra columns are ignored.
+    Very long texts are judged whole. Repeated rows are judged alike, and no order of rows matters, so there are no ties; a score of
+    exactly ``least`` is kept. An empty table gives no rows; extra columns are ignored, whatever they are called.
     """
     small_batches(docs.sparkSession)
 
