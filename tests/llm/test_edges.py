@@ -605,6 +605,17 @@ def test_decontaminate(spark, docs):
     assert decontaminate.clean(docs, bench.limit(0)).count() == len(ROWS)
 
 
+def test_decontaminate_by_blocks_of_the_benchmark(spark, docs, monkeypatch):
+    """A benchmark that takes several passes over the documents."""
+    items = [(i, text) for i, text in enumerate((PASSAGE, "one", None, BASE[:200], "second line end", PASSAGE + " q", LONG[:3000]))]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = lambda: (Counter(map(tuple, decontaminate.matches(docs, bench).collect())), Counter(map(str, decontaminate.clean(docs, bench).collect())))
+    want = found()
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 700)
+    assert sum(1 for _ in decontaminate._indexes(bench, 0.8, 24)) > 3
+    assert found() == want and len(want[0]) > 5
+
+
 def test_decontaminate_parts_in_another_order(spark):
     item = [f"item{i}" for i in range(60)]
     around = [f"around{i}" for i in range(200)]
