@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import views
 from tessera.plans.base import ORACLE, QUERIES, table
 from tessera.sources.cards import KINDS, MATERIAL_TYPES, fields
 from tessera.sources.deck import Deck, cell
@@ -55,8 +56,11 @@ def _card(kind: str, card: int) -> Column:
 def written(spark: SparkSession, sf_dir: str, bodies: list[tuple[str, list[Column]]]) -> DataFrame:
     """A deck of one file for each (name, lines), in which every customer has a section of these lines."""
     rows = [F.struct(F.lit(name).alias("file"), F.lit(i).alias("i"), line.alias("line")) for name, lines in bodies for i, line in enumerate(lines)]
-    found = table(spark, sf_dir, "customer").select("c_custkey", F.explode(F.array(*rows)).alias("r"))
-    return found.select("r.file", (F.col("c_custkey").cast("bigint") * ROOM + F.col("r.i")).alias("line_no"), "r.line")
+    own, found = table(spark, sf_dir, "customer").select("c_custkey"), None
+    for at in range(0, len(rows), 16):  # more are too long for compiled code
+        one = own.select("c_custkey", F.explode(F.array(*rows[at : at + 16])).alias("r")).select("r.file", (F.col("c_custkey").cast("bigint") * ROOM + F.col("r.i")).alias("line_no"), "r.line")
+        found = one if found is None else found.unionByName(one)
+    return found
 
 
 def _title(kind: str, keyword: str) -> list[Column]:
@@ -237,3 +241,34 @@ for _family in FAMILIES.values():
         _COUNTED[_kind] = _COUNTED.get(_kind, 0) + 1
 QUERIES["deck_kind_counts"] = deck_kind_counts
 ORACLE["deck_kind_counts"] = " UNION ALL ".join(f"SELECT '{k}' AS kind, {n} * count(*) AS n FROM customer" for k, n in _COUNTED.items())
+
+
+def deck_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of a deck of all kinds of which only parts and controls of time are read."""
+    own = [(kind, keyword) for family in FAMILIES.values() for kind, keyword, _ in family]
+    lines = written(spark, sf_dir, [(keyword, [F.lit(keyword), *_title(kind, keyword), *(_card(kind, i) for i in range(len(KINDS[kind].cards)))]) for kind, keyword in own])
+    return Deck(lines, only=["part", "control_timestep"]).counts().where("n > 0")
+
+
+QUERIES["deck_only"] = deck_only
+ORACLE["deck_only"] = "SELECT 'part' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'control_timestep', count(*) FROM customer"
+
+
+def deck_element_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shells and solids together, with their part and how many nodes they have."""
+    deck = Deck(written(spark, sf_dir, [(kind, [F.lit(f"*{kind.upper()}"), _card(kind, 0)]) for kind in ("element_shell", "element_solid", "element_beam")]))
+    return deck["element"].where("type <> 'beam'").select("eid", "pid", "type", F.col("node_count").cast("int").alias("node_count"))
+
+
+QUERIES["deck_element_union"] = deck_element_union
+ORACLE["deck_element_union"] = " UNION ALL ".join(f"SELECT {_number(0, 'i')}::INT AS eid, {_number(1, 'i')}::INT AS pid, '{t}' AS type, 8::INT AS node_count FROM customer" for t in ("shell", "solid"))
+
+
+def record_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels and JSON details of parts."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("int").alias("pid"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("").alias("title"))
+    return views.details(p).select("details", F.get_json_object("details", "$.pid").cast("int").alias("pid")).join(p.select("pid", views.label("part", p.columns).alias("label")), "pid").select("pid", "label", "details")
+
+
+QUERIES["record_views"] = record_views
+ORACLE["record_views"] = "SELECT p_partkey::INT AS pid, CASE WHEN p_size % 2 = 0 THEN p_partkey || ': ' || p_name ELSE 'Part ' || p_partkey END AS label, '{\"pid\":' || p_partkey || ',\"title\":\"' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END || '\"}' AS details FROM part"

@@ -208,18 +208,23 @@ def _material(found: DataFrame) -> DataFrame:
 
 
 class Deck:
-    """A deck's records by kind, each a DataFrame that is decoded when it is used."""
+    """A deck's records by kind, each a DataFrame that is decoded when it is used.
 
-    def __init__(self, lines: DataFrame) -> None:
+    With ``only``, a list of kinds, lines of other kinds are left out at once, and those kinds have no records.
+    """
+
+    def __init__(self, lines: DataFrame, only: Sequence[str] | None = None) -> None:
         self.lines, self.data = lines, sections(lines)
+        if only is not None:
+            self.data = self.data.where(F.col("keyword").rlike("|".join(f"(?:{KINDS[k].keyword})" for k in only) or "(?!)"))
 
     @classmethod
-    def read(cls, spark: SparkSession, paths: str | Sequence[str]) -> Deck:
-        return cls(read_lines(spark, paths))
+    def read(cls, spark: SparkSession, paths: str | Sequence[str], only: Sequence[str] | None = None) -> Deck:
+        return cls(read_lines(spark, paths), only)
 
     @classmethod
-    def parse(cls, spark: SparkSession, content: str) -> Deck:
-        return cls(lines_of_text(spark, content))
+    def parse(cls, spark: SparkSession, content: str, only: Sequence[str] | None = None) -> Deck:
+        return cls(lines_of_text(spark, content), only)
 
     def __getitem__(self, kind: str) -> DataFrame:
         if kind == "element":
