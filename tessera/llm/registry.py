@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import chat, decontaminate, html, language, lines, neardup, packing, phrases, privacy, quality
+from tessera.llm import chat, decontaminate, html, language, lines, neardup, packing, phrases, privacy, quality, runs, search, warc
 from tessera.llm.common import table
 
 
@@ -62,6 +62,21 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.fold(chat.log_of_messages(messages))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of words of every document, a tenth of which end in words of their own over again."""
+    return runs.digest(runs.detect(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents that answer each benchmark item best."""
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages in a deduplicated archive, as it reads back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -73,6 +88,9 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_decontamination": op9_decontamination,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_warc_revisits": op13_warc_revisits,
 }
 
 ORACLE: dict[str, str] = {
@@ -81,4 +99,6 @@ ORACLE: dict[str, str] = {
     "op6_substring_dedup": phrases.DIGEST_SQL,
     "op9_decontamination": decontaminate.MATCHES_SQL,
     "op10_chat_formatting": chat.DIGEST_SQL,
+    "op12_ranked_search": search.SEARCH_SQL,
+    "op13_warc_revisits": warc.RECORDS_SQL,
 }

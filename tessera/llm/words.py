@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -19,6 +20,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[32, *range(9, 14)]] = True
+#: Bytes that part runs of letters and digits; bytes of other characters than ASCII don't.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 _VALUE_LOWER = _VALUE.copy()
 _VALUE_LOWER[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
@@ -49,13 +55,22 @@ class Words:
         a, b = self.first[i], self.first[i + 1]
         return [self.data[x:y] for x, y in zip(self.start[a:b].tolist(), self.end[a:b].tolist(), strict=True)]
 
+    def coded(self, chosen: np.ndarray | slice = slice(None), lower: bool = False) -> tuple[np.ndarray, list[bytes]]:
+        """Numbers of the chosen words, and the word of each number: equal words have equal numbers, others others."""
+        start, sizes = self.start[chosen], self.end[chosen] - self.start[chosen]
+        offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        letters = np.frombuffer(self.data, np.uint8)[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], sizes)]
+        letters = _LOWER[letters] if lower else letters
+        found = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(letters.tobytes())]).dictionary_encode()
+        return found.indices.to_numpy(zero_copy_only=False).astype(np.int64), found.dictionary.to_pylist()
 
-def words_of(texts: list[str | None], lower: bool = False) -> Words:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of every text (null: none); with lower, A-Z count as a-z."""
+
+def words_of(texts: list[str | None], lower: bool = False, separators: np.ndarray = _SEPARATOR) -> Words:
+    """Words ``[^\\x20\\x09-\\x0D]+`` of every text (null: none), or those between other separators; with lower, A-Z count as a-z."""
     coded = [x.encode() if x else b"" for x in texts]
     data = b"\n" + b"\n".join(coded) + b"\n"
     raw = np.frombuffer(data, np.uint8)
-    apart = _SEPARATOR[raw]
+    apart = separators[raw]
     start = np.flatnonzero(apart[:-1] & ~apart[1:]) + 1
     end = np.flatnonzero(~apart[:-1] & apart[1:]) + 1
     offsets = np.cumsum([1, *(len(x) + 1 for x in coded)])
