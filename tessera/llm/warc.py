@@ -196,7 +196,7 @@ WITH page AS (
   SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
 )
 SELECT page_id, payload_bytes,
-  array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + (('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31, 1)), '') AS payload_digest,
+  array_to_string(list_transform(range(32), lambda i: substr('{_BASE32}', 1 + ((('0x' || substr(h, (1 + 5 * (i // 4))::INT, 5))::INT >> (15 - 5 * (i % 4))::INT) & 31), 1)), '') AS payload_digest,
   CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to
 FROM page
 """
