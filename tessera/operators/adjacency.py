@@ -36,20 +36,20 @@ def _along(low: Column, high: Column, width: float, level: Column) -> Column:
     return F.explode(F.sequence(_cell(low, width, level), _cell(high, width, level)))
 
 
-def within_gap(boxes: DataFrame, axis: str, most: float) -> DataFrame:
+def within_gap(boxes: DataFrame, axis: str, most: float, sources: DataFrame | None = None) -> DataFrame:
     """Ordered pairs (source, part, gap) of parts whose boxes are no further apart along the axis than ``most``.
 
-    A pair meets in the cells of the larger one's level, and counts in the first that both have.
+    A pair meets in the cells of the larger one's level, and counts in the first that both have. With sources, only their boxes look for others.
     """
     low, high = F.col(f"min_{axis}"), F.col(f"max_{axis}")
     width, top = _scale(boxes, high - low + 2 * most)
 
-    def placed(key: str, p: str, wider: float) -> DataFrame:
+    def placed(boxes: DataFrame, key: str, p: str, wider: float) -> DataFrame:
         own = boxes.select(F.col("pid").alias(key), low.alias(f"{p}0"), high.alias(f"{p}1"), (low - wider).alias(f"{p}l"), (high + wider).alias(f"{p}h"))
         own = own.withColumn(f"{p}v", F.least(_level(F.col(f"{p}h") - F.col(f"{p}l"), width), F.lit(top))).withColumn("level", F.explode(F.sequence(F.col(f"{p}v"), F.lit(top))))
         return own.withColumn("cell", _along(F.col(f"{p}l"), F.col(f"{p}h"), width, F.col("level")))
 
-    met = placed("source", "a", most).join(placed("part", "b", 0.0), ["level", "cell"]).where((F.col("source") != F.col("part")) & (F.col("level") == F.greatest("av", "bv")))
+    met = placed(boxes if sources is None else sources, "source", "a", most).join(placed(boxes, "part", "b", 0.0), ["level", "cell"]).where((F.col("source") != F.col("part")) & (F.col("level") == F.greatest("av", "bv")))
     once = met.where(F.col("cell") == _cell(F.greatest("al", "bl"), width, F.col("level")))
     gap = F.greatest(F.lit(0.0), F.col("b0") - F.col("a1"), F.col("a0") - F.col("b1"))
     return once.select("source", "part", gap.alias("gap")).where(F.col("gap") <= most)

@@ -163,12 +163,22 @@ def perimeter(ring: Column) -> Column:
     return _around(ring, lambda p, q: F.sqrt((q["u"] - p["u"]) * (q["u"] - p["u"]) + (q["v"] - p["v"]) * (q["v"] - p["v"])))
 
 
+#: Values of the order that one task sorts at a time.
+_SPAN = 65_536
+
+
 def evenly(rows: DataFrame, key: str, order: str, k: int) -> DataFrame:
-    """k evenly spaced rows of each key: those at int(i * (n - 1) / (k - 1)) in order; all where there are no more than k."""
-    at = Window.partitionBy(key).orderBy(order)
-    numbered = rows.withColumn("place", F.row_number().over(at) - 1).withColumn("n", F.count("*").over(Window.partitionBy(key)))
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / (k - 1)))
-    return numbered.where((F.col("n") <= k) | F.array_contains(wanted, F.col("place").cast("bigint"))).drop("n")
+    """k evenly spaced rows of each key: those at int(i * (n - 1) / (k - 1)) in order; all where there are no more than k.
+
+    order is a number. Rows are sorted in spans of it, and a row's place is that in its span and the rows of the spans before.
+    """
+    spanned = rows.withColumn("_span", F.floor(F.col(order) / _SPAN))
+    every = Window.partitionBy(key)
+    sizes = spanned.groupBy(key, "_span").agg(F.count("*").alias("_n")).select(key, "_span", (F.sum("_n").over(every.orderBy("_span")) - F.col("_n")).alias("_before"), F.sum("_n").over(every).alias("n"))
+    numbered = spanned.withColumn("place", F.row_number().over(Window.partitionBy(key, "_span").orderBy(order)) - 1).join(sizes, [key, "_span"])
+    numbered = numbered.withColumn("place", F.col("place") + F.col("_before"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.floor(i * (F.col("n") - 1) / max(k - 1, 1)))
+    return numbered.where((F.col("n") <= k) | F.array_contains(wanted, F.col("place").cast("bigint"))).drop("n", "_span", "_before")
 
 
 def distinct_nodes(elements: DataFrame) -> DataFrame:
