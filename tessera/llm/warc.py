@@ -6,16 +6,21 @@ the archive is written; the two lines are where Spark's text reader parts record
 payload is scanned for marks, none can hold them, and records are checked against their Content-Length.
 
 To resolve revisits, headers alone are dealt by payload digest; each revisit is joined with the
-response that it repeats, and the deduplicated archive is written with fresh headers.
+response that it repeats, and the deduplicated archive is written with fresh headers. Only records
+that a bitmap of the revisits' ids may hold are joined for that; all others, responses for certain, are
+written as they are read, so payloads are hardly shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import bitmap
 from tessera.llm.common import Scratch, cut, shared_dir
 
 #: Payloads of fewer bytes are never revisits.
@@ -59,13 +64,13 @@ def _mark(archive: str) -> str:
     return f"{VERSION}WARC-Warcinfo-ID: {_URN}{archive}>\r\n"
 
 
-def _save(records: DataFrame, archive: str, path: str) -> None:
-    """Write records (fields, block): fields are an array of header lines, null ones are left out; block is a string of any bytes."""
+def _save(records: DataFrame, archive: str, path: str, level: str = "DEFAULT_COMPRESSION") -> None:
+    """Write records (fields, block): fields are an array of header lines; block is a string of any bytes; level is zlib's."""
     fields = F.array_join(F.concat("fields", F.array(F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")))), "\r\n")
     info = records.sparkSession.range(1).select(F.array(F.lit("WARC-Type: warcinfo"), F.concat(F.lit("WARC-Record-ID: "), _urn(F.lit(archive))), F.concat(F.lit("WARC-Date: "), _now()), F.lit("Content-Type: application/warc-fields")).alias("fields"), F.lit("format: WARC File Format 1.1\r\n").alias("block"))
     every = records.select("fields", "block").unionByName(info)
     whole = every.select(F.concat(F.lit(_mark(archive)), fields, F.lit(END), F.col("block"), F.lit("\r\n")).alias("value"))
-    whole.write.option("lineSep", "\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    whole.write.option("lineSep", "\r\n").option("compression", "gzip").option("zlib.compress.level", level).option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def _now() -> Column:
@@ -75,7 +80,7 @@ def _now() -> Column:
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8"
 
 
-def write(pages: DataFrame, path: str) -> str:
+def write(pages: DataFrame, path: str, level: str = "DEFAULT_COMPRESSION") -> str:
     """Write a ``response`` record for each row (page_id, url, html) into a new archive in the folder path; returns the archive's id.
 
     The payload is the html in UTF-8; null html and urls are empty, a null page_id is left out. Repeated rows are records of their own.
@@ -89,7 +94,7 @@ def write(pages: DataFrame, path: str) -> str:
         F.lit("WARC-Type: response"), line("WARC-Record-ID", _urn(F.col("id"))), line("WARC-Target-URI", _plain(F.col("url"))), line("WARC-Date", _now()), line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), base32_sha1(F.col("html").cast("binary")))),
         line("X-Payload-Length", F.octet_length("html").cast("string")), line("X-Page-ID", F.col("page_id").cast("string")), F.lit("Content-Type: application/http;msgtype=response"),
     ))
-    _save(own.select(fields.alias("fields"), F.concat(F.lit(_HTTP), F.lit("\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END), F.col("html")).alias("block")), archive, path)
+    _save(own.select(fields.alias("fields"), F.concat(F.lit(_HTTP), F.lit("\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END), F.col("html")).alias("block")), archive, path, level)
     return archive
 
 
@@ -150,8 +155,21 @@ def deduplicate(spark: SparkSession, path: str, archive: str, to: str, least_byt
     with Scratch(spark) as scratch:
         headers = scratch.cut(read(spark, path, archive).select("record_id", "page_id", "uri", "date", "digest", "n_bytes"), "headers")
         decided = scratch.cut(resolve(headers, least_bytes), "resolved")
-        payloads = read(spark, path, archive).select("record_id", "payload")
-        own = decided.join(payloads, "record_id")
+        every = read(spark, path, archive)
+        repeats = decided.where("original IS NOT NULL").select(F.xxhash64("record_id").alias("key"))
+        none = F.lit(None).cast(decided.schema["original"].dataType)
+        if n := repeats.count():
+            held = bitmap.build(repeats, n)
+
+            @F.pandas_udf("boolean")
+            def may_repeat(keys: pd.Series) -> pd.Series:
+                return pd.Series(held.member(keys.to_numpy(np.int64).view(np.uint64)))
+
+            marked = every.withColumn("maybe", may_repeat(F.xxhash64("record_id")))
+            joined = marked.where("maybe").drop("maybe").join(decided.select("record_id", "original"), "record_id")
+            own = marked.where("NOT maybe").drop("maybe").withColumn("original", none).unionByName(joined)
+        else:
+            own = every.withColumn("original", none)
         revisit = F.col("original").isNotNull()
         line = lambda name, value: F.concat(F.lit(f"{name}: "), value)
         fields = F.array_compact(F.array(
@@ -181,7 +199,7 @@ def round_trip(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFrame:
     spark = pages.sparkSession
     base = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     try:
-        archive = write(pages, f"{base}/all")
+        archive = write(pages, f"{base}/all", "BEST_SPEED")
         new = deduplicate(spark, f"{base}/all", archive, f"{base}/once", least_bytes)
         headers = cut(read(spark, f"{base}/once", new).drop("payload"), "warc-headers")
     finally:
