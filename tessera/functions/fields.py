@@ -55,28 +55,40 @@ def format_text(value: Column, width: int) -> Column:
     return F.rpad(F.coalesce(value, F.lit("")), width, " ")
 
 
+def _let(value: Column, build) -> Column:
+    """build(value), in which the value is computed once."""
+    return F.get(F.transform(F.array(value), build), F.lit(0))
+
+
 def _general(value: Column, digits: int) -> Column:
     """``%g`` with so many significant digits: no trailing zeros, exponents from 1e-5 down and from 10**digits up."""
-    sci = F.format_string(f"%.{digits - 1}e", value)
-    exponent = F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int")
-    mantissa = F.regexp_replace(F.regexp_replace(F.regexp_extract(sci, r"^([^e]+)e", 1), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    decimals = F.greatest(F.lit(digits - 1) - exponent, F.lit(0))
-    plain = F.lit("")
-    for n in range(digits + 4, -1, -1):
-        plain = F.when(decimals == n, F.format_string(f"%.{n}f", value)).otherwise(plain)
-    plain = F.when(F.contains(plain, F.lit(".")), F.regexp_replace(F.regexp_replace(plain, r"0+$", ""), r"\.$", "")).otherwise(plain)
-    tail = F.concat(F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
-    return F.when((exponent < -4) | (exponent >= digits), F.concat(mantissa, tail)).otherwise(plain)
+
+    def plain(sign: Column, figures: Column, exponent: Column) -> Column:
+        whole = F.when(exponent < 0, "0").otherwise(F.substring(figures, F.lit(1), exponent + 1))
+        rest = F.when(exponent < 0, F.concat(F.repeat(F.lit("0"), -exponent - 1), figures)).otherwise(F.substring(figures, exponent + 2, F.lit(digits)))
+        return F.concat(sign, F.regexp_replace(F.concat(whole, F.lit("."), rest), r"\.?0*$", ""))
+
+    def scientific(sign: Column, figures: Column, exponent: Column) -> Column:
+        mantissa = F.regexp_replace(F.concat(F.substring(figures, F.lit(1), F.lit(1)), F.lit("."), F.substring(figures, F.lit(2), F.lit(digits))), r"\.?0*$", "")
+        return F.concat(sign, mantissa, F.when(exponent < 0, "e-").otherwise("e+"), F.lpad(F.abs(exponent).cast("string"), 2, "0"))
+
+    def written(sci: Column) -> Column:
+        parts = F.struct(F.regexp_extract(sci, "^(-?)", 1).alias("sign"), F.regexp_replace(F.regexp_extract(sci, r"^-?([0-9.]+)", 1), r"\.", "").alias("figures"), F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int").alias("exponent"))
+        return _let(parts, lambda p: F.when((p["exponent"] < -4) | (p["exponent"] >= digits), scientific(p["sign"], p["figures"], p["exponent"])).otherwise(plain(p["sign"], p["figures"], p["exponent"])))
+
+    return _let(F.format_string(f"%.{digits - 1}e", value), written)
 
 
 def format_double(value: Column, width: int) -> Column:
     """Right-justified number: 0 as 0.0; from 1e6 up or under 1e-4 with an exponent; else the shortest form of width - 4 digits."""
-    value = F.coalesce(value.cast("double"), F.lit(0.0))
-    size = F.abs(value)
     digits = max(1, width - 4)
-    sci = F.format_string(f"%.{max(1, width - 8)}e", value)
-    text = F.when(value == 0, "0.0").when((size >= 1e6) | (size < 1e-4), sci).otherwise(_general(value, digits))
-    return F.when(F.length(text) < width, F.lpad(text, width, " ")).otherwise(text)
+
+    def text(v: Column) -> Column:
+        sci = F.format_string(f"%.{max(1, width - 8)}e", v)
+        return F.when(v == 0, "0.0").when((F.abs(v) >= 1e6) | (F.abs(v) < 1e-4), sci).otherwise(_general(v, digits))
+
+    whole = _let(F.coalesce(value.cast("double"), F.lit(0.0)), text)
+    return _let(whole, lambda t: F.when(F.length(t) < width, F.lpad(t, width, " ")).otherwise(t))
 
 
 def join_card(fields: list[Column]) -> Column:

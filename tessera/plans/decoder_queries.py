@@ -83,7 +83,7 @@ def _long(found: DataFrame, rows: Column) -> DataFrame:
 def _decoded(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = FAMILIES[name]
-        deck = Deck(written(spark, sf_dir, [(f"{kind} {keyword}", [F.lit(keyword), *_title(kind, keyword), F.lit("$ comment"), *(_card(kind, i) for i in range(len(KINDS[kind].cards)))]) for kind, keyword, _ in own]))
+        deck = Deck(written(spark, sf_dir, [(f"{kind} {keyword}", [F.lit(keyword), *_title(kind, keyword), F.lit("$ comment"), *(_card(kind, i) for i in range(len(KINDS[kind].cards)))]) for kind, keyword, _ in own])).stored()
         found = None
         for kind, keyword, type_ in own:
             rows = deck[kind].where(F.col("file") == f"{kind} {keyword}")
@@ -131,7 +131,7 @@ def deck_id_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sets of every kind, extra nodes and history requests: eleven ids over two lines, zeros and blanks left out."""
     ids = lambda low, high: F.concat(*(F.lpad(F.expr(f"c_custkey * 20 + {i}").cast("string") if i % 5 else F.lit("0"), 10, " ") for i in range(low, high)))
     head = {True: [F.lpad(F.col("c_custkey").cast("string"), 10, " ")], False: []}
-    deck = Deck(written(spark, sf_dir, [(f"{kind} {keyword}", [F.lit(keyword), *_title(kind, keyword), *head[bool(KINDS[kind].cards[0])], ids(0, 8), ids(8, 14)]) for kind, keyword, _ in LISTS]))
+    deck = Deck(written(spark, sf_dir, [(f"{kind} {keyword}", [F.lit(keyword), *_title(kind, keyword), *head[bool(KINDS[kind].cards[0])], ids(0, 8), ids(8, 14)]) for kind, keyword, _ in LISTS])).stored()
     found = None
     for kind, keyword, type_ in LISTS:
         rows = deck[kind].where(F.col("file") == f"{kind} {keyword}")
@@ -232,7 +232,7 @@ ORACLE["deck_includes"] = " UNION ALL ".join(f"SELECT '{k}' AS file, 'models/par
 def deck_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of every kind in a deck of all of them."""
     own = [(kind, keyword) for family in FAMILIES.values() for kind, keyword, _ in family]
-    return Deck(written(spark, sf_dir, [(keyword, [F.lit(keyword), *_title(kind, keyword), *(_card(kind, i) for i in range(len(KINDS[kind].cards)))]) for kind, keyword in own])).counts().where("n > 0")
+    return Deck(written(spark, sf_dir, [(keyword, [F.lit(keyword), *_title(kind, keyword), *(_card(kind, i) for i in range(len(KINDS[kind].cards)))]) for kind, keyword in own])).stored().counts().where("n > 0")
 
 
 _COUNTED: dict[str, int] = {}
@@ -247,7 +247,7 @@ def deck_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a deck of all kinds of which only parts and controls of time are read."""
     own = [(kind, keyword) for family in FAMILIES.values() for kind, keyword, _ in family]
     lines = written(spark, sf_dir, [(keyword, [F.lit(keyword), *_title(kind, keyword), *(_card(kind, i) for i in range(len(KINDS[kind].cards)))]) for kind, keyword in own])
-    return Deck(lines, only=["part", "control_timestep"]).counts().where("n > 0")
+    return Deck(lines).stored().only(["part", "control_timestep"]).counts().where("n > 0")
 
 
 QUERIES["deck_only"] = deck_only

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.functions.fields import double_field, int_field, text_field
+from tessera.sources import deck_source
 from tessera.sources.cards import CONTACT_TYPES, KINDS, MATERIAL_TYPES, TEN_IDS, UNKNOWN_MATERIAL_CARDS, Kind, fields
+from tessera.sources.folders import shared_dir
 
 #: Lines that one window of the section carry takes; longer files are carried block by block.
 BLOCK_LINES = 100_000
@@ -60,13 +63,27 @@ def carried(lines: DataFrame, head: Column) -> DataFrame:
 
 
 def sections(lines: DataFrame) -> DataFrame:
-    """Data lines with the upper-cased keyword of their section and ``section``, the number of the keyword's line.
+    """Data lines with the upper-cased keyword of their section, its ``kind``, and ``section``, the number of the keyword's line.
 
-    A keyword holds until the next one. Comments, blank lines and lines before any keyword are left out.
+    A keyword holds until the next one. Comments, blank lines and lines before any keyword are left out. Only keyword lines are
+    matched with the kinds; keywords of no kind have a null one.
     """
-    head = F.when(is_keyword(F.col("line")), F.struct(F.col("line_no").alias("section"), F.upper(F.trim("line")).alias("keyword")))
+    keyword = F.upper(F.trim("line"))
+    head = F.when(is_keyword(F.col("line")), F.struct(F.col("line_no").alias("section"), keyword.alias("keyword"), kind_of(keyword).alias("kind")))
     data = carried(lines, head).where(F.col("own").isNotNull() & F.col("head").isNull() & ~is_comment(F.col("line")) & ~is_blank(F.col("line")))
-    return data.select("file", "line_no", "line", "own.section", "own.keyword")
+    return data.select("file", "line_no", "line", "own.section", "own.keyword", "own.kind")
+
+
+def kind_of(keyword: Column) -> Column:
+    """The first kind whose pattern an upper-cased keyword fits."""
+
+    def found(one: Column) -> Column:
+        kind = F.lit(None).cast("string")
+        for name, own in reversed(KINDS.items()):
+            kind = F.when(one.rlike(own.keyword), name).otherwise(kind)
+        return kind
+
+    return F.get(F.transform(F.array(keyword), found), F.lit(0))  # a lambda: so many patterns are too long for compiled code
 
 
 def keyword_lines(lines: DataFrame) -> DataFrame:
@@ -119,14 +136,16 @@ def records(data: DataFrame, name: str, every: bool = False) -> DataFrame:
     With ``every``, kinds of which only the first record of a section counts give all of them.
     """
     kind = KINDS[name]
-    own = data.where(F.col("keyword").rlike(kind.keyword))
-    if name in ("node",):
-        own = own.where(~F.col("keyword").startswith("*NODE_"))
+    own = data.where(F.col("kind") == name)
     key = ["file", "section"]
     if kind.mode == "each":
         found = own.select("file", "line_no", "section", "keyword", *decode_card(F.col("line"), kind.cards[0]))
         return _finish(found, name, kind)
-    numbered = own.withColumn("card", F.row_number().over(Window.partitionBy(*key).orderBy("line_no")) - 1 - _titled(kind))
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("line_no"))
+    numbered = own.withColumn("place", place)
+    if kind.mode == "first" and not every:  # Spark keeps no more lines of a section than these before it deals them
+        numbered = numbered.where(F.col("place") <= len(kind.cards) + 1)
+    numbered = numbered.withColumn("card", F.col("place") - 1 - _titled(kind)).drop("place")
     title = F.max(F.when(F.col("card") == -1, F.trim("line")))
     if kind.mode == "list":
         head = numbered.groupBy(*key).agg(F.min("line_no").alias("line_no"), F.first("keyword").alias("keyword"), title.alias("title"), F.max(F.when(F.col("card") == 0, F.col("line"))).alias("_head"), F.array_sort(F.collect_list(F.when(F.col("card") >= 0, F.struct("card", "line")))).alias("_lines"))
@@ -210,13 +229,41 @@ def _material(found: DataFrame) -> DataFrame:
 class Deck:
     """A deck's records by kind, each a DataFrame that is decoded when it is used.
 
-    With ``only``, a list of kinds, lines of other kinds are left out at once, and those kinds have no records.
+    With ``only``, a list of kinds, lines of other kinds are left out, and those kinds have no records. Each kind that is asked for scans the
+    lines; ``stored`` does that once for all kinds.
     """
 
-    def __init__(self, lines: DataFrame, only: Sequence[str] | None = None) -> None:
-        self.lines, self.data = lines, sections(lines)
+    def __init__(self, lines: DataFrame | None, only: Sequence[str] | None = None, data: DataFrame | None = None) -> None:
+        """Of lines (file, line_no, line), or of data lines that have their section and kind already."""
+        self.data = sections(lines) if data is None else data
         if only is not None:
-            self.data = self.data.where(F.col("keyword").rlike("|".join(f"(?:{KINDS[k].keyword})" for k in only) or "(?!)"))
+            self.data = self.data.where(F.col("kind").isin(list(only)))
+        self._lines_of = lambda kind: self.data
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, only: Sequence[str] | None = None, range_bytes: int = deck_source.RANGE_BYTES) -> Deck:
+        """Through the data source ``deck``: each kind that is asked for is read alone, other kinds are left out as they are read. FileNotFoundError if there is no deck at the path."""
+        deck = cls(None, None, deck_source.load(spark, path, None if only is None else list(only), range_bytes))
+        deck._lines_of = lambda kind: deck_source.load(spark, path, [kind] if only is None or kind in only else [], range_bytes)
+        return deck
+
+    def stored(self, path: str | None = None) -> Deck:
+        """The same deck with its lines written once, a folder for each kind, so that a kind is read alone; into the shared folder without path.
+
+        Lines of no kind stay, for scans that look for other keywords.
+        """
+        at = path or f"{shared_dir(self.data.sparkSession)}/deck-{uuid.uuid4().hex}"
+        self.data.write.partitionBy("kind").parquet(at)
+        return Deck.of_store(self.data.sparkSession, at)
+
+    def only(self, kinds: Sequence[str]) -> Deck:
+        """The deck with records of these kinds alone."""
+        return Deck(None, kinds, self.data)
+
+    @classmethod
+    def of_store(cls, spark: SparkSession, path: str) -> Deck:
+        """A deck that ``stored`` wrote."""
+        return cls(None, None, spark.read.schema("file string, line_no bigint, line string, section bigint, keyword string, kind string").parquet(path))
 
     @classmethod
     def read(cls, spark: SparkSession, paths: str | Sequence[str], only: Sequence[str] | None = None) -> Deck:
@@ -229,31 +276,32 @@ class Deck:
     def __getitem__(self, kind: str) -> DataFrame:
         if kind == "element":
             return self["element_shell"].unionByName(self["element_solid"]).unionByName(self["element_beam"])
-        return records(self.data, kind)
+        return records(self._lines_of(kind), kind)
 
     def counts(self) -> DataFrame:
         """Records of every kind. Lines are counted by keyword or section first, and only these are matched with the kinds."""
-        names, kind, least = list(KINDS), F.lit(None).cast("string"), F.lit(0)
-        for name in reversed(names):
-            kind = F.when(F.col("keyword").rlike(KINDS[name].keyword), name).otherwise(kind)
-            if KINDS[name].mode == "first":
-                least = F.when(F.col("kind") == name, len(KINDS[name].cards) - 1).otherwise(least)
-        any_of = lambda chosen: F.col("keyword").rlike("|".join(f"(?:{KINDS[n].keyword})" for n in names if chosen(KINDS[n])))
-        each = any_of(lambda k: k.mode == "each")
-        lines = self.data.where(each).groupBy("keyword").agg(F.count("*").alias("n")).withColumn("kind", kind)
-        found = lines.where(F.col("kind").isin([n for n in names if KINDS[n].mode == "each"])).groupBy("kind").agg(F.sum("n").alias("n"))
+        names = list(KINDS)
+        of = lambda chosen: F.col("kind").isin([n for n in names if chosen(KINDS[n])])
+        each = of(lambda k: k.mode == "each")
+        found = self.data.where(each).groupBy("kind").agg(F.count("*").alias("n"))
         # of the others a section holds one record at most, if it has enough lines and ids
-        titled = F.when(any_of(lambda k: k.titled == "always"), 1).when(F.col("keyword").rlike("_(TITLE|ID)(_MPP)?$") & any_of(lambda k: k.titled == "suffix"), 1).otherwise(0)
-        card = F.row_number().over(Window.partitionBy("file", "section").orderBy("line_no")) - 1 - titled
-        placed = self.data.where(any_of(lambda k: k.mode != "each")).withColumn("card", card)
+        titled = F.when(of(lambda k: k.titled == "always"), 1).when(F.col("keyword").rlike("_(TITLE|ID)(_MPP)?$") & of(lambda k: k.titled == "suffix"), 1).otherwise(0)
+        most = F.coalesce(*(F.when(of(lambda k, n=n: k.mode == "first" and len(k.cards) == n), n) for n in {len(k.cards) for k in KINDS.values()}), F.lit(1)) + titled
         an_id = F.greatest(*(int_field(F.col("line"), a, w) for _, _, a, w in fields(TEN_IDS)))
-        first = F.max(F.when(F.col("card") == 0, int_field(F.col("line"), 0, 10)))
-        ids = F.max(F.when(F.col("card") >= F.when(any_of(lambda k: k.mode == "list" and not k.cards[0]), 0).otherwise(1), an_id))
-        whole = placed.groupBy("file", "section", "keyword").agg(F.max("card").alias("last"), first.alias("first"), ids.alias("ids")).withColumn("kind", kind)
+        # lines of a section in order are only needed up to the first card of a list
+        lines = self.data.where(~each)
+        bare = titled + F.when(of(lambda k: k.mode == "list" and not k.cards[0]), 0).otherwise(1)
+        card = F.row_number().over(Window.partitionBy("file", "section").orderBy("line_no"))
+        top = lines.withColumn("place", card).where(F.col("place") <= 2).groupBy("file", "section").agg(*(F.max(F.when(F.col("place") == i, F.col("line"))).alias(f"line{i}") for i in (1, 2)), *(F.max(F.when(F.col("place") == i, F.col("line_no"))).alias(f"at{i}") for i in (1, 2)))
+        whole = lines.withColumn("id", F.when(of(lambda k: k.mode == "list"), an_id)).groupBy("file", "section", "kind", "keyword").agg(F.count("*").alias("n"), F.max("id").alias("ids"))
+        # ids count beyond a list's title and head
+        later = lines.where(of(lambda k: k.mode == "list")).join(top.select("file", "section", "at1", "at2"), ["file", "section"]).withColumn("skip", F.when(bare == 2, F.coalesce("at2", F.lit(2**62))).when(bare == 1, F.col("at1")))
+        later = later.where(F.col("skip").isNull() | (F.col("line_no") > F.col("skip"))).groupBy("file", "section").agg(F.max(an_id).alias("ids"))
+        joined = whole.drop("ids").join(top, ["file", "section"]).join(later, ["file", "section"], "left")
+        first = int_field(F.when(titled == 1, F.col("line2")).otherwise(F.col("line1")), 0, 10)
         sets = F.col("kind").startswith("set_")
-        fine = (F.col("last") >= least) & (~(sets | F.col("kind").isin("extra_nodes", "database_history")) | (F.col("ids") > 0)) & (~(sets | (F.col("kind") == "curve")) | (F.col("first") > 0))
-        listed = F.col("kind").isin([n for n in names if KINDS[n].mode != "each"])
-        found = found.unionByName(whole.where(listed & fine).groupBy("kind").agg(F.count("*").alias("n")))
+        fine = (F.col("n") >= most) & (~(sets | F.col("kind").isin("extra_nodes", "database_history")) | (F.coalesce("ids", F.lit(0)) > 0)) & (~(sets | (F.col("kind") == "curve")) | (F.coalesce(first, F.lit(0)) > 0))
+        found = found.unionByName(joined.where(fine).groupBy("kind").agg(F.count("*").alias("n")))
         every = self.data.sparkSession.createDataFrame([(n,) for n in names], "kind string")
         return every.join(found, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).alias("n"))
 
@@ -272,14 +320,19 @@ class Deck:
 
     def part_ids(self) -> DataFrame:
         """Distinct pids, 0 < pid < 1,000,000, from three places: *PART cards, the first line of each *ELEMENT_SOLID section, and *SET_PART lists."""
+        number = lambda line, pattern: F.regexp_extract(line, pattern, 1).try_cast("bigint")
         order = Window.partitionBy("file", "section").orderBy("line_no")
-        own = self.data.where(F.col("keyword").rlike(r"^\*(PART|ELEMENT_SOLID|SET_PART)"))
+        own = self.data.where(F.col("keyword").rlike(r"^\*PART(_TITLE)?\s*$"))
         placed = own.withColumn("i", F.row_number().over(order) - 1).withColumn("next", F.lead("line").over(order))
-        number = lambda line, pattern: F.regexp_extract(line, pattern, 1).try_cast("bigint")
-        part = placed.where(F.col("keyword").rlike(r"^\*PART(_TITLE)?\s*$") & (F.col("i") % 2 == 0) & F.col("next").isNotNull()).select(number("next", r"^\s*(\d+)").alias("pid"))
-        solid = placed.where(F.col("keyword").startswith("*ELEMENT_SOLID") & (F.col("i") == 0)).select(number("line", r"^\s*\d+\s*,?\s*(\d+)").alias("pid"))
-        head = F.when(F.col("keyword").endswith("_TITLE"), 2).otherwise(1)
-        sets = placed.where(F.col("keyword").startswith("*SET_PART") & (F.col("i") >= head)).select(F.explode(F.regexp_extract_all("line", F.lit(r"(\d+)"), F.lit(1))).alias("pid")).select(F.col("pid").try_cast("bigint").alias("pid"))
+        part = placed.where((F.col("i") % 2 == 0) & F.col("next").isNotNull()).select(number("next", r"^\s*(\d+)").alias("pid"))
+        # the first line of a section that may hold nearly all of a deck, and the lines beyond a set's head, without sorting sections
+        first = self.data.where(F.col("keyword").startswith("*ELEMENT_SOLID")).groupBy("file", "section").agg(F.min_by("line", "line_no").alias("line"))
+        solid = first.select(number("line", r"^\s*\d+\s*,?\s*(\d+)").alias("pid"))
+        listed = self.data.where(F.col("keyword").startswith("*SET_PART"))
+        place = listed.withColumn("i", F.row_number().over(order)).where(F.col("i") <= 2)
+        head = place.where(F.col("i") == F.when(F.col("keyword").endswith("_TITLE"), 2).otherwise(1)).select("file", "section", F.col("line_no").alias("head"))
+        later = listed.join(head, ["file", "section"]).where("line_no > head")
+        sets = later.select(F.explode(F.regexp_extract_all("line", F.lit(r"(\d+)"), F.lit(1))).alias("pid")).select(F.col("pid").try_cast("bigint").alias("pid"))
         return part.union(solid).union(sets).where("pid > 0 AND pid < 1000000").distinct()
 
     def part_ids_quick(self) -> DataFrame:
@@ -300,5 +353,5 @@ def text_cells(data: DataFrame, kind: str) -> DataFrame:
 
     A cell beyond the line's end is blank. Single cells are ``F.get("cells", j)``.
     """
-    own = data.where(F.col("keyword").rlike(KINDS[kind].keyword))
+    own = data.where(F.col("kind") == kind)
     return own.select("file", "line_no", "section", F.array(*(text_field(F.col("line"), a, w) for _, _, a, w in fields(KINDS[kind].cards[0]))).alias("cells"))
