@@ -55,7 +55,7 @@ def format_text(value: Column, width: int) -> Column:
     return F.rpad(F.coalesce(value, F.lit("")), width, " ")
 
 
-def _let(value: Column, build) -> Column:
+def let(value: Column, build) -> Column:
     """build(value), in which the value is computed once."""
     return F.get(F.transform(F.array(value), build), F.lit(0))
 
@@ -74,9 +74,9 @@ def _general(value: Column, digits: int) -> Column:
 
     def written(sci: Column) -> Column:
         parts = F.struct(F.regexp_extract(sci, "^(-?)", 1).alias("sign"), F.regexp_replace(F.regexp_extract(sci, r"^-?([0-9.]+)", 1), r"\.", "").alias("figures"), F.regexp_extract(sci, r"e([+-]\d+)$", 1).try_cast("int").alias("exponent"))
-        return _let(parts, lambda p: F.when((p["exponent"] < -4) | (p["exponent"] >= digits), scientific(p["sign"], p["figures"], p["exponent"])).otherwise(plain(p["sign"], p["figures"], p["exponent"])))
+        return let(parts, lambda p: F.when((p["exponent"] < -4) | (p["exponent"] >= digits), scientific(p["sign"], p["figures"], p["exponent"])).otherwise(plain(p["sign"], p["figures"], p["exponent"])))
 
-    return _let(F.format_string(f"%.{digits - 1}e", value), written)
+    return let(F.format_string(f"%.{digits - 1}e", value), written)
 
 
 def format_double(value: Column, width: int) -> Column:
@@ -87,8 +87,8 @@ def format_double(value: Column, width: int) -> Column:
         sci = F.format_string(f"%.{max(1, width - 8)}e", v)
         return F.when(v == 0, "0.0").when((F.abs(v) >= 1e6) | (F.abs(v) < 1e-4), sci).otherwise(_general(v, digits))
 
-    whole = _let(F.coalesce(value.cast("double"), F.lit(0.0)), text)
-    return _let(whole, lambda t: F.when(F.length(t) < width, F.lpad(t, width, " ")).otherwise(t))
+    whole = let(F.coalesce(value.cast("double"), F.lit(0.0)), text)
+    return let(whole, lambda t: F.when(F.length(t) < width, F.lpad(t, width, " ")).otherwise(t))
 
 
 def join_card(fields: list[Column]) -> Column:

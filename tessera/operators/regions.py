@@ -15,6 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.fields import let
+
 AXES = "xyz"
 #: Bits of a cell's number along one axis.
 BITS = 20
@@ -56,12 +58,16 @@ class Grid:
 
 
 def _spread(v: Column) -> Column:
-    """The bits of a number, two free bits after each."""
+    """The bits of a number, two free bits after each; each step is computed once."""
     for shift, mask in ((32, 0x1F00000000FFFF), (16, 0x1F0000FF0000FF), (8, 0x100F00F00F00F00F), (4, 0x10C30C30C30C30C3), (2, 0x1249249249249249)):
-        v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+        v = let(v, _parted(shift, mask))
     return v
 
 
+def _parted(shift: int, mask: int):
+    return lambda v: v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask).cast("bigint"))
+
+
 def morton(x: Column, y: Column, z: Column) -> Column:
     """Bits of three numbers in turn."""
     return _spread(x).bitwiseOR(F.shiftleft(_spread(y), 1)).bitwiseOR(F.shiftleft(_spread(z), 2))
@@ -142,7 +148,7 @@ def _ranges(low: tuple[int, ...], high: tuple[int, ...]) -> list[tuple[int, int]
 
 
 def within(boxes: DataFrame, grid: Grid, low: tuple[float, float, float], high: tuple[float, float, float]) -> DataFrame:
-    """Keyed boxes that meet or touch one region. The keys' ranges are plain filters, so a table sorted by ``cell`` is read in parts."""
+    """Keyed boxes that meet or touch one region. The keys' ranges are plain filters, so a written table sorted by level and cell is read in parts."""
     near = F.lit(False)
     for level in range(grid.top + 1):
         half = grid.width * 2**level * (0.5 + _SLACK)
