@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.folders import shared_dir
+
 #: Key columns of record kinds.
 ID_COLUMNS = {
     "node": "nid", "part": "pid", "element": "eid", "element_shell": "eid", "element_solid": "eid", "element_beam": "eid", "set_node": "sid", "set_part": "sid", "set_shell": "sid", "set_solid": "sid", "set_segment": "sid",
@@ -65,6 +67,35 @@ def visible_groups(groups: DataFrame, group_key: str, group_name: str, items: Da
     return found.where(F.lower(group_name).contains(low) | F.col("_group").isNotNull()).drop("_group")
 
 
+def visible_tree(tree: DataFrame, text: str, step=None) -> DataFrame:
+    """Rows of a tree (id, parent, label, null parents for roots) that a search shows: their label holds the text, or that of a row below them or of their parent.
+
+    The text is trimmed, and case doesn't count; an empty one shows everything, null labels hold none. The tree may be of any
+    depth: matches climb level by level, each row once, so rows whose parents go round in a ring are shown right too.
+    ``step(frame)`` cuts a level's plan from those before; by default it is checkpointed.
+    """
+    low = text.lower().strip()
+    cut = step or _checkpointed
+    matches = F.contains(F.lower(F.coalesce("label", F.lit(""))), F.lit(low)) if low else F.lit(True)
+    own = tree.select("id", "parent", matches.alias("own"))
+    hit = own.where("own")
+    level = cut(hit.select("parent").where("parent IS NOT NULL").distinct())
+    above = level
+    while not level.isEmpty():
+        level = cut(own.join(level.withColumnRenamed("parent", "id"), "id", "left_semi").where("parent IS NOT NULL").select("parent").distinct().join(above, "parent", "left_anti"))
+        above = above.unionByName(level)
+    shown = hit.select("id").unionByName(above.withColumnRenamed("parent", "id")).unionByName(own.join(hit.select(F.col("id").alias("parent")), "parent", "left_semi").select("id")).distinct()
+    return tree.join(shown, "id", "left_semi")
+
+
+def _checkpointed(frame: DataFrame) -> DataFrame:
+    shared_dir(frame.sparkSession)
+    context = frame.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(frame.sparkSession))
+    return frame.checkpoint()
+
+
 def id_buckets(rows: DataFrame, id_column: str, most: int = 100) -> DataFrame:
     """bucket, width, n, low, high: ranges of ids, as wide as the number of rows asks for, split by ten while they hold over ``most`` rows.
 

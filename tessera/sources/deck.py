@@ -235,6 +235,7 @@ class Deck:
 
     def __init__(self, lines: DataFrame | None, only: Sequence[str] | None = None, data: DataFrame | None = None) -> None:
         """Of lines (file, line_no, line), or of data lines that have their section and kind already."""
+        self.lines = lines
         self.data = sections(lines) if data is None else data
         if only is not None:
             self.data = self.data.where(F.col("kind").isin(list(only)))
