@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.folders import checkpointed
+
 # What stands for a material that no library entry matches.
 DEFAULTS = {"density": 1.2, "modulus": 2000.0, "add1": 0.002, "add2": 0.001, "add3": 2000.0}
 
@@ -65,13 +69,13 @@ def clamp(g0: Column, gi: Column, least: Column) -> tuple[Column, Column]:
     return F.when(g0 > gi, g0 / gi * new).otherwise(F.greatest(g0, new)), new
 
 
-def numbered(groups: DataFrame, order: list[str], name: str = "mid", salt: int = 0) -> DataFrame:
+def numbered(groups: DataFrame, order: list[str], name: str = "mid") -> DataFrame:
     """Running numbers from 1 over all rows in this order.
 
     Rows are ranged over tasks and sorted there; a number is a row's place in its task plus the rows of
-    the tasks before, so no task sees them all.
+    the tasks before, so no task sees them all. The sorted rows are checkpointed, so numbers hold whatever is computed again.
     """
-    ranged = groups.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()).persist()
+    ranged = checkpointed(groups.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
     part = F.shiftright("_id", 33)
     sizes = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row for each task
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
@@ -131,16 +135,25 @@ def remove_layers(layers: DataFrame, key: str, order: str, chosen: DataFrame | N
     return layers.join(last, key).where(F.col(order) < F.col("_last")).drop("_last")
 
 
+#: Layers that are sent to the tasks at a time.
+_SENT = 10_000
+
+
 def copy_stack(layers: DataFrame, key: str, source: int, targets: DataFrame) -> DataFrame:
-    """Layers in which each target part has the source part's whole stack instead of its own."""
-    stack = layers.where(F.col(key) == source).drop(key)
-    rows = stack.crossJoin(F.broadcast(targets.select(key).distinct()))  # a stack is one part's few layers
-    return layers.join(targets.select(key), key, "left_anti").unionByName(rows.select(layers.columns))
+    """Layers in which each target part has the source part's whole stack instead of its own.
+
+    The stack, one part's layers, is counted and sent to the targets in blocks, of which there is seldom more than one.
+    """
+    stack, wanted = layers.where(F.col(key) == source).drop(key), targets.select(key).distinct()
+    blocks = stack.count() // _SENT + 1
+    dealt = [stack.where(F.pmod(F.xxhash64(*stack.columns), F.lit(blocks)) == k) if blocks > 1 else stack for k in range(blocks)]
+    rows = reduce(DataFrame.unionByName, [wanted.join(F.broadcast(block)) for block in dealt])
+    return layers.join(wanted, key, "left_anti").unionByName(rows.select(layers.columns))
 
 
 def add_parts(parts: DataFrame, new: DataFrame) -> DataFrame:
-    """Parts (pid, name, enabled) with the new ones (pid, name) that are not there yet, enabled."""
-    fresh = new.join(parts.select("pid"), "pid", "left_anti").dropDuplicates(["pid"]).withColumn("enabled", F.lit(True))
+    """Parts (pid, name, enabled) with the new ones (pid, name) that are not there yet, enabled; of several names of one the least."""
+    fresh = new.join(parts.select("pid"), "pid", "left_anti").groupBy("pid").agg(F.min("name").alias("name")).withColumn("enabled", F.lit(True))
     return parts.unionByName(fresh.select("pid", "name", "enabled"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.sources.folders import shared_dir
+from tessera.sources.folders import checkpointed
 
 #: Key columns of record kinds.
 ID_COLUMNS = {
@@ -75,7 +75,7 @@ def visible_tree(tree: DataFrame, text: str, step=None) -> DataFrame:
     ``step(frame)`` cuts a level's plan from those before; by default it is checkpointed.
     """
     low = text.lower().strip()
-    cut = step or _checkpointed
+    cut = step or checkpointed
     matches = F.contains(F.lower(F.coalesce("label", F.lit(""))), F.lit(low)) if low else F.lit(True)
     own = tree.select("id", "parent", matches.alias("own"))
     hit = own.where("own")
@@ -88,14 +88,6 @@ def visible_tree(tree: DataFrame, text: str, step=None) -> DataFrame:
     return tree.join(shown, "id", "left_semi")
 
 
-def _checkpointed(frame: DataFrame) -> DataFrame:
-    shared_dir(frame.sparkSession)
-    context = frame.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(frame.sparkSession))
-    return frame.checkpoint()
-
-
 def id_buckets(rows: DataFrame, id_column: str, most: int = 100) -> DataFrame:
     """bucket, width, n, low, high: ranges of ids, as wide as the number of rows asks for, split by ten while they hold over ``most`` rows.
 

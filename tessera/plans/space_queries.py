@@ -67,15 +67,15 @@ _STOOD_SQL = MESH_SQL.replace("embedding[1]::DOUBLE AS x", "embedding[1]::DOUBLE
 @query(
     f"WITH {_STOOD_SQL}, {_QUADS}, {_ADJACENT.format(most=0.9)},"
     " near AS (SELECT a.pid AS source, count(*) AS candidates FROM box a JOIN box b ON a.pid <> b.pid AND greatest(0.0, b.min_z - a.max_z, a.min_z - b.max_z) <= 0.9 GROUP BY 1)"
-    " SELECT pid AS source, CASE WHEN s.n IS NULL THEN coalesce(candidates, 0) END AS candidates, coalesce(s.n, 0) AS struck, coalesce(k.n, 0) AS kept, CASE WHEN k.n IS NULL THEN CASE WHEN candidates IS NULL THEN 'no candidates' ELSE 'no hits' END END AS reason"
+    " SELECT pid AS source, CASE WHEN s.n IS NULL THEN coalesce(candidates, 0) ELSE -1 END AS candidates, coalesce(s.n, 0) AS struck, coalesce(k.n, 0) AS kept, CASE WHEN k.n IS NULL THEN CASE WHEN candidates IS NULL THEN 'no candidates' ELSE 'no hits' END END AS reason"
     " FROM box LEFT JOIN near ON near.source = pid LEFT JOIN (SELECT source, count(*) AS n FROM struck GROUP BY 1) s ON s.source = pid LEFT JOIN (SELECT source, count(*) AS n FROM kept GROUP BY 1) k ON k.source = pid"
 )
 def adjacent_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why parts of a mesh, in which every third stands over another, have none next to them."""
+    """Why parts of a mesh, in which every third stands over another, have none next to them; candidates are -1 where they aren't counted."""
     elements, nodes = _mesh(spark, sf_dir)
     part = F.floor(F.col("nid") / 50)
     stood = nodes.select("nid", (F.col("x") + part % 3).alias("x"), "y", ((F.col("z") - part * 0.5) * 0.1 + part * 0.5).alias("z"))
-    return rays.adjacent(elements, stood, "XY", most=0.9, count=20, threshold=0.5)[1]
+    return rays.adjacent(elements, stood, "XY", most=0.9, count=20, threshold=0.5)[1].fillna(-1, ["candidates"])
 
 
 @query(f"WITH {MESH_SQL} SELECT a.pid AS region, b.pid, round(greatest(0.0, b.min_z - a.max_z, a.min_z - b.max_z), 6) AS gap FROM box a JOIN box b ON a.pid <> b.pid AND a.min_x <= b.max_x AND b.min_x <= a.max_x AND a.min_y <= b.max_y AND b.min_y <= a.max_y AND a.min_z - 0.25 <= b.max_z AND b.min_z <= a.max_z + 0.25")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -17,3 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """The frame with its rows written to the shared folder now: what follows has a short plan, and the loss of an executor changes nothing."""
+    at = shared_dir(frame.sparkSession)
+    context = frame.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(at)
+    return frame.checkpoint()
