@@ -78,8 +78,7 @@ def log_of_messages(messages: DataFrame) -> DataFrame:
     repeated rows are messages of their own.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("_text") - 1) / DELTA_CHARS).cast("int")), lambda i: F.substring(F.col("_text"), i * DELTA_CHARS + 1, F.lit(DELTA_CHARS)))
-    deltas = F.when(F.char_length("_text") > 0, parts).otherwise(F.array().cast("array<string>"))
+    deltas = F.regexp_extract_all("_text", F.lit(f"(?s).{{1,{DELTA_CHARS}}}"), F.lit(0))  # one pass over a text of any length
     rows = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), text.alias("_text"))
     rows = rows.groupBy("conv_id", "turn", "role", "_text").agg(F.count("*").alias("_n")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
     key = F.struct("turn", "role", F.md5("_text").alias("text"), F.col("_copy").alias("copy"))

@@ -38,3 +38,19 @@ def test_events(spark):
     formatted = found["formatted"]
     assert [(role, formatted[a:b]) for role, a, b in chat.read_back(formatted)] == [("user", "hello"), ("assistant", "good"), ("user", "z")]
     assert [formatted[m["begin"] : m["end"]] for m in found["loss_mask"]] == ["good"] and found["loss_chars"] == 4
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    """Ten times the text takes about ten times as long, and comes back whole."""
+    import time
+
+    from pyspark.sql import functions as F
+
+    took = {}
+    for n in (10_000, 800_000, 8_000_000):
+        df = spark.createDataFrame([(1, 0, "assistant")], "conv_id bigint, turn bigint, role string").withColumn("text", F.repeat(F.lit("aé\n😀b"), n // 5))
+        began = time.time()
+        r = chat.fold(chat.log_of_messages(df)).first()
+        took[n] = time.time() - began
+        assert r.loss_chars == n and r.loss_sha256 == hashlib.sha256(("aé\n😀b" * (n // 5)).encode()).hexdigest()
+    assert took[8_000_000] < 25 * took[800_000] + 5
