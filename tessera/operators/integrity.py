@@ -46,13 +46,49 @@ def odd_coordinates(nodes: DataFrame, most: float = 1e10) -> DataFrame:
     )
 
 
-def check_deck(elements: DataFrame, nodes: DataFrame, parts: DataFrame, sections: DataFrame, materials: DataFrame) -> DataFrame:
-    """All issues of a deck: parts and nodes that elements of shells and solids name, sections and materials that parts name, ids that repeat, odd coordinates."""
-    own = elements.where(F.col("type").isin("shell", "solid"))
-    return check_all(
-        missing_reference(own, "element", "eid", "pid", parts, "pid", "part", zero_is_none=False), missing_nodes(own, nodes), missing_reference(parts, "part", "pid", "secid", sections, "secid", "section"),
-        missing_reference(parts, "part", "pid", "mid", materials, "mid", "material"), duplicates(nodes, "node", ["nid"], ["x", "y", "z"]), duplicates(own, "element", ["eid"], ["pid"]), duplicates(parts, "part", ["pid"], ["secid", "mid"]), odd_coordinates(nodes),
-    )
+def check_deck(elements: DataFrame, nodes: DataFrame, parts: DataFrame, sections: DataFrame, materials: DataFrame, category: str | None = None, touched: DataFrame | None = None) -> DataFrame:
+    """All issues of a deck: parts and nodes that elements of shells and solids name, sections and materials that parts name, ids that repeat, odd coordinates.
+
+    With category (``element``, ``node`` or ``part``) only issues of its items, with touched (category, item_id) only those of these items.
+    """
+
+    def of(rows: DataFrame, name: str, key: str) -> DataFrame:
+        return rows if touched is None else rows.join(touched.where(F.col("category") == name).select(F.col("item_id").alias(key)), key, "left_semi")
+
+    own = of(elements.where(F.col("type").isin("shell", "solid")), "element", "eid")
+    some_nodes, some_parts = of(nodes, "node", "nid"), of(parts, "part", "pid")
+    checks = {
+        "element": [missing_reference(own, "element", "eid", "pid", parts, "pid", "part", zero_is_none=False), missing_nodes(own, nodes), duplicates(own, "element", ["eid"], ["pid"])],
+        "part": [missing_reference(some_parts, "part", "pid", "secid", sections, "secid", "section"), missing_reference(some_parts, "part", "pid", "mid", materials, "mid", "material"), duplicates(some_parts, "part", ["pid"], ["secid", "mid"])],
+        "node": [duplicates(some_nodes, "node", ["nid"], ["x", "y", "z"]), odd_coordinates(some_nodes)],
+    }
+    return check_all(*(check for name, own_checks in checks.items() if category in (None, name) for check in own_checks))
+
+
+def touched_by(changed: DataFrame, elements: DataFrame, parts: DataFrame) -> DataFrame:
+    """category and item_id of changed items and of all that name them: elements of changed parts and nodes, parts of changed sections and materials.
+
+    changed: category (``element``, ``node``, ``part``, ``section``, ``material``) and item_id of items added, changed or deleted;
+    elements and parts are as they are afterwards.
+    """
+    ids = lambda name, key: changed.where(F.col("category") == name).select(F.col("item_id").alias(key)).distinct()
+    named = lambda rows, name, key: rows.select(F.lit(name).alias("category"), F.col(key).cast("bigint").alias("item_id"))
+    corner = elements.select("eid", F.explode("nodes").alias("nid"))
+    found = [
+        changed.select("category", F.col("item_id").cast("bigint").alias("item_id")), named(elements.join(ids("part", "pid"), "pid", "left_semi"), "element", "eid"), named(corner.join(ids("node", "nid"), "nid", "left_semi"), "element", "eid"),
+        named(parts.join(ids("section", "secid"), "secid", "left_semi"), "part", "pid"), named(parts.join(ids("material", "mid"), "mid", "left_semi"), "part", "pid"),
+    ]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def recheck(standing: DataFrame, changed: DataFrame, elements: DataFrame, nodes: DataFrame, parts: DataFrame, sections: DataFrame, materials: DataFrame) -> DataFrame:
+    """The issues of a deck after some items changed: standing issues of items that no change touches, and new ones of those that one touches.
+
+    Equal to check_deck over everything, as an issue rests on its item and on what the item names.
+    """
+    touched = touched_by(changed, elements, parts)
+    kept = standing.join(touched, ["category", "item_id"], "left_anti").select(*standing.columns)
+    return kept.unionByName(check_deck(elements, nodes, parts, sections, materials, touched=touched))
 
 
 def check_all(*checks: DataFrame) -> DataFrame:

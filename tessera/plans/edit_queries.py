@@ -1,12 +1,12 @@
-"""Histories of commands over the events table, and searches in a tree of several tables."""
+"""Histories of commands over the events table, searches in a tree of several tables, and checks of what edits touch."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import history, select
-from tessera.plans.base import query, table
+from tessera.operators import history, integrity, select
+from tessera.plans.base import mesh_elements, mesh_nodes, query, table
 
 _MOST = 5
 _ACTION = "CASE WHEN event_id % 11 < 6 THEN 'do' WHEN event_id % 11 < 8 THEN 'undo' WHEN event_id % 11 = 8 THEN 'redo' WHEN event_id % 11 = 9 THEN 'begin' WHEN event_id % 3 = 0 THEN 'rollback' ELSE 'commit' END"
@@ -48,3 +48,24 @@ def tree_search_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree = tree.unionByName(of("nation", key("n", "n_nationkey"), key("r", "n_regionkey"), F.col("n_name"))).unionByName(of("customer", key("c", "c_custkey"), key("n", "c_nationkey"), F.col("c_name")))
     tree = tree.unionByName(of("orders", key("o", "o_orderkey"), key("c", "o_custkey"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"))))
     return select.visible_tree(tree, " 77 ").select("id", "label")
+
+
+@query(
+    """WITH node AS (SELECT vec_id AS nid, vec_id % 101 = 7 AS far FROM embeddings WHERE vec_id % 97 <> 5), element AS (SELECT vec_id AS eid, vec_id // 50 AS pid FROM embeddings),
+    part AS (SELECT DISTINCT vec_id // 50 AS pid, (vec_id // 50) % 4 + 1 AS mid FROM embeddings WHERE vec_id // 50 <> 3)
+    SELECT 'ERROR' AS severity, 'element' AS category, eid AS item_id, 'pid' AS field, pid AS ref_id FROM element WHERE pid = 3
+    UNION ALL SELECT 'ERROR', 'element', eid, 'node' || (pos + 1), eid + pos FROM element, range(8) r(pos) WHERE eid + pos <> 0 AND eid + pos NOT IN (SELECT nid FROM node)
+    UNION ALL SELECT 'ERROR', 'part', pid, 'mid', mid FROM part WHERE mid IN (2, 4) UNION ALL SELECT 'WARNING', 'node', nid, 'x,y,z', nid FROM node WHERE far"""
+)
+def integrity_rechecked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues of a deck after nodes, a part and a material were deleted, nodes moved far off and a section added: only what these changes touch is checked again."""
+    nodes, elements = mesh_nodes(spark, sf_dir), mesh_elements(spark, sf_dir, whole=False).withColumn("type", F.lit("solid"))
+    parts = elements.select("pid").distinct().select("pid", (F.col("pid") % 3 + 1).alias("secid"), (F.col("pid") % 4 + 1).alias("mid"))
+    ids = lambda n, key: spark.range(1, n + 1).select(F.col("id").alias(key))
+    standing = integrity.check_deck(elements, nodes, parts, ids(2, "secid"), ids(3, "mid"))
+    gone, moved = F.col("nid") % 97 == 5, F.col("nid") % 101 == 7
+    now = nodes.where(~gone).withColumn("x", F.when(moved, 1e11).otherwise(F.col("x")))
+    few = spark.createDataFrame([("part", 3), ("section", 3), ("material", 2)], "category string, item_id bigint")
+    changed = few.unionByName(nodes.where(gone | moved).select(F.lit("node").alias("category"), F.col("nid").alias("item_id")))
+    found = integrity.recheck(standing, changed, elements, now, parts.where("pid <> 3"), ids(3, "secid"), ids(3, "mid").where("mid <> 2"))
+    return found.select("severity", "category", "item_id", "field", "ref_id")
