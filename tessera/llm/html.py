@@ -4,7 +4,9 @@ Markup is parted into tags and text, built into a tree with implied tags (a para
 before a block, a row needs a table and a cell a row), and rendered as a page would show
 it: hidden elements give nothing, blocks stand apart by blank lines, list items carry their
 marks and indents, and the cells of a table's rows line up in columns. All visible text
-is kept.
+is kept, and the white space that is added grows with the page only: a column is at most
+``WIDEST`` wide (a longer cell pushes on what follows in its row), and nothing is indented
+or aligned below ``DEEPEST`` levels of lists, quotes and tables.
 """
 
 from __future__ import annotations
@@ -20,11 +22,16 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices, small_batches
 
 _MARKUP = re.compile(
-    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL
+    r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.DOTALL
 )
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _SPACE = re.compile("[ \t\n\r\f]+")
-_HIDING = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+_STYLE = re.compile(r"(?:^|;)\s*(display|visibility)\s*:\s*([a-z-]+)", re.IGNORECASE)
+
+#: Columns are aligned up to this width.
+WIDEST = 64
+#: Levels of lists, quotes and tables that are indented or aligned; below them items keep their marks and each cell has lines of its own.
+DEEPEST = 32
 
 # Fixed values of the HTML standard: element kinds and which open element a start tag ends.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +50,7 @@ IMPLIED_END = {
     "tbody": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "caption", "colgroup"}, {"table"}),
 }
 
+
 class Node:
     __slots__ = ("attrs", "children", "tag")
 
@@ -56,7 +64,17 @@ class Node:
             return False
         if self.tag == "dialog" and "open" not in self.attrs:
             return False
-        return not (self.attrs.get("style") and _HIDING.search(self.attrs["style"]))
+        return self.style("display") != "none"
+
+    def style(self, name: str) -> str:
+        """The last value that the style attribute gives a property; blank without one."""
+        own = self.attrs.get("style")
+        return next((m[2].lower() for m in reversed(list(_STYLE.finditer(own))) if m[1].lower() == name), "") if own else ""
+
+    def seen(self, inherited: bool) -> bool:
+        """Whether own text is visible; visibility is inherited until an element sets it again."""
+        value = self.style("visibility")
+        return inherited if value in ("", "inherit", "unset") else value not in ("hidden", "collapse")
 
 
 def tree(markup: str) -> Node:
@@ -197,72 +215,101 @@ def _finish(render: Generator) -> list[str] | None:
     return value
 
 
-def render_into(page: Page, node: Node, pre: bool = False) -> Generator:
+def render_into(page: Page, node: Node, seen: bool, depth: int, pre: bool = False) -> Generator:
     for child in node.children:
         if isinstance(child, str):
-            page.text(child, pre)
+            if seen:
+                page.text(child, pre)
             continue
         tag = child.tag
         if not child.shown():
             continue
+        own = child.seen(seen)
         if tag == "br":
-            page.end(keep=True) if page.line or pre else page.write([""])
+            if own:
+                page.end(keep=True) if page.line or pre else page.write([""])
         elif tag == "hr":
             page.block(True)
-        elif tag == "table":
+        elif tag == "table" and depth < DEEPEST:
             page.block(True)
-            page.write((yield table_lines(child)))
+            page.write((yield table_lines(child, own, depth + 1)))
             page.block(True)
         elif tag in ("ul", "ol", "menu", "dir"):
             page.block(True)
-            page.write((yield list_lines(child)))
+            if depth < DEEPEST:
+                page.write((yield list_lines(child, own, depth + 1)))
+            else:
+                yield list_into(page, child, own, depth)
             page.block(True)
         elif tag == "img" or tag == "input":
-            if tag == "input" and child.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url"):
+            if own and tag == "input" and child.attrs.get("type", "text").lower() in ("submit", "button", "reset", "text", "search", "email", "url"):
                 page.text(child.attrs.get("value", ""))
         elif tag in BLOCK or tag in ("tr", "td", "th", "tbody", "thead", "tfoot"):
             page.block(tag in SPACED)
-            if tag == "dd" or tag == "blockquote":
-                inner = Page()
-                yield render_into(inner, child)
-                inner.end()
-                page.write(["  " + x if x else "" for x in inner.lines])
+            if tag in ("dd", "blockquote") and depth < DEEPEST:
+                page.write(["  " + x if x else "" for x in (yield lines_of(child, own, depth + 1))])
             else:
-                yield render_into(page, child, pre or tag == "pre" or tag == "textarea")
+                yield render_into(page, child, own, depth, pre or tag == "pre" or tag == "textarea")
                 if tag == "pre":
                     page.end(keep=True) if any(x.strip() for x in page.line) else page.line.clear()
             page.block(tag in SPACED)
         else:
-            yield render_into(page, child, pre or tag == "textarea")
+            yield render_into(page, child, own, depth, pre or tag == "textarea")
 
 
-def lines_of(node: Node) -> Generator:
+def lines_of(node: Node, seen: bool = True, depth: int = 0) -> Generator:
     page = Page()
-    yield render_into(page, node)
+    yield render_into(page, node, seen, depth)
     page.end()
     return page.lines
 
 
-def list_lines(node: Node) -> Generator:
+def _first(node: Node) -> int:
+    start = node.attrs.get("start", "1")
+    return int(start) if re.fullmatch(r"-?[0-9]{1,9}", start) else 1
+
+
+def list_lines(node: Node, seen: bool, depth: int) -> Generator:
     """Items with their mark, further lines indented below the text; other content as it comes."""
     out: list[str] = []
-    start = node.attrs.get("start", "1")
-    number = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+    number = _first(node)
     for child in node.children:
         if isinstance(child, str):
-            if child.strip():
+            if seen and child.strip():
                 out.append(_SPACE.sub(" ", child).strip())
         elif child.shown():
-            lines = yield lines_of(child if child.tag == "li" else _wrap(child))
+            own = child.seen(seen)
             if child.tag == "li":
+                lines = yield lines_of(child, own, depth)
                 mark = f"{number}. " if node.tag == "ol" else "- "
                 number += 1
-                out += [(mark if i == 0 else " " * len(mark)) + x if x else "" for i, x in enumerate(lines or [""])]
+                if own:
+                    out += [(mark if i == 0 else " " * len(mark)) + x if x else "" for i, x in enumerate(lines or [""])]
+                else:  # a hidden item's mark is hidden, what is visible in it isn't
+                    out += lines
             else:
-                out += lines
+                out += yield lines_of(_wrap(child), seen, depth)
     return [x.rstrip() for x in out]
 
 
+def list_into(page: Page, node: Node, seen: bool, depth: int) -> Generator:
+    """Items of a list that is too deep for indents, with their marks."""
+    number = _first(node)
+    for child in node.children:
+        if isinstance(child, str):
+            if seen and child.strip():
+                page.text(child)
+        elif child.tag == "li" and child.shown():
+            page.block(False)
+            if own := child.seen(seen):
+                page.text(f"{number}. " if node.tag == "ol" else "- ")
+            number += 1
+            yield render_into(page, child, own, depth)
+            page.block(False)
+        else:
+            yield render_into(page, _wrap(child), seen, depth)
+
+
 def _wrap(node: Node) -> Node:
     holder = Node("div")
     holder.children.append(node)
@@ -278,28 +325,30 @@ def _span(cell: Node, name: str, most: int) -> int:
     return min(int(value or 0), most) if len(value) < 9 else most
 
 
-def _rows(node: Node, rows: list[list[tuple[list[str], int, int]]], before: list[str]) -> Generator:
+def _rows(node: Node, rows: list[list[tuple[list[str], int, int]]], before: list[str], seen: bool, depth: int) -> Generator:
     """Rows of cells (lines, columns, rows); 0 rows are all that follow."""
     for child in node.children:
         if isinstance(child, str):
-            if child.strip():
+            if seen and child.strip():
                 before.append(_SPACE.sub(" ", child).strip())
-        elif not child.shown():
             continue
-        elif child.tag == "tr":
+        if not child.shown():
+            continue
+        own = child.seen(seen)
+        if child.tag == "tr":
             cells: list[tuple[list[str], int, int]] = []
             for cell in child.children:
                 if isinstance(cell, str):
-                    if cell.strip():
+                    if own and cell.strip():
                         cells.append(([_SPACE.sub(" ", cell).strip()], 1, 1))
                 elif cell.shown():
-                    lines = yield lines_of(cell if cell.tag in ("td", "th") else _wrap(cell))
+                    lines = yield lines_of(cell, cell.seen(own), depth) if cell.tag in ("td", "th") else lines_of(_wrap(cell), own, depth)
                     cells.append((lines, max(_span(cell, "colspan", 1000), 1), _span(cell, "rowspan", 65534)))
             rows.append(cells)
         elif child.tag in ("thead", "tbody", "tfoot"):
-            yield _rows(child, rows, before)
+            yield _rows(child, rows, before, own, depth)
         else:
-            before += yield lines_of(_wrap(child))
+            before += yield lines_of(_wrap(child), seen, depth)
 
 
 def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[dict[int, list[str]]]:
@@ -318,36 +367,54 @@ def _placed(rows: list[list[tuple[list[str], int, int]]]) -> list[dict[int, list
     return placed
 
 
-def table_lines(node: Node) -> Generator:
+def table_lines(node: Node, seen: bool, depth: int) -> Generator:
     """Rows with their columns aligned, two spaces apart; captions and stray content come first.
 
-    A cell that spans rows stands in the first of them, one that spans columns in the first of them.
+    A cell that spans rows stands in the first of them, one that spans columns in the first of them. Cells wider than
+    ``WIDEST`` don't widen their column; what follows in their row stands two spaces after them. A line's cells are moved
+    by a column's width for each of them and two more at most, whatever the columns are that are spanned before them.
     """
     rows: list[list[tuple[list[str], int, int]]] = []
     out: list[str] = []
-    yield _rows(node, rows, out)
+    yield _rows(node, rows, out, seen, depth)
     placed = _placed(rows)
     widths: dict[int, int] = {}
     for cells in placed:
         for x, lines in cells.items():
-            widths[x] = max(widths.get(x, 0), max(map(len, lines), default=0))
-    columns = sorted(widths)  # those in which a cell begins
+            widths[x] = max(widths.get(x, 0), max((len(line) for line in lines if len(line) <= WIDEST), default=0))
+    begin, at = {}, 0
+    for x in sorted(widths):  # those in which a cell begins
+        begin[x], at = at, at + widths[x] + 2
     for cells in placed:
-        for k in range(max(map(len, cells.values()), default=0)):
-            out.append("  ".join((cells[x][k] if k < len(cells.get(x, ())) else "").ljust(widths[x]) for x in columns).rstrip())
+        lines = [[] for _ in range(max(map(len, cells.values()), default=0))]
+        for n, x in enumerate(sorted(cells)):
+            for line, text in zip(lines, cells[x], strict=False):
+                if text:
+                    line.append((n, x, text))
+        for line in lines:
+            parts, size, room = [], 0, 2 * (WIDEST + 2)
+            before = -1
+            for n, x, text in line:
+                room += (WIDEST + 2) * (n - before)
+                gap = min(max(begin[x] - size, 2 if parts else 0), room)
+                parts += [" " * gap, text]
+                size, room, before = size + gap + len(text), room - gap, n
+            out.append("".join(parts).rstrip())
     return out
 
 
 def text_of(markup: str | None) -> str:
     """The visible text of a page; empty for null."""
-    return "\n".join(_finish(lines_of(tree(markup)))).strip("\n") if markup else ""
+    root = tree(markup or "")
+    return "\n".join(_finish(lines_of(root, root.seen(True)))).strip("\n") if root.shown() else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, text and n_chars of every page.
 
     Null and empty pages give an empty text; text without markup is kept, its white space
-    folded. Very long pages are rendered whole, one at a time, whatever their depth. Repeated rows are rendered alike, and nothing depends on
+    folded. Very long pages are rendered whole, one at a time, whatever their depth, with white space
+    in proportion to the page. A tag with a quote that is never closed ends at its next ``>`` and is not shown. Repeated rows are rendered alike, and nothing depends on
     an order of rows, so ties don't matter; an empty table gives no rows; extra columns are ignored, whatever they are called.
     """
     small_batches(pages.sparkSession)

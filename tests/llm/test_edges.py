@@ -526,7 +526,7 @@ def test_html_by_a_plain_reader(spark, sf_dir):
 
         def handle_starttag(self, tag, attrs):
             own = dict(attrs)
-            hidden = tag in html.HIDDEN or "hidden" in own or bool(html._HIDING.search(own.get("style") or "")) or (tag == "dialog" and "open" not in own)
+            hidden = tag in html.HIDDEN or "hidden" in own or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", own.get("style") or "")) or (tag == "dialog" and "open" not in own)
             if tag in html.IMPLIED_END:
                 ends, within = html.IMPLIED_END[tag]
                 for i in range(len(self.open) - 1, -1, -1):
