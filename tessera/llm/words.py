@@ -6,9 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+from numpy.lib.stride_tricks import sliding_window_view
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -26,19 +24,26 @@ NOT_ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] =
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
-_VALUE_LOWER = _VALUE.copy()
-_VALUE_LOWER[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: For a piece of 0 to 8 bytes, the bits that are its own.
+_OWN = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
 
+def _hashes(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each word, the sum of its mixed pieces of eight bytes.
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.multiply.accumulate(steps)
-    return _powers[0], _powers[1]
+    Each piece is mixed with its place before it is added; sums of bytes times powers would give some long words of two letters equal hashes.
+    """
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    count = (size + 7) >> 3
+    first = np.cumsum(count) - count
+    place = np.arange(first[-1] + count[-1]) - np.repeat(first, count)
+    at = np.repeat(start, count) + 8 * place
+    piece = sliding_window_view(np.concatenate((letters, np.zeros(8, np.uint8))), 8)[at].view("<u8")[:, 0]
+    piece &= _OWN[np.minimum(np.repeat(end, count) - at, 8)]
+    mixed = mix(piece ^ mix(place.astype(np.uint64) + _VALUE[3]))
+    return mix(np.add.reduceat(mixed, first) + mix(size.astype(np.uint64) + _VALUE[7]))
 
 
 @dataclass
@@ -75,11 +80,7 @@ def words_of(texts: list[str | None], lower: bool = False, separators: np.ndarra
     end = np.flatnonzero(~apart[:-1] & apart[1:]) + 1
     offsets = np.cumsum([1, *(len(x) + 1 for x in coded)])
     first = np.searchsorted(start, offsets)
-    up, down = _power(len(raw))
-    sums = (_VALUE_LOWER if lower else _VALUE)[raw]
-    sums *= up[: len(raw)]
-    np.cumsum(sums, out=sums)
-    hashes = mix((sums[end - 1] - sums[start - 1]) * down[start] + (end - start).astype(np.uint64) * _VALUE[7]) if len(start) else np.zeros(0, np.uint64)
+    hashes = _hashes(_LOWER[raw] if lower else raw, start, end)
     return Words(data, hashes, first, start, end)
 
 
