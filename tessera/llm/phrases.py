@@ -32,7 +32,7 @@ from tessera.llm.words import Words, mix, shingles, words_of
 
 WINDOW = 35
 ANCHOR = 8
-#: Segments of an anchor that one shard gets; a task holds about so many with their phrases, and further phrases in turn.
+#: Segments of an anchor that one shard gets; a task holds about so many with their phrases, and as many further phrases at a time.
 HELD = 1024
 #: Low bits of a segment's number that are left free for the offset of a window in it; a segment has 63 windows at most.
 _OFFSET = 6
@@ -227,14 +227,18 @@ def _located(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        new = 0  # of those held, rows that no automaton had yet
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("anchor", "salt", "searched", "segment", "text", "mask")]
             for anchor, salt, *row in zip(*columns, strict=True):
-                if len(held) >= HELD and (held[-1][0] != (anchor, salt) or not row[0]):
+                shard = (anchor, salt)
+                other = bool(held) and held[-1][0] != shard
+                if other and len(held) >= HELD or not row[0] and new >= HELD:
                     yield search(held)
-                    held = [x for x in held if x[1] and x[0] == (anchor, salt)]  # for the further phrases of their shard
-                    held = [(*x[:4], None) for x in held]
-                held.append(((anchor, salt), *row))
+                    # segments of this shard stay for its further phrases
+                    held, new = [(*x[:4], None) for x in held if x[1] and x[0] == shard], 0
+                held.append((shard, *row))
+                new += 1
         if held:
             yield search(held)
 
