@@ -113,8 +113,8 @@ def _log_shares(terms: np.ndarray, langs: np.ndarray, counts: np.ndarray, langua
 
 def _grams(k: int):
     """The n-grams of length k of the column ``padded``; the word itself where it is shorter."""
-    starts = F.sequence(F.lit(1), F.greatest(F.char_length("padded") - (k - 1), F.lit(1)))
-    return F.transform(starts, lambda i: F.substring(F.col("padded"), i, F.lit(k)))
+    each = F.regexp_extract_all("padded", F.lit(f"(?s)(?=(.{{{k}}}))."), F.lit(1))  # one pass, whatever the length
+    return F.when(F.char_length("padded") < k, F.array("padded")).otherwise(each)
 
 
 def _lowest(ids: DataFrame, rows: int) -> DataFrame:
