@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import history, integrity, select
+from tessera.operators import history, integrity, ordered, select
 from tessera.plans.base import mesh_elements, mesh_nodes, query, table
+from tessera.sources.folders import checkpointed
 
 _MOST = 5
 _ACTION = "CASE WHEN event_id % 11 < 6 THEN 'do' WHEN event_id % 11 < 8 THEN 'undo' WHEN event_id % 11 = 8 THEN 'redo' WHEN event_id % 11 = 9 THEN 'begin' WHEN event_id % 3 = 0 THEN 'rollback' ELSE 'commit' END"
@@ -69,3 +70,39 @@ def integrity_rechecked(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = few.unionByName(nodes.where(gone | moved).select(F.lit("node").alias("category"), F.col("nid").alias("item_id")))
     found = integrity.recheck(standing, changed, elements, now, parts.where("pid <> 3"), ids(3, "secid"), ids(3, "mid").where("mid <> 2"))
     return found.select("severity", "category", "item_id", "field", "ref_id")
+
+
+@query(
+    """WITH new AS (SELECT l_orderkey AS k, l_linenumber AS line, CASE l_returnflag WHEN 'R' THEN (SELECT min(o_orderkey) FROM orders) WHEN 'A' THEN NULL ELSE l_orderkey END AS before FROM lineitem),
+    item AS (SELECT o_orderdate AS d, o_orderkey AS o, 1 AS old, o_orderkey AS k, NULL AS line FROM orders
+      UNION ALL SELECT o_orderdate, o_orderkey, 0, new.k, new.line FROM new LEFT JOIN orders ON o_orderkey = before)
+    SELECT row_number() OVER (ORDER BY d NULLS LAST, o NULLS LAST, old, k, line) - 1 AS place, k AS order_key, line FROM item"""
+)
+def ordered_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in the order of their dates, with every line put before its order, those returned before the order of the least key, those accepted at the end."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    rows = ordered.spread(orders.select("o_orderdate", F.col("o_orderkey").alias("order_key"), F.lit(None).cast("int").alias("line")), ["o_orderdate", "order_key"])
+    least = orders.agg(F.min("o_orderkey").alias("least"))  # one row
+    before = F.when(F.col("l_returnflag") == "R", F.col("least")).when(F.col("l_returnflag") != "A", F.col("l_orderkey"))
+    new = lines.join(F.broadcast(least)).select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("int").alias("line"), before.alias("before"))
+    return ordered.places(ordered.insert(rows, new, "order_key", ["order_key", "line"])).select("place", "order_key", "line")
+
+
+@query(
+    """WITH own AS (SELECT c_custkey AS k, c_name AS name, row_number() OVER (ORDER BY c_custkey) - 1 AS place FROM customer),
+    item AS (SELECT k AS spot, 1 AS old, k AS id, name FROM own UNION ALL SELECT own.k, 0, s_suppkey, s_name FROM supplier LEFT JOIN own ON place = 7 * (s_suppkey // 2)),
+    all_ AS (SELECT row_number() OVER (ORDER BY spot NULLS LAST, old, id) AS n, id, name FROM item),
+    left_ AS (SELECT n, id, name FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n) AS i FROM all_) WHERE NOT (i = 1 AND id % 3 = 0))
+    SELECT row_number() OVER (ORDER BY n) - 1 AS place, id, CASE WHEN id % 5 = 0 THEN 'order ' || last ELSE name END AS name
+    FROM left_ LEFT JOIN (SELECT o_custkey AS id, max(o_orderkey) AS last FROM orders GROUP BY o_custkey) USING (id)"""
+)
+def ordered_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in order, suppliers put in at every seventh place two by two, the first row of every third id deleted, names set to the latest order of every fifth id."""
+    customers, suppliers, orders = (table(spark, sf_dir, name) for name in ("customer", "supplier", "orders"))
+    rows = ordered.spread(customers.select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")), ["id"])
+    wanted = suppliers.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), (F.floor(F.col("s_suppkey") / 2) * 7).alias("place"))
+    rows = checkpointed(ordered.insert(rows, ordered.at_places(rows, wanted), "at", ["id"]))
+    rows = ordered.remove_first(rows, rows.where("id % 3 = 0"), "id")
+    ids = rows.select("id").where("id % 5 = 0").distinct()
+    new = ids.join(orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("seq")), "id", "left").withColumn("name", F.concat(F.lit("order "), F.col("seq").cast("string")))
+    return ordered.places(ordered.change(rows, new, "id", ["name"], "seq")).select("place", "id", "name")
