@@ -74,14 +74,14 @@ def integrity_rechecked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH new AS (SELECT l_orderkey AS k, l_linenumber AS line, CASE l_returnflag WHEN 'R' THEN (SELECT min(o_orderkey) FROM orders) WHEN 'A' THEN NULL ELSE l_orderkey END AS before FROM lineitem),
-    item AS (SELECT o_orderdate AS d, o_orderkey AS o, 1 AS old, o_orderkey AS k, NULL AS line FROM orders
+    item AS (SELECT o_orderdate AS d, o_orderkey AS o, 1 AS old, o_orderkey AS k, 0 AS line FROM orders
       UNION ALL SELECT o_orderdate, o_orderkey, 0, new.k, new.line FROM new LEFT JOIN orders ON o_orderkey = before)
     SELECT row_number() OVER (ORDER BY d NULLS LAST, o NULLS LAST, old, k, line) - 1 AS place, k AS order_key, line FROM item"""
 )
 def ordered_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders in the order of their dates, with every line put before its order, those returned before the order of the least key, those accepted at the end."""
     orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    rows = ordered.spread(orders.select("o_orderdate", F.col("o_orderkey").alias("order_key"), F.lit(None).cast("int").alias("line")), ["o_orderdate", "order_key"])
+    rows = ordered.spread(orders.select("o_orderdate", F.col("o_orderkey").alias("order_key"), F.lit(0).alias("line")), ["o_orderdate", "order_key"])
     least = orders.agg(F.min("o_orderkey").alias("least"))  # one row
     before = F.when(F.col("l_returnflag") == "R", F.col("least")).when(F.col("l_returnflag") != "A", F.col("l_orderkey"))
     new = lines.join(F.broadcast(least)).select(F.col("l_orderkey").alias("order_key"), F.col("l_linenumber").cast("int").alias("line"), before.alias("before"))
