@@ -125,6 +125,8 @@ def shape(word: str) -> str:
         return low
     out, i = [], 0
     low = low.rstrip(".")
+    if low.isalpha():
+        return "a"
     while i < len(low):
         c, j = low[i], i + 1
         if "0" <= c <= "9":
@@ -196,11 +198,15 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, pairs: np.ndarray) -> np.nd
 
 
 class _Reader:
-    """A field at work: words by number, each with its shape and its own score, and pairs of shapes with theirs."""
+    """A field at work: words by class, each class with its shape and its own score, and pairs of shapes with theirs.
+
+    Words of one class have the same traits of their own, so a class is scored once, however many words it has.
+    """
 
     def __init__(self, field: Field) -> None:
         self.field, self.words, self.shapes = field, {}, {}
-        self.shape_of, self.own = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, len(TAGS)))
+        self.classes: dict[tuple, int] = {}
+        self.shape_of, self.own = np.zeros(1 << 8, np.int64), np.zeros((1 << 8, len(TAGS)))
         self.names: list[str] = []
         self.pairs: dict[tuple[int, int], np.ndarray] = {}
         self.edges = self._shape("<"), self._shape(">")
@@ -216,12 +222,15 @@ class _Reader:
         return found
 
     def _number(self, word: str) -> int:
-        at = self.words[word] = len(self.words)
-        if at == len(self.own):
-            self.own, self.shape_of = np.concatenate((self.own, self.own)), np.concatenate((self.shape_of, self.shape_of))
+        """The class of a word that is not yet known."""
         name = shape(word)
-        self.shape_of[at] = self._shape(name)
-        self.own[at] = sum(map(self._weight, _own_traits(word, name)), np.zeros(len(TAGS)))
+        kind = "a" if name == "a" else tuple(_own_traits(word, name))  # of that shape are letters and marks at their end only
+        at = self.words[word] = self.classes.setdefault(kind, count := len(self.classes))
+        if at == count:
+            if at == len(self.own):
+                self.own, self.shape_of = np.concatenate((self.own, self.own)), np.concatenate((self.shape_of, self.shape_of))
+            self.shape_of[at] = self._shape(name)
+            self.own[at] = sum(map(self._weight, _own_traits(word, name)), np.zeros(len(TAGS)))
         return at
 
     def _pair(self, a: int, b: int) -> np.ndarray:

@@ -490,6 +490,22 @@ def test_field_reads_whole_words_and_lines(monkeypatch):
     assert (whole[0] == whole[3]).all()
 
 
+def test_field_scores_words_of_like_traits_once(monkeypatch):
+    field, scored = privacy.train(steps=30), []
+    monkeypatch.setattr(privacy._Reader, "_weight", lambda self, trait, plain=privacy._Reader._weight: scored.append(trait) or plain(self, trait))
+    lines = [["tel:", f"0171 555 {i}", f"word{'x' * (i % 9)}{chr(97 + i % 26)}", f"a{i:04}@example{i}.org", "É" * (i + 1), f"x_{'y' * i}", f"+{i}", "(at)", "..."] for i in range(1000)]
+    reader = privacy._Reader(field)
+    found = reader.decode(lines)
+    assert len(reader.words) > 4000 and len(scored) < 1000
+    for line in lines[::50]:
+        for word in line:
+            own = privacy._own_traits(word, name := privacy.shape(word))
+            at = reader.words[word]
+            assert reader.names[reader.shape_of[at]] == name
+            assert (reader.own[at] == sum((field.weights[field.traits[x]] for x in own if x in field.traits), np.zeros(len(privacy.TAGS)))).all()
+    assert all((a == b).all() for a, b in zip(found[::50], (field.decode([line])[0] for line in lines[::50]), strict=True))
+
+
 def test_html(spark):
     page = "<title>no</title><body><h1>Head</h1><p>one<p>two <b>bold</b><br>next<div hidden>x</div><ul><li>a<li>b<ol><li>c</ol></ul><table><tr><th>k<th>value<tr><td>long cell<td>1</table><pre>a  b\n c</pre><script>no</script><p style='display:none'>no</p>&amp; 1 < 2"
     assert html.text_of(page) == "Head\n\none\n\ntwo bold\nnext\n\n- a\n- b\n\n  1. c\n\nk          value\nlong cell  1\n\na  b\n c\n\n& 1 < 2"
