@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from tessera.llm import decontaminate, lines, neardup, packing, quality
 from tessera.llm.common import cut, table, unused
 
+#: Chunks that a Python worker remembers while it packs. They stay in it when the next corpus begins, beside an executor whose heap has grown by then.
+REMEMBERED = 250_000
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the trees are fitted on labelled documents of docs. Null and empty texts go, repeated rows stay or go together."""
@@ -40,7 +43,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents that are left, packed into sequences; a null text is one end id."""
-    return packing.pack(docs)
+    return packing.pack(docs, remembered=REMEMBERED)
 
 
 STAGES = [

@@ -30,6 +30,8 @@ LEAST = 0.8
 RADIUS = 24
 #: Characters of benchmark texts that are sent to the tasks at a time; a larger benchmark takes several passes over the documents.
 BLOCK_CHARS = 16_000_000
+#: Bytes of text that ``clean`` takes at a time; the arrays of its words and shingles take many times as much.
+CLEAN_BYTES = 1 << 20
 #: Windows that are fingerprinted at a time, or as many as an item has words.
 WINDOWS = 4096
 _BITS = np.arange(64, dtype=np.uint64)
@@ -205,7 +207,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, radius: i
 
         def run(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
             for whole in batches:
-                for batch in slices(whole, text_name):
+                for batch in slices(whole, text_name, CLEAN_BYTES):
                     words = words_of(batch.column(text_name).to_pylist(), lower=True)
                     kept = [not index.hits(words.hashes[words.first[i] : words.first[i + 1]]) for i in range(batch.num_rows)]
                     yield batch.select(names).filter(pa.array(kept, pa.bool_()))

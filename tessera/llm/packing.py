@@ -31,8 +31,8 @@ END_ID = 2
 VOCABULARY = "byte_bpe_50k.json"
 #: A chunk ends where white space follows other text. The tokenizer's own pattern always parts there, so chunks can be encoded one by one and remembered. \x1c-\x1f are no white space to it.
 _CHUNK = r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+"
-#: Chunks remembered by one Python worker; further ones are encoded whenever they come.
-_REMEMBERED = 700_000
+#: Chunks remembered by one Python worker, some 130 MB; further ones are encoded whenever they come.
+REMEMBERED = 700_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -45,14 +45,14 @@ def _byte_letters() -> dict[int, str]:
 class _Chunks(dict):
     """Chunk to its ids as bytes; a chunk not yet known is encoded and, while there is room, kept."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, room: int) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.room, self.tokenizer = room, Tokenizer.from_file(path)
         self.merge, self.letters = self.tokenizer.model.tokenize, _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
@@ -65,7 +65,7 @@ class _Chunks(dict):
         else:
             ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
         found = pack_ids(f"<{len(ids)}I", *ids)
-        if len(self) < _REMEMBERED:
+        if len(self) < self.room:
             self[chunk] = found
         return found
 
@@ -73,10 +73,10 @@ class _Chunks(dict):
 class _Encoder:
     """Texts to little-endian unsigned 32-bit ids, by the tokenizer, chunk by chunk; its added tokens are taken out first, as it does itself."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, room: int) -> None:
         import re
 
-        self.chunks, self.known = re.compile(_CHUNK).findall, _Chunks(path)
+        self.chunks, self.known = re.compile(_CHUNK).findall, _Chunks(path, room)
         added = self.known.tokenizer.get_added_tokens_decoder()
         self.added = {x.content: pack_ids("<I", i) for i, x in added.items()}
         # tokens that take white space with them, or only stand alone, leave no chunks to be encoded one by one
@@ -98,11 +98,11 @@ class _Encoder:
         return [self._ids(text) for text in texts]
 
 
-_encoders: dict[str, _Encoder] = {}  # of a Python worker, which Spark uses again for later tasks
+_encoders: dict[tuple[str, int], _Encoder] = {}  # of a Python worker, which Spark uses again for later tasks
 
 
-def encoder(path: str) -> _Encoder:
-    return _encoders.get(path) or _encoders.setdefault(path, _Encoder(path))
+def encoder(path: str, room: int = REMEMBERED) -> _Encoder:
+    return _encoders.get((path, room)) or _encoders.setdefault((path, room), _Encoder(path, room))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -114,7 +114,7 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Tokenise and cut every document: one row per piece, with its rank among the task's pieces of its length.
 
     The ranks hold only for the run that made them, so write the result before using it.
@@ -124,7 +124,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of, seen = encoder(path).encode, {}
+        ids_of, seen = encoder(path, remembered).encode, {}
         for whole in batches:
             for batch in slices(whole):
                 out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "rank")}
@@ -221,16 +221,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tupl
     return runs, total
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Pack all documents: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A null text is empty, and an empty document is its end id alone. A very long text is encoded whole and cut into
     pieces of the capacity, the first one shorter. Repeated rows are
     packed as often as they occur; pieces of one length are interchangeable, so ties go by partition and place in it. A null doc_id is kept. An empty table gives no rows.
     Extra columns are ignored, whatever they are called. Pieces are written to the shared folder, so the tokeniser
-    runs once. Sequences are gapless from offset 0.
+    runs once. Sequences are gapless from offset 0. A worker remembers the ids of ``remembered`` chunks, which a later job finds in it still;
+    fewer cost time and change nothing.
     """
-    made = cut(pieces(docs, capacity, vocabulary), "pieces")
+    made = cut(pieces(docs, capacity, vocabulary, remembered), "pieces")
     by_task = made.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_task = by_task.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))

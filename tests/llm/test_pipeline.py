@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
 from tessera.llm import decontaminate, packing, quality
+from tessera.llm.common import slices
 from tests.llm.test_edges import BASE, NEAR, PASSAGE, ROWS, lines_left, plain_components, plain_lines, words
 
 
@@ -100,3 +102,20 @@ def test_stages_on_edge_rows_with_clashing_columns(spark, tmp_path, rows):
 
 def test_run(spark, sf_dir):
     assert corpus_pipeline.run(spark, sf_dir).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+def test_packing_in_the_pipeline_leaves_workers_small(monkeypatch):
+    """A worker keeps the chunks that it remembers when the next stages run, so the pipeline remembers fewer; the ids are the same."""
+    monkeypatch.setattr(packing, "pack", lambda docs, **given: given)
+    assert corpus_pipeline.best_fit_packing(None, None, "")["remembered"] <= 250_000
+    few, many = packing.encoder(packing.vocabulary_path(), 20), packing.encoder(packing.vocabulary_path())
+    texts = [" ".join(f"w{i}x, {i % 7}" for i in range(500)), PASSAGE, "", BASE]
+    assert few.encode(texts) == many.encode(texts) and few.encode(texts) == many.encode(texts)
+    assert len(few.known) == 20 < len(many.known)
+
+
+def test_decontamination_takes_little_text_at_a_time():
+    """Texts are cut into slices of a megabyte by rows, never within one."""
+    batch = pa.RecordBatch.from_pydict({"t": ["x" * 600_000, None, "y" * 600_000, "z" * 3_000_000, ""]})
+    parts = list(slices(batch, "t", decontaminate.CLEAN_BYTES))
+    assert [p.num_rows for p in parts] == [2, 1, 1, 1] and pa.Table.from_batches(parts).to_pylist() == batch.to_pylist()
