@@ -7,11 +7,13 @@ what is larger is put into cells of two, four, ... times that width, a level for
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.sources.folders import checkpointed
 
 #: Cells of its level that a thing may be long.
 _LONG = 4
@@ -122,24 +124,66 @@ def shades(depths: DataFrame, depth: str = "depth") -> DataFrame:
     return depths.join(F.broadcast(ends)).withColumn("shade", F.when(span < 1e-6, 1.0).otherwise(0.7 + 0.3 * (F.col(depth) - F.col("low")) / span)).drop("low", "high")
 
 
+#: A window's share that rounding may take: a hit this close to its end waits for the next window.
+_CLOSE = 1e-3
+
+
+def _first(rays: DataFrame, things: DataFrame, axes: tuple[str, str, str], back: Column, forth: Column, hits: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``nearest`` of hits, without all the pairs that the rays' lines go through.
+
+    Rays look along the third axis, as far as ``back`` and ``forth`` times t, in windows of t that grow eightfold: a hit within the window is final, as
+    everything that near was looked at; the other rays go on, the last time with everything. things: part and the ranges l0, h0 .. l2, h2
+    by axis. Both meet by key, in cells of the first two axes and of the third one, which is as wide as the window.
+    """
+    things, left = checkpointed(things), checkpointed(rays.withColumns({"_back": back, "_forth": forth}))
+    u, v, w = axes
+    flat, long = F.greatest(F.col("h0") - F.col("l0"), F.col("h1") - F.col("l1")), F.col("h2") - F.col("l2")
+    size = things.agg(F.avg(flat), F.avg(long), F.min("l2"), F.max("h2"), F.count("*")).first()
+    ends = left.agg(F.min(w), F.max(w), F.max(F.greatest("_back", "_forth"))).first()
+    width, speed = max(size[0] or 0.0, 1e-9), ends[2] or 1.0
+    span = max((x for x in (size[3], ends[1]) if x is not None), default=0.0) - min((x for x in (size[2], ends[0]) if x is not None), default=0.0)
+    things = things.withColumn("level", _level(flat, width))
+    reach, found = max(2 * (size[1] or 0.0), span / max(size[4], 1), 1e-9), None
+    while found is None or not left.isEmpty():
+        last, t = not reach <= span < math.inf, reach / speed
+        deep = F.lit(0) if last else _level(long, reach)
+        t_ = things.withColumn("deep", deep)
+        used = [(x.level, x.deep) for x in t_.select("level", "deep").distinct().collect()]  # a few
+        at = lambda low, high, level: F.lit(0).cast("bigint") if last else _along(low, high, reach, level)
+        t_ = t_.withColumn("c0", _along(F.col("l0"), F.col("h0"), width, F.col("level"))).withColumn("c1", _along(F.col("l1"), F.col("h1"), width, F.col("level"))).withColumn("c2", at(F.col("l2"), F.col("h2"), F.col("deep")))
+        r = left.withColumn("_in", F.explode(F.array(*(F.struct(F.lit(a).alias("level"), F.lit(b).alias("deep")) for a, b in used)))) if used else left.where("false").withColumn("_in", F.struct(F.lit(0).alias("level"), F.lit(0).alias("deep")))
+        r = r.select("*", "_in.level", "_in.deep").drop("_in").withColumn("c0", _cell(F.col(u), width, F.col("level"))).withColumn("c1", _cell(F.col(v), width, F.col("level")))
+        r = r.withColumn("c2", at(F.col(w) - F.col("_back") * t - _CLOSE * reach, F.col(w) + F.col("_forth") * t + _CLOSE * reach, F.col("deep")))
+        met = r.join(t_, ["level", "deep", "c0", "c1", "c2"]).where((F.col("source") != F.col("part")) & F.col(u).between(F.col("l0"), F.col("h0")) & F.col(v).between(F.col("l1"), F.col("h1")))
+        now = nearest(hits(met))
+        now = checkpointed(now if last else now.where(F.col("t") <= t * (1 - _CLOSE)))
+        found = now if found is None else found.unionByName(now)
+        if last:
+            break
+        left, reach = checkpointed(left.join(now, ["source", "ray_id"], "left_anti")), reach * 8
+    return found
+
+
 def ray_triangles(rays: DataFrame, triangles: DataFrame) -> DataFrame:
     """Nearest hit (source, ray_id, part, t) of rays (source, ray_id, x, y, z, dx, dy, dz) on triangles of other parts.
 
-    triangles: part, and corners ax..cz. Rays run along z (dx = dy = 0), so both sides meet in cells of x and y.
+    triangles: part, and corners ax..cz. Rays run along z (dx = dy = 0), so both sides meet in cells of x and y, and in windows of z. Ranges
+    are wider than the triangles by a millionth, for rounding.
     """
     end = lambda pick, k: pick(*(f"{p}{k}" for p in "abc"))
-    t, width, top = _in_cells(triangles, end(F.least, "x"), end(F.greatest, "x"), end(F.least, "y"), end(F.greatest, "y"))
-    met = _points(rays, "x", "y", width, top).join(t, ["level", "cu", "cv"]).where("source <> part")
-    c = {k: F.col(k) for k in met.columns}
-    e1, e2 = [[c[f"{p}{k}"] - c[f"a{k}"] for k in "xyz"] for p in "bc"]
-    d, o = [c[f"d{k}"] for k in "xyz"], [c[k] - c[f"a{k}"] for k in "xyz"]
-    by = lambda a, b: [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
-    dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    h, q = by(d, e2), by(o, e1)
-    det = dot(e1, h)
-    found = met.select("source", "ray_id", "part", det.alias("det"), dot(o, h).alias("u"), dot(d, q).alias("v"), dot(e2, q).alias("t")).where("abs(det) > 1e-8")
-    found = found.select("source", "ray_id", "part", *((F.col(k) / F.col("det")).alias(k) for k in "uvt")).where("u >= 0 AND v >= 0 AND u + v <= 1 AND t > 1e-6")
-    return nearest(found)
+    more = F.greatest(*(end(F.greatest, k) - end(F.least, k) for k in "xyz")) * 1e-6
+    ranges = (side.alias(f"{p}{i}") for i, k in enumerate("xyz") for p, side in (("l", end(F.least, k) - more), ("h", end(F.greatest, k) + more)))
+    edges = ((F.col(f"{p}{k}") - F.col(f"a{k}")).alias(f"{n}{k}") for p, n in (("b", "e"), ("c", "f")) for k in "xyz")
+    things = triangles.select("part", "ax", "ay", "az", *ranges, *edges).withColumn("area", F.expr("ex * -fy + ey * fx")).where("area <> 0")
+
+    def hits(met: DataFrame) -> DataFrame:  # short terms of few columns: a method of the compiled code that is too long is interpreted
+        o = met.select("source", "ray_id", "part", "dz", "area", *(f"{p}{k}" for p in "ef" for k in "xyz"), *((F.col(k) - F.col(f"a{k}")).alias(f"o{k}") for k in "xyz"))
+        q = o.where("abs(dz * area) > 1e-8 AND (ox * -fy + oy * fx) / area >= 0 AND (ox * ey - oy * ex) / area >= 0 AND (ox * -fy + oy * fx) / area + (ox * ey - oy * ex) / area <= 1")
+        t = F.expr("(fx * (oy * ez - oz * ey) + fy * (oz * ex - ox * ez) + fz * (ox * ey - oy * ex)) / (dz * area)")
+        return q.select("source", "ray_id", "part", t.alias("t")).where("t > 1e-6")
+
+    zero, ahead = F.lit(0.0), rays.where("abs(dz) > 0 AND abs(dz) < double('Infinity')").select("source", "ray_id", "x", "y", "z", "dz")
+    return _first(ahead, things, ("x", "y", "z"), F.greatest(zero, -F.col("dz")), F.greatest(zero, F.col("dz")), hits)
 
 
 def explain_none(candidates: DataFrame, hits: DataFrame, kept: DataFrame) -> DataFrame:
