@@ -112,8 +112,8 @@ def ray_box_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MESH_SQL}, {_HITS} SELECT source, ray_id, part, round(t, 6) AS t FROM (SELECT *, row_number() OVER (PARTITION BY ray_id ORDER BY t, part) AS n FROM hit) WHERE n = 1")
 def ray_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = adjacency.ray_box_hits(_rays(spark, sf_dir), mesh.boxes(*_mesh(spark, sf_dir)))
-    return adjacency.nearest(hits).select("source", "ray_id", "part", F.round("t", 6).alias("t"))
+    found = adjacency.nearest_boxes(_rays(spark, sf_dir), mesh.boxes(*_mesh(spark, sf_dir)))
+    return found.select("source", "ray_id", "part", F.round("t", 6).alias("t"))
 
 
 @query(f"WITH {MESH_SQL}, {_HITS}, n AS (SELECT source, part, count(*) AS hits FROM hit GROUP BY ALL), m AS (SELECT *, max(hits) OVER (PARTITION BY source) AS best FROM n) SELECT source, part, hits, round(hits / best, 6) AS coverage FROM m WHERE hits >= greatest(1, floor(best * 0.5))")

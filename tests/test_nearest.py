@@ -28,6 +28,16 @@ def triangles_hit(rays, triangles):
     return best
 
 
+def boxes_hit(rays, boxes):
+    best = {}
+    for source, ray, x, y, z in rays:
+        for part, x0, x1, y0, y1, z0, z1 in boxes:
+            if source != part and x0 <= x <= x1 and y0 <= y <= y1:
+                t = max(0.0, z0 - z, z - z1)
+                best[source, ray] = min(best.get((source, ray), (t, part)), (t, part))
+    return best
+
+
 def near(got, want):
     found = {(x.source, x.ray_id): (x.t, x.part) for x in got.collect()}
     assert got.count() == len(found) and {k: p for k, (_, p) in found.items()} == {k: p for k, (_, p) in want.items()}
@@ -50,7 +60,32 @@ def test_triangles(spark, high, big):
     near(adjacency.ray_triangles(frame(spark, rays, "source ray_id x y z dx dy dz", LONG), frame(spark, triangles, columns, LONG)), want)
 
 
-@pytest.mark.parametrize("kind", ["triangles"])
+@pytest.mark.parametrize("axis", ["z", "x"])
+def test_boxes(spark, axis):
+    r = random.Random(7)
+    boxes = []
+    for i in range(120):
+        x, y, z, s = r.uniform(0, 6), r.uniform(0, 6), r.choice([0.0, 3.0, r.uniform(0, 300)]), r.choice([1, 3, 3, 40])
+        boxes.append((i, x, x + s * r.random(), y, y + s * r.random(), z, z + s * r.random()))
+    rays = [(r.randrange(120), i, r.uniform(0, 8), r.uniform(0, 8), r.choice([0.0, 3.0, r.uniform(-50, 350)])) for i in range(200)]
+    columns = "pid min_x max_x min_y max_y min_z max_z"
+    if axis == "x":  # the same, turned
+        columns = "pid min_y max_y min_z max_z min_x max_x"
+    want = boxes_hit(rays, boxes)
+    assert 100 < len(want)
+    own = frame(spark, rays, "source ray_id x y z" if axis == "z" else "source ray_id y z x", LONG)
+    near(adjacency.nearest_boxes(own, frame(spark, boxes, columns, LONG), axis), want)
+
+
+def test_none(spark):
+    rays = frame(spark, [(1, 1, 0.5, 0.5, 0.0)], "source ray_id x y z", LONG)
+    boxes = frame(spark, [(1, 0.0, 1.0, 0.0, 1.0, 0.0, 1.0)], "pid min_x max_x min_y max_y min_z max_z", LONG)
+    assert adjacency.nearest_boxes(rays, boxes).isEmpty() and adjacency.nearest_boxes(rays, boxes.limit(0)).isEmpty() and adjacency.nearest_boxes(rays.limit(0), boxes).isEmpty()
+    endless = frame(spark, [(2, 0.0, 1.0, 0.0, 1.0, float("nan"), float("nan")), (3, 0.0, 1.0, 0.0, 1.0, 5.0, float("inf"))], "pid min_x max_x min_y max_y min_z max_z", LONG)
+    assert [x.part for x in adjacency.nearest_boxes(rays, endless).collect()] == [3]
+
+
+@pytest.mark.parametrize("kind", ["boxes", "triangles"])
 def test_few_pairs(spark, monkeypatch, kind):
     """In a stack of 1,500 parts, of which a ray's line meets nearly all, it is compared with a few."""
     r, n, met, first = random.Random(3), 1500, [], adjacency._first
@@ -64,6 +99,10 @@ def test_few_pairs(spark, monkeypatch, kind):
 
     monkeypatch.setattr(adjacency, "_first", counting)
     rays = [(i, i, r.uniform(0.4, 0.6), r.uniform(0.4, 0.6), float(i)) for i in range(n)]
-    found = adjacency.ray_triangles(frame(spark, [(*x, 0.0, 0.0, 1.0) for x in rays], "source ray_id x y z dx dy dz", LONG), frame(spark, [(i, -1.0, -1.0, i + 0.1, 3.0, 0.0, i + 0.1, 0.0, 3.0, i + 0.3) for i in range(n)], "part ax ay az bx by bz cx cy cz", LONG))
-    assert found.count() == n - 1 and found.where("part = source + 1").count() == n - 1
+    if kind == "boxes":
+        found = adjacency.nearest_boxes(frame(spark, rays, "source ray_id x y z", LONG), frame(spark, [(i, 0.0, 1.0, 0.0, 1.0, i - 0.2, i + 0.3) for i in range(n)], "pid min_x max_x min_y max_y min_z max_z", LONG))
+        assert found.where("part = source - 1 AND abs(t - 0.7) < 1e-9 OR source = 0 AND part = 1").count() == n
+    else:
+        found = adjacency.ray_triangles(frame(spark, [(*x, 0.0, 0.0, 1.0) for x in rays], "source ray_id x y z dx dy dz", LONG), frame(spark, [(i, -1.0, -1.0, i + 0.1, 3.0, 0.0, i + 0.1, 0.0, 3.0, i + 0.3) for i in range(n)], "part ax ay az bx by bz cx cy cz", LONG))
+        assert found.count() == n - 1 and found.where("part = source + 1").count() == n - 1
     assert 0 < sum(met) < 40 * n
