@@ -96,7 +96,10 @@ def remove_first(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 
 
 def change(rows: DataFrame, new: DataFrame, key: str, values: Sequence[str], seq: str) -> DataFrame:
-    """rows with the values of new (key, seq, values) where their key is in it, of several the last by seq; all keep their place, and nulls are values."""
-    last = new.groupBy(key).agg(F.max_by(F.struct(*values), seq).alias("_new"))
+    """rows with the values of new (key, seq, values) where their key is in it, of several the last by seq; all keep their place, and nulls are values.
+
+    A null seq comes before all others, of equal ones the greatest values count.
+    """
+    last = new.groupBy(key).agg(F.max_by(F.struct(*values), F.struct(seq, *values)).alias("_new"))
     joined = rows.join(last, key, "left")
     return joined.withColumns({c: F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)) for c in values}).select(rows.columns)

@@ -1,4 +1,4 @@
-"""Queries against their SQL on customers with larger keys than the given tables have."""
+"""Queries against their SQL on customers with larger keys than the given tables have, or without orders."""
 
 import duckdb
 import pytest
@@ -39,3 +39,10 @@ def test_text_cells(spark, tmp_path):
     keys = [0, 9, 9_999, 10_000, 89_999, 900_000, 5_399_999, 123_456_789, 9_999_999_999]
     got, want = held(spark, "deck_text_cells", tmp_path, customer=f"SELECT unnest({keys})::BIGINT AS c_custkey")
     assert got == want and len(got) == len(keys)
+
+
+def test_without_orders(spark, sf_dir, tmp_path):
+    """The name of a row whose customer has no orders becomes null."""
+    given = lambda name: f"SELECT * FROM '{sf_dir}/{name}.parquet'"
+    got, want = held(spark, "ordered_edits", tmp_path, customer=given("customer"), supplier=given("supplier"), orders=given("orders") + " WHERE o_custkey % 10 <> 5 AND o_custkey > 0")
+    assert got == want and sum("None" in x for x in got) > 10

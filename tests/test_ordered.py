@@ -55,3 +55,10 @@ def test_edits(spark):
     got = ordered.insert(rows, at, "at", ["v"])
     assert show(got) == [(None, "top"), (1, "a"), (2, "b"), (None, "new"), (1, "c"), (3, "d"), (1, "e"), (None, "end")]
     assert [x.place for x in ordered.places(got).orderBy("at").collect()] == list(range(8))
+
+
+def test_change_without_seq(spark):
+    rows = ordered.checkpointed(ordered.spread(spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3), (4, "d", 4)], "id long, v string, w int"), ["id"]))
+    new = spark.createDataFrame([(1, None, None, 9), (2, None, "x", 9), (2, -5, "y", None), (3, 7, "u", 1), (3, 7, "v", 0), (3, 7, None, 5)], "id long, seq int, v string, w int")
+    got = ordered.change(rows, new, "id", ["v", "w"], "seq").orderBy("at").collect()
+    assert [(x.id, x.v, x.w) for x in got] == [(1, None, 9), (2, "y", None), (3, "v", 0), (4, "d", 4)]
